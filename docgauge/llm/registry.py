@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
+from docgauge.llm.secret_scan import op4_secret_scan
 from docgauge.llm.sharding import op9_hilbert_sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op4_secret_scan": op4_secret_scan,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
