@@ -22,6 +22,8 @@ from docgauge.llm._common import connected_components, forget, stored
 SAMPLE = 8192
 BLOCK = 1024
 SLACK = 1e-6
+#: Vectors a cell aims at (over all labels) and rows worked on at a time.
+CELL, STEP = 4096, 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -118,13 +120,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     nothing: an id that repeats counts its copies as links. Empty tables give no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.col(label_col).cast("string").alias("label"))
     ok = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     usable = base.where(F.coalesce(ok, F.lit(False)))
     folded = stored(usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     seen = folded.orderBy(F.xxhash64("v"), "id").select("v").limit(sample).collect()
     total = folded.count()
-    k = cells_per_half or int(np.clip(round((total / 64) ** 0.5), 2, 256))
+    k = cells_per_half or int(np.clip(round((total / CELL) ** 0.5), 2, 256))
     by_dim: dict[int, list] = {}
     for r in seen:
         by_dim.setdefault(len(r["v"]), []).append(r["v"])
@@ -138,7 +140,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     radius2 = (2 - 2 * threshold) * min(1.0, max(target_recall, 0.0)) + SLACK
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP) for b in batches for i in range(0, b.num_rows, STEP)):
             vs = batch.column("v")
             dims = pa.compute.list_value_length(vs).to_numpy()
             for d in np.unique(dims):
@@ -155,7 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     names=["label", "dim", "cell", "visits", "id", "copies", "vec"],
                 )
 
-    visits = stored(folded.mapInArrow(visit, "label string, dim int, cell long, visits boolean, id long, copies long, vec array<double>"))
+    visits = stored(folded.mapInArrow(visit, f"label string, dim int, cell long, visits boolean, id long, copies long, vec {df.schema[vec_col].dataType.simpleString()}"))
     key = ["label", "dim", "cell"]
     sizes = visits.groupBy(*key).agg(F.sum((~F.col("visits")).cast("long")).alias("m"), F.sum(F.col("visits").cast("long")).alias("q")).where("m > 0")
     sizes = sizes.select(*key, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))
