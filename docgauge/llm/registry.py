@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
+from docgauge.llm.pii import op8_pii
 from docgauge.llm.secret_scan import op4_secret_scan
 from docgauge.llm.sharding import op9_hilbert_sharding
 
@@ -14,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
+    "op8_pii": op8_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
