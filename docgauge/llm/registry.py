@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docgauge.llm.decontamination import op1_decontamination
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
 from docgauge.llm.pii import op8_pii
 from docgauge.llm.secret_scan import op4_secret_scan
@@ -14,6 +15,7 @@ from docgauge.llm.sharding import op9_hilbert_sharding
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op8_pii": op8_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
