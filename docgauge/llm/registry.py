@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docgauge.llm.decontamination import op1_decontamination
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
+from docgauge.llm.html_text import op2_html_extraction
 from docgauge.llm.jaccard_join import op5_jaccard_join
 from docgauge.llm.pii import op8_pii
 from docgauge.llm.quality import op6_quality_classifier
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
