@@ -14,12 +14,14 @@ from docgauge.llm.pii import op8_pii
 from docgauge.llm.quality import op6_quality_classifier
 from docgauge.llm.secret_scan import op4_secret_scan
 from docgauge.llm.sharding import op9_hilbert_sharding
+from docgauge.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extraction": op2_html_extraction,
+    "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
