@@ -10,6 +10,7 @@ from docgauge.llm.decontamination import op1_decontamination
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
 from docgauge.llm.html_text import op2_html_extraction
 from docgauge.llm.jaccard_join import op5_jaccard_join
+from docgauge.llm.packing import op7_packing
 from docgauge.llm.pii import op8_pii
 from docgauge.llm.quality import op6_quality_classifier
 from docgauge.llm.secret_scan import op4_secret_scan
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_packing": op7_packing,
     "op8_pii": op8_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
