@@ -34,24 +34,47 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a narrow id table up to which it is broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def without(df: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` whose key is not in the stored table ``gone``; nulls in the key match nothing and stay.
+
+    The ids are broadcast only up to ``BROADCAST_ROWS``; beyond that both sides are shuffled.
+    """
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, on, "left_anti")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id per node of an undirected edge list, as rows (id, component_id).
 
-    Min-label propagation with pointer jumping: every round joins the stored edges with the labels, takes the least
-    label that reaches a node (pre-aggregated before the shuffle), then follows the label's own label. Rounds grow
-    with the logarithm of the longest chain. Null ends and self loops are ignored; an empty input gives no rows.
+    Contraction: every node hooks to its least neighbour (a minimum, pre-aggregated before the shuffle), pointers are
+    doubled until they reach roots, edges are renamed to roots and the distinct ones that are left go into the next
+    round, so a round halves the nodes at least and a star takes one. Every round writes its tables to the shared
+    folder. Null ends and self loops are ignored; an empty input gives no rows.
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    sym = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(sym.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id"))
-    while True:
-        near = sym.join(labels, sym.b == labels.id).groupBy("a").agg(F.min("c").alias("m"))
-        step = labels.join(near, labels.id == near.a).select("id", "c", F.least("c", "m").alias("n"))
-        up = labels.select(F.col("id").alias("up"), F.col("c").alias("up_c"))
-        new = stored(step.join(up, step.n == up.up, "left").select("id", F.col("c").alias("was"), F.least("n", F.coalesce("up_c", "n")).alias("c")))
-        moved = new.where("was <> c").limit(1).count()
-        forget(labels)
-        labels = new.drop("was")
-        if not moved:
-            forget(sym)
-            return labels.withColumnRenamed("c", "component_id")
+    cur = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
+    while labels is None or cur.limit(1).count():
+        ends = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = stored(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumnRenamed("a", "id"))
+        while True:
+            up = parent.select(F.col("id").alias("up"), F.col("m").alias("top"))
+            jumped = stored(parent.join(up, parent.m == up.up).select("id", F.col("top").alias("m"), (F.col("top") != F.col("m")).alias("moved")))
+            moved = jumped.where("moved").limit(1).count()
+            forget(parent)
+            parent = jumped.drop("moved")
+            if not moved:
+                break
+        new = parent if labels is None else labels.join(parent.select(F.col("id").alias("m"), F.col("m").alias("n")), "m", "left").select("id", F.coalesce("n", "m").alias("m"))
+        new = stored(new.select("id", "m"))
+        name = parent.select(F.col("id").alias("k"), F.col("m").alias("r"))
+        moved_edges = cur.join(name, cur.a == name.k).select(F.col("r").alias("a"), "b").join(name, F.col("b") == name.k).select("a", F.col("r").alias("b"))
+        nxt = stored(moved_edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        for t in (cur, parent, *([labels] if labels is not None else [])):
+            forget(t)
+        cur, labels = nxt, new
+    forget(cur)
+    return labels.withColumnRenamed("m", "component_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm._common import connected_components, forget, stored
+from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, stored
 
 NUM, DEN = 90, 100
 WORDS = 3
@@ -192,11 +192,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cand = stored(buckets.withColumn("hub", F.min("id").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1"))
     stars = stored(cand.where("id <> hub").select("id", "hub").distinct())
     wanted = stars.select("id").union(stars.select("hub")).distinct()
-    sets = stored(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, s array<long>"))
-    other = sets.select(F.col("id").alias("hub"), F.col("s").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    tested = stars.join(sets, "id").join(other, "hub").select("id", "hub", common.alias("i"), (F.size("s") + F.size("t")).alias("both"))
-    links = stored(tested.where(F.col("i") * den >= (F.col("both") - F.col("i")) * num).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    if wanted.count() <= BROADCAST_ROWS:  # 8 bytes an id; beyond that the texts are shuffled to the ids
+        wanted = F.broadcast(wanted)
+    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, s array<long>").dropDuplicates(["id"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets pass the threshold."""
+        left, right = sets.select(F.col("id").alias("a"), "s"), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
+        tested = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("s", "t")).alias("i"), (F.size("s") + F.size("t")).alias("both"))
+        return stored(tested.where(F.col("i") * den >= (F.col("both") - F.col("i")) * num).select("a", "b"))
+
+    # first each set against the least of its hubs, then against the hubs that this leaves in other components
+    near = stars.groupBy("id").agg(F.min("hub").alias("hub"))
+    early = linked(near.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    part_of = connected_components(early)
+    other = part_of.select(F.col("id").alias("hub"), F.col("component_id").alias("hub_c"))
+    apart = stars.join(near.withColumnRenamed("hub", "done"), "id").where("hub <> done").join(part_of, "id", "left").join(other, "hub", "left")
+    apart = apart.where(F.coalesce("component_id", "id") != F.coalesce("hub_c", "hub"))
+    late = linked(apart.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    links = stored(early.unionByName(late))
     first = connected_components(links)
     # buckets of three or more that the star's links leave in several components need their other pairs
     named = cand.where("size > 2").join(first, "id", "left").select("id", "sig", "hub", F.coalesce("component_id", "id").alias("c"))
@@ -214,7 +228,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_rep = folded.join(final, folded.rep == final.id, "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     # rows of one id are one node, so the id's own label comes before its set's
     out = stored(signed.select("id", "n", "h1", "h2").join(of_rep, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
-    for t in (signed, folded, cand, stars, sets, links, loose, more):
+    for t in (signed, folded, cand, stars, sets, early, late, links, loose, more):
         forget(t)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
