@@ -1,0 +1 @@
+"""Document quality control on Spark: DataFrame operators, a rule engine, and streaming state."""
