@@ -182,3 +182,21 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector against every vector of its label, cosine >= 0.98."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: DuckDB SQL for the rows of op10_embedding_dedup.
+ORACLE_SQL = """
+with recursive finite as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), usable as (select *, sqrt(list_dot_product(e, e)) as size from finite where list_dot_product(e, e) > 0
+), links as (
+  select x.vec_id as a, y.vec_id as b from usable x join usable y on x.label = y.label and x.vec_id < y.vec_id and len(x.e) = len(y.e)
+  where list_dot_product(x.e, y.e) / (x.size * y.size) >= 0.98
+), edges as (select a, b from links union all select b, a from links
+), reach(id, root) as (select vec_id, vec_id from embeddings union select e.b, r.root from reach r join edges e on e.a = r.id
+), least_root as (select id, min(root) as component_id from reach group by 1
+), degrees as (select a, count(*) as n from edges group by 1)
+select v.vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, v.vec_id = component_id as kept
+from embeddings v join least_root on id = v.vec_id left join degrees on a = v.vec_id
+"""

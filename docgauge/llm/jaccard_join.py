@@ -236,3 +236,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at Jaccard similarity 0.9 of three-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB SQL for the rows of op5_jaccard_join.
+ORACLE_SQL = r"""
+with recursive base as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from base
+), shingles as (select doc_id, unnest(s) as s from sets
+), pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as shared from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2
+), links as (
+  select a, b from pairs join sets p on p.doc_id = a join sets q on q.doc_id = b where 100 * shared >= 90 * (len(p.s) + len(q.s) - shared)
+), edges as (select a, b from links union all select b, a from links
+), reach(id, root) as (select doc_id, doc_id from sets union select e.b, r.root from reach r join edges e on e.a = r.id
+), least_root as (select id, min(root) as component_id from reach group by 1)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id from sets s join least_root r on r.id = s.doc_id
+"""
