@@ -128,16 +128,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks, starts, ends, bases = (batch.column(c).to_pylist() for c in ("chunks", "starts", "ends", "base"))
-            flat = [c for cs in chunks for c in cs]
-            p = net.probability(charcnn.encode([c["chars"] for c in flat], [(c["a"], c["b"]) for c in flat], LENGTH))
-            spans, at = [], 0
-            for i, cs in enumerate(chunks):
-                hit = sorted({c["owner"] for c, q in zip(cs, p[at : at + len(cs)], strict=True) if q >= net.threshold})
-                at += len(cs)
-                base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in bases[i].split(",") if s)]
-                every = sorted(base + [("model", starts[i][o], ends[i][o]) for o in hit], key=lambda s: (s[1], KINDS.index(s[0])))
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in every])
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in every] for every in decided(net, batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     cols = scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "starts", "ends", "chunks")
@@ -146,6 +137,20 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def decided(net: charcnn.CharCnn, scanned: pa.RecordBatch) -> list[list[tuple[str, int, int]]]:
+    """All spans per scanned row: the rules' own and the candidates of which a window reaches the network's threshold."""
+    chunks, starts, ends, bases = (scanned.column(c).to_pylist() for c in ("chunks", "starts", "ends", "base"))
+    flat = [c for cs in chunks for c in cs]
+    p = net.probability(charcnn.encode([c["chars"] for c in flat], [(c["a"], c["b"]) for c in flat], LENGTH))
+    out, at = [], 0
+    for i, cs in enumerate(chunks):
+        hit = sorted({c["owner"] for c, q in zip(cs, p[at : at + len(cs)], strict=True) if q >= net.threshold})
+        at += len(cs)
+        base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in bases[i].split(",") if s)]
+        out.append(sorted(base + [("model", starts[i][o], ends[i][o]) for o in hit], key=lambda s: (s[1], KINDS.index(s[0]))))
+    return out
+
+
 def span_text(spans: str = "spans"):
     """The digest form kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -157,19 +162,37 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", span_text().alias("spans"))
 
 
+def without_spans(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    parts, upto = [], 0
+    for _, a, b in spans:
+        if a >= upto:
+            parts += [text[upto:a], mark]
+        upto = max(upto, b)
+    return "".join(parts) + text[upto:]
+
+
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every found span of its text replaced by ``mark``; n_chars, where there is one, follows. Ids must be unique."""
-    spans = find_secrets(df, id_col, text_col).select(id_col, "spans").where(F.size("spans") > 0)
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("upto")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["upto"], F.concat(acc["done"], F.col(text_col).substr((acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark))).otherwise(acc["done"]).alias("done"),
-            F.greatest(acc["upto"], s["end"]).alias("upto"),
-        ),
-        lambda acc: F.concat(acc["done"], F.col(text_col).substr((acc["upto"] + 1).cast("int"), F.lit(2**31 - 1))),
-    )
-    out = df.join(spans, id_col, "left").withColumn(text_col, F.when(F.col("spans").isNotNull(), merged).otherwise(F.col(text_col)))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length(text_col)).otherwise(F.col("n_chars")).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    """``df`` with every found span of its text replaced by ``mark``; n_chars, where there is one, follows.
+
+    One pass fits the network, a second rewrites each row in place: no join, so null and repeated ids need no care.
+    Overlapping spans share a mark; null texts stay null; all other columns and rows are as they were.
+    """
+    scanned = stored(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, SCAN))
+    net = fit(scanned)
+    forget(scanned)
+    at = df.columns.index(text_col)
+    count = df.columns.index("n_chars") if "n_chars" in df.columns else None
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            spans = decided(net, next(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), batch.column(at)], names=["doc_id", "text"])]))))
+            new = [without_spans(t, s, mark) if s else t for t, s in zip(texts, spans, strict=True)]
+            columns = list(batch.columns)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            if count is not None:
+                was = batch.column(count).to_pylist()
+                columns[count] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, was, strict=True)]).cast(batch.schema.field(count).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(rewrite, df.schema)
