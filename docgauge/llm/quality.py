@@ -19,7 +19,7 @@ from docgauge.llm._common import stored
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
-SHARD = 4_000_000
+SHARD = 2_000_000
 TRUSTED_BROADCAST = 2_000_000
 HELD_OUT = 5
 QUANTILE = 0.99
@@ -95,29 +95,47 @@ def gram_hash(codes: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+BLOBS = "lang string, size int, kind string, grams binary, logs binary"
+
+
+def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Model rows as arrays of 16 bytes an entry: per language, size and kind ("p", "g") the hashes of grams and their logs."""
+    for batch in batches:
+        split: dict[tuple[str, int, str], tuple[list[str], list[float]]] = {}
+        for lang, size, gram, p, g in zip(*(batch.column(c).to_pylist() for c in ("lang", "size", "gram", "p", "g")), strict=True):
+            names, values = split.setdefault((lang, size, "g" if p is None else "p"), ([], []))
+            names.append(gram)
+            values.append(g if p is None else p)
+        rows = []
+        for (lang, size, kind), (names, values) in split.items():
+            flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(names), size).astype(np.uint64)
+            h = gram_hash([flat[:, i] for i in range(size)]) if size else np.zeros(len(names), np.uint64)
+            rows.append((lang, size, kind, h.tobytes(), np.array(values, float).tobytes()))
+        types = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["lang", "size", "kind", "grams", "logs"])
+
+
 class Shard:
     """Sorted lookup tables of one shard of the model; scores the positions whose history ends in its characters."""
 
     def __init__(self, rows: list, shard: int, shards: int, order: int = ORDER):
+        """``rows`` as of ``blobs``: lang, size, kind, grams, logs."""
         self.shard, self.shards, self.order = shard, shards, order
         self.tables: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]] = {}
         self.floor: dict[str, float] = {}
         self.known: dict[tuple[str, str], tuple[float, int]] = {}
-        split: dict[tuple[str, int, str], tuple[list[str], list[float]]] = {}
-        for lang, size, gram, p, g in rows:
+        split: dict[tuple[str, int, str], tuple[list[bytes], list[bytes]]] = {}
+        for lang, size, kind, grams, logs in rows:
             if size == 0:
-                self.floor[lang] = p
+                self.floor[lang] = float(np.frombuffer(logs)[0])
                 continue
-            for kind, v in (("p", p), ("g", g)):
-                if v is not None:
-                    names, values = split.setdefault((lang, size, kind), ([], []))
-                    names.append(gram)
-                    values.append(v)
-        for (lang, size, kind), (names, values) in split.items():
-            flat = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size).astype(np.uint64)
-            h = gram_hash([flat[:, i] for i in range(size)])
+            parts = split.setdefault((lang, size, kind), ([], []))
+            parts[0].append(grams)
+            parts[1].append(logs)
+        for key, (grams, logs) in split.items():
+            h = np.frombuffer(b"".join(grams), np.uint64)
             at = np.argsort(h)
-            self.tables[lang, size, kind] = (h[at], np.array(values)[at])
+            self.tables[key] = (h[at], np.frombuffer(b"".join(logs))[at])
 
     def _find(self, key: tuple[str, int, str], codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if key not in self.tables:
@@ -198,7 +216,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     scored = None
     for s in range(shards):
         mine = model if shards == 1 else model.withColumn("last", last).where(F.col("size").isin(0, 1) & F.col("p").isNotNull() | (F.pmod(F.conv(F.hex(F.encode("last", "UTF-32BE")), 16, 10).cast("long"), F.lit(shards)) == s))
-        rows = mine.select("lang", "size", "gram", "p", "g").collect()
+        rows = mine.select("lang", "size", "gram", "p", "g").mapInArrow(blobs, BLOBS).collect()  # 16 bytes an entry
         part = base.mapInArrow(_scoring(Shard(rows, s, shards)), "id long, lang string, logp double, n long")
         scored = part if scored is None else scored.unionByName(part)
     if shards > 1:
