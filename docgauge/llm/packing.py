@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,9 @@ K1, B = 1.2, 0.75
 TERM_BITS = 22
 CACHE = 1_000_000
 PUNCTUATION = ".,!?;:|*$%&#"
+#: Separators that Python's split() takes for white space and the tokenizer's patterns don't.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+WORD = re.compile("[^\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class WordPieces:
@@ -66,7 +70,7 @@ class WordPieces:
         if len(self.words) > CACHE:
             self.words.clear()
             self.parts.clear()
-        split = [(t or "").split() for t in texts]
+        split = [WORD.findall(t) if SEPARATORS.search(t) else t.split() for t in (t or "" for t in texts)]
         self.learn(set().union(*split).difference(self.words))
         get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
