@@ -107,12 +107,27 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(scanned: DataFrame, findings: int = FINDINGS, recall: float = 0.95) -> charcnn.CharCnn:
-    """Train on at most ``findings`` labelled windows of each class from the corpus (in hash order) plus generated ones."""
+    """Train on at most ``findings`` labelled windows of each class from the corpus (in hash order) plus generated ones.
+
+    Windows of other candidates stand for the negative class, but for those that look like secrets to a network trained
+    without them.
+    """
     pos = scanned.select(F.explode("positive").alias("w")).select("w.*").distinct().orderBy(F.xxhash64("chars"), "chars", "a", "b").limit(findings).collect()
     neg = scanned.select(F.explode("chunks").alias("w")).select("w.chars", "w.a", "w.b").distinct().orderBy(F.xxhash64("chars"), "chars", "a", "b").limit(findings).collect()
-    rows = [(r["chars"], r["a"], r["b"], 1) for r in pos] + [(r["chars"], r["a"], r["b"], 0) for r in neg] + generated(1200)
-    codes = charcnn.encode([r[0] for r in rows], [(r[1], r[2]) for r in rows], LENGTH)
-    return charcnn.train(codes, np.array([r[3] for r in rows], float), recall)
+    known = [(r["chars"], r["a"], r["b"], 1) for r in pos] + generated(1200)
+    other = [(r["chars"], r["a"], r["b"], 0) for r in neg]
+
+    def trained(rows: list[tuple[str, int, int, int]]) -> charcnn.CharCnn:
+        return charcnn.train(charcnn.encode([r[0] for r in rows], [(r[1], r[2]) for r in rows], LENGTH), np.array([r[3] for r in rows], float), recall)
+
+    # unlabelled windows may be secrets themselves: each half is judged by a network that has not seen it
+    halves = (other[::2], other[1::2])
+    clean = []
+    for mine, rest in (halves, halves[::-1]):
+        net = trained(known + rest)
+        p = net.probability(charcnn.encode([r[0] for r in mine], [(r[1], r[2]) for r in mine], LENGTH))
+        clean += [r for r, q in zip(mine, p, strict=True) if q < net.threshold]
+    return trained(known + clean)
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: int = FINDINGS, recall: float = 0.95) -> DataFrame:
