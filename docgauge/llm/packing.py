@@ -11,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docgauge.llm._common import stored
+
 WINDOW = 2048
 END_OF_TEXT = 1
 #: A shard of the index holds about so many documents and characters at most.
 SHARD_ROWS, SHARD_CHARS = 2048, 8_000_000
 QUERY_TERMS = 24
+#: Group values up to which their shard counts are broadcast.
+GROUPS = 100_000
 K1, B = 1.2, 0.75
 TERM_BITS = 22
 CACHE = 1_000_000
@@ -210,7 +214,9 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_
     need = F.greatest(F.ceil(F.count("*") / SHARD_ROWS), F.ceil(F.sum(F.length("text")) / SHARD_CHARS), F.lit(1)).cast("long")
     shards = base.groupBy("g").agg(need.alias("shards"))
     before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row a group value
-    shards = shards.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0)))
+    shards = stored(shards.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0))))
+    if shards.count() <= GROUPS:  # else the texts are shuffled to their group values
+        shards = F.broadcast(shards)
     dealt = base.join(shards, "g").select((F.col("first") + F.pmod(F.xxhash64("id", "text"), F.col("shards"))).alias("shard"), "id", "text")
     ids = dealt.mapInArrow(_tokenise(tokenizer), "shard long, id long, ids binary")
     out = ids.groupBy("shard").applyInPandas(_packing(ends, window, end_id), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
