@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.functions import commentary, numeric
@@ -16,17 +16,22 @@ from docgauge.functions import text as T
 from docgauge.functions.dates import parse_date
 from docgauge.functions.documents import address_parts, ladder
 from docgauge.operators import aggregates as A
+from docgauge.operators import decisions as D
 from docgauge.operators import ordered as O
 from docgauge.operators import relational as R
 from docgauge.operators import transitions as X
-from docgauge.plans import rules
+from docgauge.plans import fields, rules
 from docgauge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 AS_OF = "2024-01-31 00:00:00"
-NOW = F.expr(f"timestamp_ntz'{AS_OF}'")
+
+
+def now() -> Column:
+    """The queries' fixed as-of time; a function, as columns need a session."""
+    return F.expr(f"timestamp_ntz'{AS_OF}'")
 
 
 def query(sql: str | None = None):
@@ -230,7 +235,7 @@ def sla_overdue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select event_id, ts from events where event_type = 'error' and ts < timestamp '{AS_OF}' - interval 96 hour order by ts, event_id limit 50")
 def sla_overdue_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = R.find(table(spark, sf_dir, "events"), event_type="error").where(F.col("ts") < NOW - F.expr("interval 96 hours"))
+    late = R.find(table(spark, sf_dir, "events"), event_type="error").where(F.col("ts") < now() - F.expr("interval 96 hours"))
     return R.top(late.select("event_id", "ts"), [F.asc("ts"), F.asc("event_id")], 50)
 
 
@@ -456,7 +461,7 @@ def status_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select user_id, case when max(ts) < timestamp '{AS_OF}' - interval 2160 minute then 'IDLE' else 'ACTIVE' end as status from events group by 1""")
 def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_active_at")).withColumn("status", F.lit("ACTIVE"))
-    return X.idle(s, NOW, 2160).select("user_id", "status")
+    return X.idle(s, now(), 2160).select("user_id", "status")
 
 
 @query("""select o_orderkey, case when o_orderstatus = 'P' and o_orderdate < timestamp '2001-01-01' - interval 500000 minute then 'ERROR' when o_orderstatus = 'P' and o_orderdate < timestamp '2001-01-01' - interval 90000 minute then 'RETRY' else 'NONE' end as action from orders""")
@@ -467,7 +472,7 @@ def stuck_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select user_id, arg_max(event_id, (ts, event_id)) as event_id, min(ts) as started_at from events group by 1 having max(ts) >= timestamp '{AS_OF}' - interval 172800 second""")
 def ttl_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.live(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", NOW, 172800).select("user_id", "event_id", "started_at")
+    return X.live(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", now(), 172800).select("user_id", "event_id", "started_at")
 
 
 # ---- rules
@@ -502,3 +507,55 @@ def rule_engine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rules_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and active rules per category."""
     return A.category_listing(rules.config(spark), "rule_id", F.col("is_active"))
+
+
+# ---- fields, reviews, caches
+
+
+@query()
+def field_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject fields of every document, long form."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    return fields.long_form(fields.extracted(docs, "subject"))
+
+
+@query("""with part as (select doc_id, trim(regexp_extract(text, '(?i)MLS[:\\s#]+([A-Z0-9]+)', 1)) as v from documents)
+ select doc_id, v as mls_number from part where v <> ''""".replace("\\\\", "\\"))
+def field_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = fields.field(F.col("text"), fields.SUBJECT["mls_number"])["value"]
+    return docs.select("doc_id", found.alias("mls_number")).where("mls_number is not null")
+
+
+@query("""select o_orderkey, case when o_orderstatus = 'O' and o_custkey % 7 <> 3 then 'BLOCKED' when o_orderstatus <> 'O' and o_orderkey % 4 > 0 then 'CONFIRM' else 'GRANTED' end as lock_state from orders""")
+def review_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("by"), F.when(F.col("o_orderstatus") == "O", now() + F.expr("interval 1 minute")).otherwise(now()).alias("till"), (F.col("o_orderkey") % 4).alias("prior"))
+    return orders.select("o_orderkey", D.lock_state(F.col("by"), F.col("till"), F.lit(3), now(), F.col("prior"), F.lit(False)).alias("lock_state"))
+
+
+@query("""select user_id, event_id, lead(ts) over (partition by user_id order by ts, event_id) as ended_at, case when lead(ts) over (partition by user_id order by ts, event_id) is null then 'ACTIVE' else 'ENDED' end as status
+ from events where event_type = 'signup'""")
+def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logins = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", F.col("event_id").alias("session_token"), "ts")
+    none = logins.limit(0).select("user_id", "session_token", F.col("ts").alias("started_at"), F.col("ts").alias("ended_at"), F.lit("").alias("status"))
+    return D.sessions_started(none, logins).select("user_id", F.col("session_token").alias("event_id"), "ended_at", "status")
+
+
+@query("""select md5(event_type || '::' || props) as cache_key, count(*) as asked, count_if(event_id % 3 = 0) as cached from events group by 1 having count_if(event_id % 3 = 0) = 0""")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "events").select(F.md5(F.concat_ws("::", "event_type", "props").cast("binary")).alias("cache_key"), "event_id")
+    cache = asked.where("event_id % 3 = 0").select("cache_key").distinct()
+    _, misses = D.cache_lookup(asked, cache)
+    return asked.join(misses.select("cache_key"), "cache_key").groupBy("cache_key").agg(F.count("*").alias("asked"), F.lit(0).cast("long").alias("cached"))
+
+
+@query()
+def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as checked items, events as decisions on them, folded in order."""
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", "fail").otherwise("verify").alias("status"), F.when(F.col("l_linestatus") == "O", "BLOCKING").otherwise("STANDARD").alias("severity"), F.lit(None).cast("timestamp_ntz").alias("first_presented_at"))
+    e = table(spark, sf_dir, "events")
+    events = e.select(
+        (F.col("event_id") % 500 + 1).alias("rule_result_id"), F.col("event_id").alias("event_seq"), "ts", F.col("user_id").alias("reviewer_id"), F.when(F.col("event_type") == "error", "FAIL").otherwise("PASS").alias("decision"),
+        F.col("props").alias("comment"), (F.col("user_id") % 3).cast("string").alias("session_token"), (F.col("value") * 1000).cast("long").alias("latency_ms"), (F.col("event_id") % 2 == 0).alias("acknowledged"),
+    )
+    return D.decided(items, events).groupBy("verdict").agg(F.count("*").alias("n"))
