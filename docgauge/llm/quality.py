@@ -24,7 +24,8 @@ TRUSTED_BROADCAST = 2_000_000
 HELD_OUT = 5
 QUANTILE = 0.99
 K = np.uint64(0x9E3779B97F4A7C15)
-WORD_CAP = 1_000_000
+#: Distinct words that a task holds: while it counts, and with their scores.
+COUNTED, KNOWN = 300_000, 400_000
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +44,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update((text or "").split())
-        if sum(map(len, counts.values())) > WORD_CAP:
+        if sum(map(len, counts.values())) > COUNTED:
             yield rows()
     yield rows()
 
@@ -55,7 +56,7 @@ def kneser_ney(words: DataFrame, order: int = ORDER) -> DataFrame:
     top = stored(words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c")))
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct left extensions
-        tables[k] = tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        tables[k] = stored(tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
     below = None
     out = None
     for k in range(1, order + 1):
@@ -123,7 +124,7 @@ class Shard:
         self.shard, self.shards, self.order = shard, shards, order
         self.tables: dict[tuple[str, int, str], tuple[np.ndarray, np.ndarray]] = {}
         self.floor: dict[str, float] = {}
-        self.known: dict[tuple[str, str], tuple[float, int]] = {}
+        self.known: dict[str, dict[str, float]] = {}
         split: dict[tuple[str, int, str], tuple[list[bytes], list[bytes]]] = {}
         for lang, size, kind, grams, logs in rows:
             if size == 0:
@@ -165,28 +166,26 @@ class Shard:
                 logp = np.where(seen, logp + g, logp)
             logp = np.where(hit, p, logp)
         total = np.bincount(owner, logp, minlength=len(words))
-        for w, v, s in zip(words, total, size, strict=True):
-            self.known[lang, w] = (float(v), int(s))
+        self.known[lang].update(zip(words, total.tolist(), strict=True))
 
     def scores(self, langs: list[str], texts: list[str | None]) -> tuple[list[float], list[int]]:
         split = [(t or "").split() for t in texts]
-        fresh: dict[str, set[str]] = {}
-        if len(self.known) > WORD_CAP:
+        if sum(map(len, self.known.values())) > KNOWN:
             self.known.clear()
+        fresh: dict[str, set[str]] = {}
         for lang, ws in zip(langs, split, strict=True):
             fresh.setdefault(lang, set()).update(ws)
         for lang, ws in fresh.items():
-            new = sorted(w for w in ws if (lang, w) not in self.known)
+            new = sorted(ws.difference(self.known.setdefault(lang, {})))
             for i in range(0, len(new), 20_000):
                 self.learn(lang, new[i : i + 20_000])
-        by_lang = {lang: ({w: self.known[lang, w][0] for w in ws}) for lang, ws in fresh.items()}
-        sums = [float(sum(map(by_lang[lang].__getitem__, ws))) for lang, ws in zip(langs, split, strict=True)]
+        sums = [float(sum(map(self.known[lang].__getitem__, ws))) for lang, ws in zip(langs, split, strict=True)]
         return sums, [sum(map(len, ws)) + len(ws) for ws in split]
 
 
 def _scoring(shard: Shard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             sums, n = shard.scores(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64()), pa.array(n, pa.int64())], names=["id", "lang", "logp", "n"])
 
