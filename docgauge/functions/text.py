@@ -98,3 +98,59 @@ def quality_flags(**flags: Column) -> Column:
     """Names of the true flags, one a line; null if none is."""
     named = F.array(*[F.when(c, F.lit(n.replace("_", " "))) for n, c in flags.items()])
     return blank_to_null(F.array_join(F.filter(named, lambda x: x.isNotNull()), "\n"))
+
+
+# fixed values: short forms of street words, and the words that say little about a street
+SHORT = {
+    "NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "CIRCLE": "CIR", "COURT": "CT", "STREET": "ST", "AVENUE": "AVE", "BOULEVARD": "BLVD",
+    "DRIVE": "DR", "ROAD": "RD", "LANE": "LN", "TERRACE": "TER", "TRACE": "TR", "PLACE": "PL", "PARKWAY": "PKWY", "HIGHWAY": "HWY",
+}
+DIRECTIONS = ["N", "S", "E", "W", "NE", "NW", "SE", "SW"]
+PLAIN = "ST AVE BLVD DR RD LN CT CIR TER TR PL PKWY HWY N S E W".split()
+
+
+def street_tokens(c: Column) -> Column:
+    """Upper-case words of a street in their short forms; a direction behind the house number goes to the end."""
+    words = F.filter(F.split(upper_key(c), r"\s+"), lambda w: w != "")
+    table = F.create_map(*[F.lit(x) for pair in SHORT.items() for x in pair])
+    short = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+    moved = F.concat(F.slice(short, 1, 1), F.slice(short, F.lit(3), F.greatest(F.size(short) - 2, F.lit(0))), F.slice(short, 2, 1))
+    return F.when((F.size(short) > 2) & F.get(short, F.lit(1)).isin(DIRECTIONS), moved).otherwise(short)
+
+
+def same_street(a: Column, b: Column) -> Column:
+    """Equal house numbers and a shared word that is neither a street type nor a direction, over ``street_tokens``."""
+    plain = F.array(*[F.lit(w) for w in PLAIN])
+    core = lambda t: F.array_except(F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))), plain)
+    return F.coalesce((F.size(a) > 0) & (F.get(a, F.lit(0)) == F.get(b, F.lit(0))) & F.arrays_overlap(core(a), core(b)), F.lit(False))
+
+
+def census_tract(c: Column) -> Column:
+    """dddd.dd: kept if it is in that form, rebuilt from four digits or more, else the trimmed input."""
+    digits = F.regexp_replace(c, "[^0-9]", "")
+    made = F.concat(F.left(digits, F.lit(4)), F.lit("."), F.rpad(F.substring(digits, 5, 2), 2, "0"))
+    return F.when(F.trim(c).rlike(r"^\d{4}\.\d{2}$") | (F.length(digits) < 4), F.trim(c)).otherwise(made)
+
+
+def area_square_feet(c: Column) -> Column:
+    """Number of an area text in square feet; acres are 43,560 of them; 0 where there is no number."""
+    value = F.regexp_replace(F.regexp_extract(c, r"([\d,]+(?:\.\d+)?)", 1), ",", "").try_cast("double")
+    return F.when(F.lower(c).contains("ac"), F.coalesce(value, F.lit(0.0)) * 43560).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
+# fixed values: names of fields in rule texts and the fields that they mean; the last two mean none
+FIELD_NAMES = {
+    "property_address_report": "property_address", "address": "property_address", "street": "property_address", "zip": "zip_code", "borrower": "borrower_name", "borrower_name_report": "borrower_name",
+    "apn": "assessors_parcel_number", "pud": "is_pud_checked", "pud_checkbox": "is_pud_checked", "lender_name_report": "lender_name", "property_rights_appraised": "property_rights",
+    "prior_sale_offered_status": "offered_for_sale_12mo", "prior_sale_offered_12mo": "offered_for_sale_12mo", "data_sources": "data_source", "client_engagement_letter": None, "property_address_engagement_letter": None,
+}
+
+
+def field_name(c: Column) -> Column:
+    """Field that a name in a rule's text means; unknown names in snake case, null for those that mean none."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"\([^)]*\)", ""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    out = F.when(key.isin([k for k, v in FIELD_NAMES.items() if v is None]) | (F.trim(c) == ""), None)
+    for name, means in FIELD_NAMES.items():
+        if means:
+            out = out.when(key == name, means)
+    return out.otherwise(key)

@@ -19,6 +19,7 @@ from docgauge.operators import aggregates as A
 from docgauge.operators import decisions as D
 from docgauge.operators import ordered as O
 from docgauge.operators import relational as R
+from docgauge.operators import tables as P
 from docgauge.operators import transitions as X
 from docgauge.plans import fields, rules
 from docgauge.sources.tables import table
@@ -559,3 +560,29 @@ def decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("comment"), (F.col("user_id") % 3).cast("string").alias("session_token"), (F.col("value") * 1000).cast("long").alias("latency_ms"), (F.col("event_id") % 2 == 0).alias("acknowledged"),
     )
     return D.decided(items, events).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("""with s as (select conv_id, turn, contains(lower(text), 'the')::int + contains(lower(text), 'sch')::int + contains(lower(text), 'ent')::int as score from conversations)
+ select conv_id, turn, score from s where score >= 1 qualify row_number() over (partition by conv_id order by score desc, turn) <= 2""")
+def page_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.pages_with(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", ["THE", "sch", "ent"], 2)
+
+
+@query("""with s as (select conv_id, turn, len(regexp_extract_all(text, '(?i)[a-z]+ing')) as score from conversations)
+ select conv_id, turn, score from s where score > 0 qualify row_number() over (partition by conv_id order by score desc, turn) <= 10""")
+def page_pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.pages_matching(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "[a-z]+ing")
+
+
+@query("""with e as (select l_orderkey, 7 as n from lineitem group by 1), g as (select l_orderkey, unnest(range(1, n + 1)) as p from e)
+ select l_orderkey, string_agg(cast(p as varchar), ',' order by p) as missing from g where not exists (select 1 from lineitem l where l.l_orderkey = g.l_orderkey and l.l_linenumber = p) group by 1""")
+def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    expected = lines.select("l_orderkey").distinct().withColumn("page_count", F.lit(7))
+    out = P.missing_pages(lines, expected, "l_orderkey", "l_linenumber")
+    return out.select("l_orderkey", F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
+@query("""select p_partkey, case when regexp_matches(p_size::varchar, '^[0-9]+$') then p_size * 43560.0 else 0.0 end as square_feet from part""")
+def area_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.area_square_feet(F.concat(F.col("p_size").cast("string"), F.lit(" acres"))).alias("square_feet"))

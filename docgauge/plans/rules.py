@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docgauge.functions import commentary
-from docgauge.functions.dates import parse_date_or_text
+from docgauge.functions.dates import parse_date, parse_date_or_text
 from docgauge.functions.numeric import outcome
 from docgauge.functions.similarity import sequence_ratio
-from docgauge.functions.text import squeezed, upper_key
+from docgauge.functions.text import same_street, squeezed, street_tokens, upper_key
 
 PASS, VERIFY, FAIL = "PASS", "VERIFY", "FAIL"
 
@@ -229,7 +229,9 @@ def or_else(status: Column) -> Column:
 
 @rule("S-1", "Property Address Validation", "BLOCKING", 10)
 def property_address(d: Doc) -> Column:
-    near = sequence_ratio(upper_key(d("subject.address")), upper_key(d("letter.property_address"))) >= 0.85
+    a, b = street_tokens(d("subject.address")), street_tokens(F.split(d("letter.property_address"), r"(?i)\bProperty\s+County\b").getItem(0))
+    x, y = F.array_join(a, " "), F.array_join(b, " ")
+    near = (sequence_ratio(x, y) >= 0.85) | F.contains(x, y) | F.contains(y, x) | same_street(a, b)
     same = lambda f: F.coalesce(squeezed(d(f"subject.{f}")) == squeezed(d(f"letter.{f}")), d(f"letter.{f}").isNull())
     return F.when(d.any_null("subject.address", "letter.property_address"), VERIFY).when(near & same("city") & same("state") & same("zip_code"), PASS).otherwise(FAIL)
 
@@ -594,6 +596,10 @@ def cross_field(d: Doc) -> dict[str, tuple[str, Column]]:
     three_way = outcome(sequence_ratio(F.regexp_replace(F.lower(d("subject.address")), "[^a-z0-9]", ""), F.regexp_replace(F.lower(d("letter.property_address")), "[^a-z0-9]", "")), F.lit(0.99))
     fha = F.lower(F.coalesce(d("loan_type"), F.lit(""))).contains("fha") | d.text.contains("FHA")
     life = F.regexp_extract(d.text, r"(?i)remaining economic life\D{0,40}(\d{1,3})", 1).try_cast("int")
+    numbered = lambda t: F.array_join(F.slice(F.split(F.trim(t), r"\s+"), 1, 80), " ").rlike(r"\b\d{3}-\d{7}\b")
+    unnumbered = F.exists(F.col("pages"), lambda t: ~F.coalesce(numbered(t), F.lit(False))) if "pages" in d.schema.fieldNames() else ~d.has(r"\b\d{3}-\d{7}\b")
+    effective = parse_date(F.regexp_extract(d.text, r"(?i)effective date[^0-9]{0,30}(\d{1,2}/\d{1,2}/\d{2,4})", 1), pivot=69)
+    dated = F.exists(F.slice(d.comps, 1, 3), lambda c: F.datediff(effective, parse_date(c["sale_date"].cast("string"), pivot=69)) > 365) if "sale_date" in d.comp_fields() else F.lit(False)
     contract = F.lit(False)
     for f in ("contract_price", "contract_date", "sale_type", "did_analyze_contract"):
         contract = contract | ~d.blank(f"contract.{f}")
@@ -605,7 +611,8 @@ def cross_field(d: Doc) -> dict[str, tuple[str, Column]]:
         "XF-4": ("Address against the letter", F.when(d("letter.property_address").isNotNull() & d("subject.address").isNotNull() & (three_way != PASS), three_way)),
         "XF-5": ("PUD and HOA", F.when((dues > 0) & ~pud, FAIL).when((dues == 0) & pud, VERIFY)),
         "XF-6": ("Contract section of a refinance", F.when(is_refinance(d) & contract, FAIL)),
-        "XF-FHA-1": ("Case number on the report", F.when(fha & ~d.has(r"\b\d{3}-\d{7}\b"), FAIL)),
+        "XF-FHA-1": ("Case number on every page", F.when(fha & unnumbered, FAIL)),
+        "XF-FHA-2": ("Comparables within a year", F.when(fha & dated, FAIL)),
         "XF-FHA-3": ("Remaining economic life", F.when(fha & (life < 30) & ~d.has("because|due to|explain"), FAIL)),
     }
 
