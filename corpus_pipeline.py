@@ -21,9 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of linked documents."""
+    """Keeps the smallest doc_id of each component of linked documents, once where rows repeat it; null ids stay."""
     parts = jaccard_components(docs)
-    return without(docs, stored(parts.where("doc_id <> component_id").select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
+    kept = without(docs, stored(parts.where("doc_id <> component_id").select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
+    repeated = stored(parts.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.limit(1).count() == 0:
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("d"))
+    return without(kept, repeated, ["doc_id"]).select(*docs.columns).unionByName(once.select("d.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_run_equals_the_stages(spark, steps):
     got, want = (df.toPandas().sort_values(["doc_id", "start"]).reset_index(drop=True) for df in (corpus_pipeline.run(spark, SF), steps[4]))
     pd.testing.assert_frame_equal(got, want)
     assert np.issubdtype(got.ids_crc32.dtype, np.int64)
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(20)
+    odd = some.unionByName(some).unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "x", 0)], docs.schema))
+    once = corpus_pipeline.near_duplicates(spark, odd, SF)
+    assert once.columns == docs.columns and once.where("doc_id is null").count() == 2
+    assert once.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        stage(spark, odd, SF).count()
