@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docgauge.functions import documents as D
 from docgauge.functions import text as T
 from docgauge.operators import tables
 from docgauge.plans import rules
@@ -45,3 +46,15 @@ def test_addresses_and_fha_dates(spark):
     good = base | {"pages": ["case 123-4567890"], "sales": {"comparables": [{"sale_date": "2/1/2023"}]}}
     got = {r.rule_id for r in rules.evaluate(spark.createDataFrame([good], schema), 2024).collect()}
     assert not {"XF-FHA-1", "XF-FHA-2"} & got
+
+
+def test_pages_documents_and_answers(spark):
+    df = spark.createDataFrame([("short", ""), ("the property address and borrower value " + "x" * 20, "{bad"), ("§" * 40, "so: {\"a\": 1} ok"), (None, None)], "t string, r string")
+    assert [round(r[0], 4) for r in df.select(D.page_confidence(F.col("t"))).collect()] == [0.1, 0.7, 0.3, 0.1]
+    got = [(r.j.answer and r.j.answer.a, r.j.error) for r in df.select(D.answer_json(F.col("r"), "a int").alias("j")).collect()]
+    assert got == [(None, "no_response"), (None, "unparseable"), (1, None), (None, "no_response")]
+    assert [r[0] for r in df.select(D.answer_confidence(F.col("r"))).distinct().collect()] == [0.6]
+    two = spark.createDataFrame([("Form 1073 in San Marcos, TX.", "san marcos"), ("URAR", None), (None, "x")], "a string, b string")
+    assert [tuple(r) for r in two.select(D.form_type(F.col("a")), D.mismatched_tokens(F.col("a"), F.col("b"))).collect()] == [("1073", ["form", "1073", "in", "tx."]), ("1004", ["urar"]), (None, [])]
+    assert [round(r[0], 2) for r in two.select(D.document_confidence([F.col("a")], [F.col("b")], F.col("a"))).collect()] == [0.45, 0.4, 0.35]
+    assert [r[0] for r in two.select(D.excerpt(F.col("a"), ["marcos", "none"], 9, 4, 6)).collect()] == ["San Marco", "URAR", None]
