@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, stored
@@ -188,8 +188,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     folded = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
     reps = folded.select("rep").distinct()
     buckets = signed.join(reps, signed.id == reps.rep, "left_semi").select("id", F.explode("sigs").alias("sig"))
-    bucket = Window.partitionBy("sig")
-    cand = stored(buckets.withColumn("hub", F.min("id").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1"))
+    # hubs are aggregated before the shuffle, and the join back is one that a hot signature can be split in
+    hubs = buckets.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    cand = stored(buckets.join(hubs, "sig").select("id", "sig", "hub", "size"))
     stars = stored(cand.where("id <> hub").select("id", "hub").distinct())
     wanted = stars.select("id").union(stars.select("hub")).distinct()
     if wanted.count() <= BROADCAST_ROWS:  # 8 bytes an id; beyond that the texts are shuffled to the ids
@@ -214,7 +215,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = connected_components(links)
     # buckets of three or more that the star's links leave in several components need their other pairs
     named = cand.where("size > 2").join(first, "id", "left").select("id", "sig", "hub", F.coalesce("component_id", "id").alias("c"))
-    open_ = named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    open_ = stored(named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig"))
+    if open_.count() <= BROADCAST_ROWS:
+        open_ = F.broadcast(open_)
     loose = stored(named.join(open_, "sig", "left_semi").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     parts = connected_components(loose).withColumnRenamed("component_id", "part")
     sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
