@@ -192,7 +192,7 @@ def _scoring(shard: Shard):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = 3.0, shard_rows: int = SHARD) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = 2.0, shard_rows: int = SHARD) -> DataFrame:
     """Rows (id, lang, perplexity, threshold, kept), one per distinct id and language; ``trusted`` has one id column.
 
     One in ``HELD_OUT`` trusted texts (by hash) stays out of the counts, so that the quantiles are of unseen text. A
