@@ -199,7 +199,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     text's measure is its cross-entropy per character above the language's median, divided by what chance allows at its
     length; it is rejected above ``margin`` times the language's ``quantile`` of that measure. Null, empty and blank
     texts have no perplexity and are kept, as are texts of a language without trusted text; a null language is a
-    language of its own. Rows that repeat an id are scored together. Other columns are ignored.
+    language of its own. Rows that repeat an id and language, or have none, are scored together. Other columns
+    are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -218,8 +219,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         rows = mine.select("lang", "size", "gram", "p", "g").mapInArrow(blobs, BLOBS).collect()  # 16 bytes an entry
         part = base.mapInArrow(_scoring(Shard(rows, s, shards)), "id long, lang string, logp double, n long")
         scored = part if scored is None else scored.unionByName(part)
-    if shards > 1:
-        scored = scored.groupBy("id", "lang").agg(F.sum("logp").alias("logp"), (F.sum("n") / shards).cast("long").alias("n"))
+    scored = scored.groupBy("id", "lang").agg(F.sum("logp").alias("logp"), (F.sum("n") / shards).cast("long").alias("n"))
     entropy = stored(scored.withColumn("bits", F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))))
     of_trusted = entropy.join(sure, "id").where(held & (F.col("n") > 0))
     at = of_trusted.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("median"))

@@ -94,7 +94,7 @@ def test_quality(docs, none, labels):
     trusted = labels.where("quality = 1").select("doc_id")
     out = quality.perplexities(docs, trusted)
     by = {(r.doc_id, r.lang): r for r in out.collect()}
-    assert len(by) == 8 and by[3, "en"].perplexity is None and by[3, "en"].kept and by[4, ""].kept
+    assert len(by) == 8 == out.count() and by[3, "en"].perplexity is None and by[3, "en"].kept and by[4, ""].kept
     assert quality.perplexities(none, trusted).count() == 0
     assert all(r.kept for r in quality.perplexities(docs, trusted.limit(0)).collect())
 
