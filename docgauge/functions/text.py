@@ -154,3 +154,10 @@ def field_name(c: Column) -> Column:
         if means:
             out = out.when(key == name, means)
     return out.otherwise(key)
+
+
+def replaced(c: Column, table: dict[str, str]) -> Column:
+    """Literal replacements in the table's order."""
+    for old, new in table.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c

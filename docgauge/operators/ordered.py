@@ -105,3 +105,18 @@ def merged_box(boxes: Column) -> Column:
     x, y = F.array_min(F.transform(boxes, lambda b: b["x"])), F.array_min(F.transform(boxes, lambda b: b["y"]))
     right, bottom = F.array_max(F.transform(boxes, lambda b: b["x"] + b["w"])), F.array_max(F.transform(boxes, lambda b: b["y"] + b["h"]))
     return F.struct(F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(right - x, 4).alias("w"), F.round(bottom - y, 4).alias("h"))
+
+
+# fixed values: tokens that mark a box
+MARKS = ["x", "X", "><", "✓", "✔", "[X]", "[x]"]
+
+
+def marked_labels(words: DataFrame, keys: list[str], labels: list[list[str]], reach: float = 0.08, spread: float = 0.02) -> DataFrame:
+    """(keys, label): the label with a mark on its line, at most ``reach`` to its left; the first label of the list wins."""
+    marks = words.where(F.col("text").isin(MARKS)).select(*keys, (F.col("bbox_x") + F.col("bbox_w")).alias("_end"), F.col("bbox_y").alias("_y"))
+    out = None
+    for rank, label in enumerate(labels):
+        spots = label_sequences(words, keys, label, spread).select(*keys, "x", "y", F.lit(rank).alias("_rank"), F.lit(" ".join(label)).alias("label"))
+        out = spots if out is None else out.unionByName(spots)
+    near = out.join(marks, keys).where((F.abs(F.col("_y") - F.col("y")) <= spread) & (F.col("_end") <= F.col("x")) & (F.col("x") - F.col("_end") <= reach))
+    return near.groupBy(*keys).agg(F.min_by("label", "_rank").alias("label"))

@@ -94,3 +94,15 @@ def set_table(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     a, b = left.select(column).distinct().withColumn("l", F.lit(True)), right.select(column).distinct().withColumn("r", F.lit(True))
     side = F.when(F.col("l") & F.col("r"), "both").when(F.col("l"), "left").otherwise("right")
     return a.join(b, column, "full").select(column, side.alias("side"))
+
+
+def nested(parent: DataFrame, child: DataFrame, key: str, child_key: str, fields: list[str], name: str) -> DataFrame:
+    """Parents with their children as a sorted array of structs, empty where there are none. Children of a key are few by nature."""
+    held = child.groupBy(F.col(child_key).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    empty = F.array().cast(held.schema[name].dataType)
+    return parent.join(held, key, "left").withColumn(name, F.coalesce(name, empty))
+
+
+def pending(df: DataFrame, key: str, open_: Column) -> DataFrame:
+    """Per key whether any row is still open; null tests are not."""
+    return df.groupBy(key).agg(F.coalesce(F.bool_or(F.coalesce(open_, F.lit(False))), F.lit(False)).alias("pending"))

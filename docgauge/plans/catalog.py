@@ -586,3 +586,15 @@ def missing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select p_partkey, case when regexp_matches(p_size::varchar, '^[0-9]+$') then p_size * 43560.0 else 0.0 end as square_feet from part""")
 def area_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", T.area_square_feet(F.concat(F.col("p_size").cast("string"), F.lit(" acres"))).alias("square_feet"))
+
+
+@query("""select l_orderkey, bool_or(l_returnflag = 'N') as pending from lineitem group by 1""")
+def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.pending(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_returnflag") == "N")
+
+
+@query("""select o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_returnflag, ',' order by l_linenumber, l_returnflag), '') as files from orders left join lineitem on l_orderkey = o_orderkey and l_linenumber < 4 group by 1""")
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber < 4")
+    both = R.nested(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_orderkey", ["l_linenumber", "l_returnflag"], "f")
+    return both.select("o_orderkey", F.array_join(F.transform("f", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_returnflag"])), ",").alias("files"))

@@ -93,3 +93,14 @@ def cached_documents(pages: DataFrame, expected: DataFrame) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str, mode: str = "append") -> None:
     """One directory per value; rows of a value are spread by AQE's rebalancing, not gathered in one task."""
     df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)
+
+
+def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A JSON line per row, nulls kept."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def fields_long(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """Entity, attribute, value: one row per field that is not null."""
+    cells = F.explode(F.map_entries(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]))).alias("e")
+    return df.select(id_col, cells).select(id_col, F.col("e.key").alias("field_name"), F.col("e.value").alias("field_value")).where("field_value is not null")

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from docgauge.functions import documents as D
 from docgauge.functions import text as T
-from docgauge.operators import tables
+from docgauge.operators import ordered, relational, tables
 from docgauge.plans import rules
+from docgauge.sources import tables as sources
 
 from test_rules import DOC, doc
 
@@ -58,3 +59,17 @@ def test_pages_documents_and_answers(spark):
     assert [tuple(r) for r in two.select(D.form_type(F.col("a")), D.mismatched_tokens(F.col("a"), F.col("b"))).collect()] == [("1073", ["form", "1073", "in", "tx."]), ("1004", ["urar"]), (None, [])]
     assert [round(r[0], 2) for r in two.select(D.document_confidence([F.col("a")], [F.col("b")], F.col("a"))).collect()] == [0.45, 0.4, 0.35]
     assert [r[0] for r in two.select(D.excerpt(F.col("a"), ["marcos", "none"], 9, 4, 6)).collect()] == ["San Marco", "URAR", None]
+
+
+def test_marks_nested_rows_and_reports(spark, tmp_path):
+    words = [("d", t, x, y, 0.02, 0.01) for t, x, y in (("X", 0.10, 0.5), ("Owner", 0.14, 0.5), ("Tenant", 0.3, 0.5), ("x", 0.6, 0.7), ("Tenant", 0.9, 0.7))]
+    df = spark.createDataFrame(words, "doc string, text string, bbox_x double, bbox_y double, bbox_w double, bbox_h double")
+    assert [tuple(r) for r in ordered.marked_labels(df, ["doc"], [["Tenant"], ["Owner"]]).collect()] == [("d", "Owner")]
+    p, c = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "b", None), (1, "a", True)], "pid long, n string, open boolean")
+    assert {r.id: [x.n for x in r.kids] for r in relational.nested(p, c, "id", "pid", ["n"], "kids").collect()} == {1: ["a", "b"], 2: []}
+    assert {tuple(r) for r in relational.pending(c, "n", F.col("open")).collect()} == {("a", True), ("b", False)}
+    long = sources.fields_long(spark.createDataFrame([(1, "x", None, 2.0)], "id long, a string, b string, c double"), "id", ["a", "b", "c"])
+    assert {tuple(r) for r in long.collect()} == {(1, "a", "x"), (1, "c", "2.0")}
+    sources.write_report(p.withColumn("n", F.lit(None).cast("string")), f"{tmp_path}/r")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/r").collect()) == ['{"id":1,"n":null}', '{"id":2,"n":null}']
+    assert [r[0] for r in spark.createDataFrame([("aab",), (None,)], "t string").select(T.replaced(F.col("t"), {"a": "b", "bbb": "c"})).collect()] == ["c", None]
