@@ -20,7 +20,8 @@ RATE = 0.1
 WINDOW, STRIDE = 100, 50
 #: Characters of benchmark text that one pass holds in memory; larger benchmarks take several passes over the documents.
 BLOCK_CHARS = 8_000_000
-STEP_CHARS = 1_000_000
+#: Characters and rows that a task looks at together; each shared q-gram takes some 100 bytes meanwhile.
+STEP_CHARS, STEP_ROWS = 200_000, 500
 GAP = 4 * WINDOW
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BITS = 22
@@ -199,7 +200,7 @@ def _finder(passages: Passages, id_col: str):
         yield from best.values()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, STEP_ROWS) for b in batches for i in range(0, b.num_rows, STEP_ROWS)):
             held, size, rows = [], 0, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
