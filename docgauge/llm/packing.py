@@ -22,7 +22,7 @@ QUERY_TERMS = 24
 GROUPS = 100_000
 K1, B = 1.2, 0.75
 TERM_BITS = 22
-CACHE = 1_000_000
+CACHE = 300_000
 PUNCTUATION = ".,!?;:|*$%&#"
 #: Separators that Python's split() takes for white space and the tokenizer's patterns don't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
