@@ -20,15 +20,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, stored(scores.where("not kept").select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
 
 
+#: Links of the near-duplicate stage; the contract's three words and 90/100 are those of the query op5_jaccard_join.
+NEAR = {"words": 5, "num": 80, "den": 100}
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of linked documents, once where rows repeat it; null ids stay."""
-    parts = jaccard_components(docs)
-    kept = without(docs, stored(parts.where("doc_id <> component_id").select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
-    repeated = stored(parts.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.limit(1).count() == 0:
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), "text").alias("d"))
-    return without(kept, repeated, ["doc_id"]).select(*docs.columns).unionByName(once.select("d.*"))
+    """Keeps the row of the smallest doc_id of each component of linked documents; null ids stay.
+
+    Rows that repeat a doc_id are documents of their own: they fold where their texts are equal (null texts too) or linked.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
+        parts = jaccard_components(docs, **NEAR)
+        return without(docs, stored(parts.where("doc_id <> component_id").select("doc_id")), ["doc_id"]).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = named.groupBy("doc_id", "text").agg(F.min(F.struct("doc_id", *rest)).alias("r")).select("doc_id", "text", *[F.col(f"r.{c}").alias(c) for c in rest])
+    rows = stored(rows.orderBy("doc_id", F.xxhash64("text"), "text").withColumn("node", F.monotonically_increasing_id()))
+    parts = jaccard_components(rows, "node", **NEAR)
+    kept = without(rows, stored(parts.where("node <> component_id").select("node")), ["node"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
