@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 Q = 8
 RATE = 0.1
 WINDOW, STRIDE = 100, 50
+#: Short windows of items: every excerpt of SHORT + SHORT_STRIDE - 1 = 64 normalised characters holds a whole one.
+SHORT, SHORT_STRIDE = 49, 16
+#: Shared q-grams that the choice of a passage's q leaves as its bound, so that one common q-gram is no candidate.
+SHARED = 4
 #: Characters of benchmark text that one pass holds in memory; larger benchmarks take several passes over the documents.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_500_000
 #: Characters and rows that a task looks at together; each shared q-gram takes some 100 bytes meanwhile.
 STEP_CHARS, STEP_ROWS = 200_000, 500
 GAP = 4 * WINDOW
@@ -63,7 +67,11 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Passages:
-    """Windows of benchmark items with their q-grams sorted for lookup."""
+    """Windows of benchmark items with their q-grams sorted for lookup, in a table for each q.
+
+    An item is a passage whole or, beyond ``WINDOW`` characters, in long windows, and in short ones beyond ``SHORT``.
+    Short passages take a smaller q where the lemma would leave less than ``SHARED`` q-grams at their full number of edits.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.item, self.codes, self.offset, self.edits = [], [], [], []
@@ -73,36 +81,50 @@ class Passages:
             codes = codes[lo : len(codes) - (1 if len(codes) > lo and codes[-1] == 32 else 0)]
             if len(codes) < 2 * Q:
                 continue
-            starts = [0] if len(codes) <= WINDOW else sorted({*range(0, len(codes) - WINDOW, STRIDE), len(codes) - WINDOW})
-            for s in starts:
-                part = codes[s : s + WINDOW]
-                self.item.append(item_id)
-                self.codes.append(part)
-                self.offset.append(s)
-                self.edits.append(max(0, min(int(rate * len(part)), (len(part) - Q) // Q - 1)))
+            for size, stride in ((WINDOW, STRIDE), (SHORT, SHORT_STRIDE)):
+                if size < WINDOW and len(codes) <= size:
+                    continue  # whole already
+                starts = [0] if len(codes) <= size else sorted({*range(0, len(codes) - size, stride), len(codes) - size})
+                for s in starts:
+                    part = codes[s : s + size]
+                    self.item.append(item_id)
+                    self.codes.append(part)
+                    self.offset.append(s)
+                    self.edits.append(int(rate * len(part) + 1e-9))
         self.edits = np.array(self.edits, np.int64)
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.needed = self.length + 1 - Q - Q * self.edits
-        hashes = [grams(c) for c in self.codes]
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        w = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        j = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0, np.int64)
+        self.q = np.clip((self.length + 1 - SHARED) // (self.edits + 1), 1, Q)
+        self.needed = self.length + 1 - self.q - self.q * self.edits
+        self.tables = {int(q): self._table(int(q)) for q in np.unique(self.q)}
+
+    def _table(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted hashes, windows, places, which leading bits occur) of the q-grams of the passages that take this q."""
+        mine = np.flatnonzero(self.q == q)
+        hashes = [grams(self.codes[i], q) for i in mine]
+        h = np.concatenate(hashes)
+        w = np.repeat(mine, [len(x) for x in hashes])
+        j = np.concatenate([np.arange(len(x)) for x in hashes])
         order = np.argsort(h, kind="stable")
-        self.hash, self.window, self.place = h[order], w[order], j[order]
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[self.hash >> np.uint64(64 - BITS)] = True
+        seen = np.zeros(1 << BITS, bool)
+        seen[h >> np.uint64(64 - BITS)] = True
+        return h[order], w[order], j[order], seen
 
     def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, first diagonal of the band) of the bands whose distinct shared q-grams meet the lemma's bound."""
-        h = grams(codes)
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - BITS)])
-        lo = np.searchsorted(self.hash, h[at], "left")
-        n = np.searchsorted(self.hash, h[at], "right") - lo
+        found = [self._candidates(codes, q) for q in self.tables]
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+
+    def _candidates(self, codes: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes, windows, places, seen = self.tables[q]
+        h = grams(codes, q)
+        at = np.flatnonzero(seen[h >> np.uint64(64 - BITS)])
+        lo = np.searchsorted(hashes, h[at], "left")
+        n = np.searchsorted(hashes, h[at], "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        w, j = self.window[pick], self.place[pick]
+        w, j = windows[pick], places[pick]
         step = self.edits[w] + 1
         diag = np.repeat(at, n) - j + 2 * WINDOW
         band = diag // step
@@ -158,8 +180,10 @@ class Passages:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """Rows (id, item_id, start, end, edits): an item's best region in a document, in code points of the whole text.
 
-    A passage is a benchmark item, or each of its windows of ``WINDOW`` normalised characters if it is longer, and
-    matches where a region lies within ``rate`` edits per character. Case, punctuation and white space do not count.
+    A passage is a benchmark item, or each of its windows of ``WINDOW`` normalised characters if it is longer, and each
+    of its windows of ``SHORT``, so that every excerpt of 64 normalised characters holds one. A passage matches where a
+    region lies within ``rate`` edits per character; an item's best region is of its longest passage, then of the fewest
+    edits. Case, punctuation and white space do not count.
     Items of fewer than 2*Q letters and digits are too short to be evidence and match nothing; null or empty texts
     match nothing; repeated documents give repeated rows; empty tables give no rows. Documents are never shuffled.
     The benchmark is held per pass in blocks of at most ``BLOCK_CHARS`` characters, whatever its size.
@@ -190,13 +214,15 @@ def _finder(passages: Passages, id_col: str):
             at += len(codes) + GAP
         codes, starts = np.concatenate(parts), np.array(starts)
         best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        rank: dict[tuple[int, int], tuple[int, int, int]] = {}
         for w, a, b, cost in passages.regions(codes):
             doc = int(np.searchsorted(starts, a + (b - a) // 2, "right")) - 1
             where, item = places[doc], passages.item[w]
             lo, hi = (int(np.clip(x - starts[doc], 0, len(where) - 1)) for x in (a, b - 1))
             row = (texts[doc][0], item, int(where[lo]), int(where[hi]) + 1, cost)
-            if (doc, item) not in best or (row[4], row[2]) < (best[doc, item][4], best[doc, item][2]):
-                best[doc, item] = row
+            mine = (-int(passages.length[w]), row[4], row[2])
+            if (doc, item) not in best or mine < rank[doc, item]:
+                best[doc, item], rank[doc, item] = row, mine
         yield from best.values()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
