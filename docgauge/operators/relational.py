@@ -72,14 +72,21 @@ def later_copies(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("duplicate", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
 
 
-def recommended(items: DataFrame, people: DataFrame, item: str, same: Column, order: list[Column], n: int) -> DataFrame:
-    """People ranked per item, those of the same kind first. ``people`` is a small staff table, checked before its broadcast."""
-    staff = people.count()
-    if staff > 10_000:
-        raise ValueError(f"{staff} people: rank within a key instead of against every item")
-    both = items.join(F.broadcast(people), F.lit(True))
-    rank = F.row_number().over(Window.partitionBy(item).orderBy(same.desc(), *order))
-    return both.withColumn("same", same).withColumn("rank", rank).where(F.col("rank") <= n)
+def recommended(items: DataFrame, people: DataFrame, item: str, kind: str, own: str, order: list[Column], n: int) -> DataFrame:
+    """The ``n`` best people per item, those of the item's kind (``kind`` equals the person's ``own``) first.
+
+    An item meets the ``n`` best of its own kind by an equi-join, and as many of all people to fill up from; no other
+    person can rank. People without a kind come after those of another one.
+    """
+    place = F.row_number().over(Window.partitionBy(own).orderBy(*order))
+    best = people.where(F.col(own).isNotNull()).withColumn("rank", place).where(F.col("rank") <= n).drop("rank")
+    mine = items.join(best, F.col(kind) == F.col(own))
+    first = lambda *by: people.orderBy(*by).limit(n).agg(F.collect_list(F.struct(*people.columns))).scalar()
+    fill = F.when(F.col(kind).isNull(), first(*order)).otherwise(first(F.col(own).isNull(), *order))
+    rest = items.withColumn("person", F.explode(fill)).select(*items.columns, "person.*")
+    same = F.col(kind) == F.col(own)
+    both = mine.unionByName(rest.where(~F.coalesce(same, F.lit(False)))).withColumn("same", same)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("same"), *order))).where(F.col("rank") <= n)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -292,7 +292,7 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
  row_number() over (partition by n_nationkey order by s_nationkey = n_nationkey desc, s_acctbal desc, s_suppkey) as rank from nation, supplier) where rank <= 3""")
 def reviewer_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, people = table(spark, sf_dir, "nation").select("n_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return R.recommended(items, people, "n_nationkey", F.col("s_nationkey") == F.col("n_nationkey"), [F.desc("s_acctbal"), F.asc("s_suppkey")], 3).select("n_nationkey", "s_suppkey", "same", "rank")
+    return R.recommended(items, people, "n_nationkey", "n_nationkey", "s_nationkey", [F.desc("s_acctbal"), F.asc("s_suppkey")], 3).select("n_nationkey", "s_suppkey", "same", "rank")
 
 
 # ---- order and neighbourhood
