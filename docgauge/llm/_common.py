@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def trimmed(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for mapInArrow; at its end the worker, which outlives the task, gives freed memory back to the system."""
+
+    def trimming(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # no glibc
+                pass
+
+    return trimming
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a folder of our own only where the cluster names none."""
+    """A fresh folder under ``spark.checkpoint.dir``; a folder of our own only in local mode, where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="docgauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"

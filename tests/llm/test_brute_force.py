@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -339,15 +340,70 @@ def test_word_pieces_equal_whole_texts(text):
 
         PIECES.append(packing.WordPieces(public_tokenizers.path("word_bpe_49k.json")))
     pieces = PIECES[0]
-    assert np.frombuffer(pieces.encode([text])[0], "<u4").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+    want = [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "the end.")]
+    ids, bounds = pieces.encode(pa.array([text, "", "the end."]))
+    assert ids.tolist() == [*want[0], *want[1]] and bounds.tolist() == [len(want[0]), len(want[0]), len(want[0]) + len(want[1])]
 
 
-def test_neighbours_come_first():
-    docs = [np.array(d) for d in ([5, 6, 7], [90, 91], [5, 6, 8], [40, 41, 42], [6, 7, 90])]
-    index = packing.Bm25(docs, np.ones(100, bool))
-    found = list(index.neighbours(0))
-    assert found[0] == 0 and set(found) == {0, 2, 4}
-    assert packing.filled(np.array([4, 3, 4, 4, 4]), index, 12)[:3] in ([0, 2, 4], [0, 4, 2])
+def test_forgotten_words_are_learned_again():
+    import public_tokenizers
+
+    pieces = packing.WordPieces(public_tokenizers.path("word_bpe_49k.json"), known=40)
+    for n in range(30):
+        text = " ".join(f"word{n}x{i % 7}, The" for i in range(n))
+        assert pieces.encode(pa.array([text]))[0].tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def shard_of(docs, total=None, ends=None):
+    """Index of documents of one-token words, with the frequencies of these documents."""
+    ids, bounds = np.concatenate([np.array(d, np.uint16) for d in docs]), np.cumsum([len(d) for d in docs])
+    ends = np.ones(1 << 16, bool)
+    _, term, _, words = packing.distinct_terms(ids, bounds, ends)
+    df = np.bincount(term, minlength=1 << packing.TERM_BITS).astype(np.float32)
+    return packing.Bm25(ids, bounds, ends, df, len(docs), words.mean()), ids, bounds
+
+
+def test_bm25_equals_a_plain_loop():
+    rng = np.random.default_rng(6)
+    docs = [rng.zipf(1.4, int(rng.integers(0, 60))) % 500 for _ in range(150)]
+    index, _, _ = shard_of(docs)
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    for i in range(0, n, 7):
+        want = []
+        for d in docs:
+            tf, score = Counter(d.tolist()), 0.0
+            for t in set(docs[i].tolist()):
+                if tf[t]:
+                    score += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            want.append(score)
+        got = index.scores(i)
+        alone = sum(math.log1p((n - 0.5) / 1.5) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for t, c in Counter(docs[i].tolist()).items() if df[t] == 1)
+        want[i] -= alone  # terms that no other document holds are left out
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_seeds_take_their_best_unused_neighbours():
+    index, _, _ = shard_of([[5, 6, 7], [90, 91], [5, 6, 8], [40, 41, 42], [6, 7, 90]])
+    found = list(index.neighbours(0, np.array([True, False, False, False, False])))
+    assert set(found) == {2, 4} and list(index.scores(0)[found]) == sorted(index.scores(0)[found], reverse=True)
+    assert packing.filled(np.array([4, 3, 4, 4, 4]), index, 12)[:3] == [0, *found]
+
+
+def test_leading_term_is_the_most_frequent_that_fits():
+    df = np.zeros(20, np.float32)
+    df[[1, 2, 3, 4, 5]] = 1, 7, 8, 9, 50
+    lead = lambda terms: packing.leading(np.zeros(len(terms), np.int64), np.array(terms, np.int64), df, 2, 8).tolist()
+    assert lead([1, 2, 3, 4, 5]) == [3, -1] and lead([1, 4, 5]) == [4, -1] and lead([5]) == [5, -1] and lead([1]) == [1, -1]
+
+
+def test_many_copies_are_dealt_and_kept_whole(spark):
+    rows = [(i % 5, "the same few words again and again " * 3) for i in range(5000)] + [(i, f"own{i} words{i}") for i in range(300)] + [(None, None)] * 2500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.packed(df, window=512).toPandas()
+    assert out.groupby("doc_id", dropna=False)["length"].sum().sum() == out[out.start == 0].doc_tokens.sum() and (out.start == 0).sum() == len(rows)
+    part = (out.sequence_id.to_numpy().astype(np.int64) >> 32)
+    assert len(np.unique(part)) > 4 and np.bincount(part).max() < len(out) / 2
 
 
 # ---- 9 sharding

@@ -32,7 +32,7 @@ def test_each_stage_acts_on_all_that_came_before(spark, steps):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
     assert ids(steps[0]) == ids(quality.perplexities(docs, trusted).where("kept")) and 0 < steps[0].count() < docs.count()
-    assert ids(steps[1]) == ids(jaccard_join.jaccard_components(steps[0]).where("doc_id = component_id"))
+    assert ids(steps[1]) == ids(jaccard_join.jaccard_components(steps[0], words=5, num=80, den=100).where("doc_id = component_id"))
     leaked = {r.doc_id for r in decontamination.contaminated(steps[1], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids(steps[2]) == sorted(set(ids(steps[1])) - leaked) and leaked
     assert ids(steps[3]) == ids(steps[2])
