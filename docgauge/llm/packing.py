@@ -8,6 +8,7 @@ is matched with all its terms against all postings.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,9 +38,20 @@ PUNCTUATION = ".,!?;:|*$%&#"
 #: Separators that Arrow takes for white space and the tokenizer's patterns don't.
 SEPARATORS = "[\x1c-\x1f]"
 WORD = re.compile("[^\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters whose lower case is one letter each and that normalisation leaves as they are.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+def _without_patterns(setup: dict) -> dict:
+    """The tokenizer for lower-case Latin words and runs of punctuation between spaces, which its patterns keep whole."""
+    steps = (setup["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    if len(steps) == 2 and steps[0].get("pattern") == {"Regex": split} and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"]:
+        return setup | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
+    return setup
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -55,6 +67,7 @@ class WordPieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.lean = Tokenizer.from_str(json.dumps(_without_patterns(json.loads(self.tokenizer.to_str()))))
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(size, bool)
@@ -70,9 +83,9 @@ class WordPieces:
             out += [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
         return out
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
+    def _parts(self, parts: list[str], tokenizer) -> list[bytes]:
         """Ids of runs of letters or of punctuation, many in one call, parted at tokens that end a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
         cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
         if len(cuts) != len(parts):  # some part is several words to the tokenizer
             return self._encode(parts)
@@ -88,11 +101,13 @@ class WordPieces:
         return at, self.hashes[at] == h
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        plain, odd = [], []
+        plain, odd, latin = [], [], LATIN.fullmatch
         for w, h in zip(words, hashes.tolist(), strict=True):
             core = w.rstrip(PUNCTUATION)
-            if core.isalpha():
-                plain.append((h, core.lower() if core.isascii() else core, w[len(core) :]))
+            if latin(core):
+                plain.append((h, core.lower(), w[len(core) :]))
+            elif core.isalpha():
+                plain.append((h, core, w[len(core) :]))
             else:
                 odd.append((w, h))
         names = list({p: None for _, core, tail in plain for p in (core, tail)})
@@ -101,8 +116,11 @@ class WordPieces:
         begin, end, ids = self.at[at].tolist() if len(self.at) else [], (self.at[at] + self.len[at]).tolist() if len(self.at) else [], self.ids
         parts = {"": b""}
         parts.update((names[i], ids[begin[i] : end[i]].tobytes()) for i in np.flatnonzero(seen).tolist())
-        new = [n for n in names if n not in parts]
-        parts.update(zip(new, self._parts(new) if new else [], strict=True))
+        new = sorted(n for n in names if n not in parts)
+        easy = [n for n in new if latin(n) or n[0] in PUNCTUATION]
+        hard = [n for n in new if not (latin(n) or n[0] in PUNCTUATION)]
+        for some, tokenizer in ((easy, self.lean), (hard, self.tokenizer)):
+            parts.update(zip(some, self._parts(some, tokenizer) if some else [], strict=True))
         fresh = {h: parts[n] for n, h, s in zip(names, of_part.tolist(), seen.tolist(), strict=True) if not s}
         fresh.update((h, parts[core] + parts[tail]) for h, core, tail in plain)
         fresh.update(zip([h for _, h in odd], self._encode([w for w, _ in odd]), strict=True))
@@ -194,8 +212,7 @@ def _tokenise(path: str):
             for names, texts in steps(batch):
                 ids, bounds = pieces.encode(texts)
                 _, term, _, words = distinct_terms(ids, bounds, pieces.ends)
-                term, n = np.unique(term, return_counts=True)
-                df[term] += n.astype(np.int32)
+                np.add.at(df, term, 1)
                 width = pieces.dtype.itemsize
                 blob = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((np.concatenate([[0], bounds]) * width).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([names, blob, pa.array(words), pa.nulls(len(names), pa.list_(pa.int32())), pa.nulls(len(names), pa.list_(pa.int64()))], schema=TOKENS)
@@ -213,16 +230,18 @@ def unpacked(blobs: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def leading(doc: np.ndarray, term: np.ndarray, df: np.ndarray, n: int, limit: int = SHARD_ROWS) -> np.ndarray:
-    """Per document its leading term, or -1 without terms: the most frequent whose documents fit a shard and that another holds.
+    """Per document (ascending) its leading term, or -1: the most frequent whose documents fit a shard and that another holds.
 
     Else the rarest of the more frequent ones, else any.
     """
-    f = df[term].astype(np.int64)
-    rank = np.where(f > limit, limit + 2 + f / 2.0**50, np.where(f > 1, limit + 1 - f, 2.0**50))
     best = np.full(n, -1, np.int64)
-    order = np.lexsort((term, rank, doc))
-    first = np.flatnonzero(np.concatenate([[True], np.diff(doc[order]) > 0])) if len(doc) else order
-    best[doc[order][first]] = term[order][first]
+    if len(doc):
+        f = df[term].astype(np.float64)
+        rank = np.where(f > limit, limit + 2 + np.log2(f), np.where(f > 1, limit + 1 - f, np.inf))
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        low = np.minimum.reduceat(rank, first)
+        tied = np.where(rank == np.repeat(low, np.diff(np.append(first, len(doc)))), term, 1 << TERM_BITS)
+        best[doc[first]] = np.minimum.reduceat(tied, first)
     return best
 
 
@@ -233,8 +252,7 @@ def _leads(df: np.ndarray, empty: int, ends: np.ndarray, dtype: np.dtype):
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             ids, bounds = unpacked(batch.column("ids"), dtype)
-            doc, term, _, _ = distinct_terms(ids, bounds, ends)
-            lead = leading(doc, term, df, batch.num_rows)
+            lead = leading(*terms_of(ids, bounds, ends), df, batch.num_rows)
             n = np.where(lead < 0, empty, df[lead]).astype(np.int64)
             salt = ((np.arange(row, row + len(lead)).astype(np.uint64) * MIX[0] >> np.uint64(20)) % np.maximum(-(-n // SHARD_ROWS), 1).astype(np.uint64)).astype(np.int64)
             row += len(lead)
@@ -279,12 +297,17 @@ class Bm25:
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return total + np.bincount(self.docs[at], self.weight[at], minlength=self.n)
 
-    def neighbours(self, i: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with i, best first, ties by position."""
+    def neighbours(self, i: int, used: np.ndarray, first: int = 32) -> Iterator[np.ndarray]:
+        """Unused documents that share a term with i, best first, ties by position: about ``first`` of them, then the rest."""
         score = self.scores(i)
         score[used] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        if len(found) > first:
+            least = np.partition(score[found], len(found) - first)[len(found) - first]
+            top = found[score[found] >= least]
+            yield top[np.argsort(-score[top], kind="stable")]
+            found = found[score[found] < least]
+        yield found[np.argsort(-score[found], kind="stable")]
 
 
 def filled(sizes: np.ndarray, index: Bm25, window: int, upto: int = 0) -> list[int]:
@@ -308,9 +331,11 @@ def filled(sizes: np.ndarray, index: Bm25, window: int, upto: int = 0) -> list[i
             take(free)
             continue
         end = (upto // window + 1) * window
-        near = index.neighbours(order[-1], used)
-        for j in near[: int(np.searchsorted(np.cumsum(sizes[near]), end - upto)) + 1].tolist():
-            take(j)
+        for near in index.neighbours(order[-1], used):
+            for j in near[: int(np.searchsorted(np.cumsum(sizes[near]), end - upto)) + 1].tolist():
+                take(j)
+            if upto >= end:
+                break
         while upto < end and len(order) < n:
             while used[free]:
                 free += 1

@@ -385,7 +385,9 @@ def test_bm25_equals_a_plain_loop():
 
 def test_seeds_take_their_best_unused_neighbours():
     index, _, _ = shard_of([[5, 6, 7], [90, 91], [5, 6, 8], [40, 41, 42], [6, 7, 90]])
-    found = list(index.neighbours(0, np.array([True, False, False, False, False])))
+    used = np.array([True, False, False, False, False])
+    found, by_parts = (list(np.concatenate(list(index.neighbours(0, used, k)))) for k in (32, 1))
+    assert found == by_parts
     assert set(found) == {2, 4} and list(index.scores(0)[found]) == sorted(index.scores(0)[found], reverse=True)
     assert packing.filled(np.array([4, 3, 4, 4, 4]), index, 12)[:3] == [0, *found]
 
