@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +51,24 @@ def _without_patterns(setup: dict) -> dict:
     return setup
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 of all strings, where they begin and the last one ends)."""
+    raw = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+    return raw, np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings: bytes times a multiplier of their place, summed and mixed."""
+    raw, offsets = _bytes(words)
+    size = np.diff(offsets)
+    raw = raw[offsets[0] : offsets[-1]].astype(np.uint64)
+    begin = offsets[:-1] - offsets[0]
+    place = (np.arange(len(raw), dtype=np.int32) - np.repeat(begin, size)).astype(np.uint64)
+    place = (place + np.uint64(1)) * MIX[0]
+    place = (place ^ (place >> np.uint64(31))) * MIX[1]
+    total = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * (place | np.uint64(1)))])  # wraps; so do differences
+    h = (total[begin + size] - total[begin] + size.astype(np.uint64)) * MIX[2]
+    return (h ^ (h >> np.uint64(29))) * MIX[1]
 
 
 class WordPieces:
@@ -101,38 +116,34 @@ class WordPieces:
         return at, self.hashes[at] == h
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        plain, odd, latin = [], [], LATIN.fullmatch
-        for w, h in zip(words, hashes.tolist(), strict=True):
-            core = w.rstrip(PUNCTUATION)
-            if latin(core):
-                plain.append((h, core.lower(), w[len(core) :]))
-            elif core.isalpha():
-                plain.append((h, core, w[len(core) :]))
-            else:
-                odd.append((w, h))
-        names = list({p: None for _, core, tail in plain for p in (core, tail)})
-        of_part = hashed([p.encode("utf-8", "surrogatepass") for p in names])
-        at, seen = self._find(of_part)
-        begin, end, ids = self.at[at].tolist() if len(self.at) else [], (self.at[at] + self.len[at]).tolist() if len(self.at) else [], self.ids
-        parts = {"": b""}
-        parts.update((names[i], ids[begin[i] : end[i]].tobytes()) for i in np.flatnonzero(seen).tolist())
-        new = sorted(n for n in names if n not in parts)
-        easy = [n for n in new if latin(n) or n[0] in PUNCTUATION]
-        hard = [n for n in new if not (latin(n) or n[0] in PUNCTUATION)]
-        for some, tokenizer in ((easy, self.lean), (hard, self.tokenizer)):
-            parts.update(zip(some, self._parts(some, tokenizer) if some else [], strict=True))
-        fresh = {h: parts[n] for n, h, s in zip(names, of_part.tolist(), seen.tolist(), strict=True) if not s}
-        fresh.update((h, parts[core] + parts[tail]) for h, core, tail in plain)
-        fresh.update(zip([h for _, h in odd], self._encode([w for w, _ in odd]), strict=True))
-        size = np.fromiter(map(len, fresh.values()), np.int32, len(fresh)) // self.dtype.itemsize
-        h = np.fromiter(fresh, np.uint64, len(fresh))
+        """Encode words or cores: Latin letters and runs of punctuation joined, other letters joined, the rest one by one."""
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(words):
+            kinds[0 if LATIN.fullmatch(w) or not w.strip(PUNCTUATION) and w else 1 if w.isalpha() else 2].append(i)
+        ids: list[bytes] = [b""] * len(words)
+        for mine, tokenizer in zip(kinds, (self.lean, self.tokenizer, None), strict=True):
+            some = [words[i] for i in mine]
+            for i, x in zip(mine, (self._parts(some, tokenizer) if tokenizer else self._encode(some)) if some else [], strict=True):
+                ids[i] = x
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // self.dtype.itemsize
         at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(fresh.values()), self.dtype)])
-        order = np.argsort(h)
-        into = np.searchsorted(self.hashes, h[order])
-        for name, values in (("hashes", h), ("at", at), ("len", size), ("used", np.ones(len(h), bool))):
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.dtype)])
+        order = np.argsort(hashes)
+        into = np.searchsorted(self.hashes, hashes[order])
+        for name, values in (("hashes", hashes), ("at", at), ("len", size), ("used", np.ones(len(at), bool))):
             setattr(self, name, np.insert(getattr(self, name), into, values[order]))
 
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the remembered ids, number of ids) of distinct strings."""
+        h = hashed(words)
+        at, known = self._find(h)
+        if not known.all():
+            missing = np.flatnonzero(~known)
+            self._learn(words.take(pa.array(missing)).to_pylist(), h[missing])
+            at, _ = self._find(h)
+        self.used[at] = True
+        return self.at[at], self.len[at]
+
     def _sweep(self) -> None:
         keep = np.flatnonzero(self.used) if self.used.sum() < self.limit // 2 else np.zeros(0, np.int64)
         n = self.len[keep]
@@ -147,21 +158,44 @@ class WordPieces:
         else:
             lists = pc.utf8_split_whitespace(texts)
             per, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
-        coded = words.dictionary_encode()
-        index, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary()).to_pylist()
-        h = hashed(names)
+        if not len(words):
+            return np.zeros(0, self.dtype), np.zeros(len(per), np.int64)
         if len(self.hashes) > self.limit:
             self._sweep()
-        at, known = self._find(h)
-        if not known.all():
-            missing = np.flatnonzero(~known)
-            self._learn([names[i].decode() for i in missing.tolist()], h[missing])
-            at, _ = self._find(h)
-        self.used[at] = True
-        start, size = self.at[at][index], self.len[at][index]
-        upto = np.cumsum(size)
-        ids = self.ids[np.repeat(start - (upto - size).astype(np.int32), size) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
-        return ids, np.concatenate([[0], upto])[np.cumsum(per)]
+        coded = words.dictionary_encode()
+        names = coded.dictionary
+        # a word of Latin letters is looked up in lower case and without the punctuation behind it, which is a word of its own
+        core = pc.utf8_rtrim(names, PUNCTUATION)
+        easy = pc.match_substring_regex(core, f"^{LATIN.pattern}$")
+        tail = _cut(names, pc.if_else(easy, pc.binary_length(core), pc.binary_length(names)))
+        core = pc.if_else(easy, pc.utf8_lower(core), names).dictionary_encode()
+        tail = tail.dictionary_encode()
+        at, size = [], []
+        for part in (core, tail):
+            start, n = self._pieces(part.dictionary)
+            i = part.indices.to_numpy(zero_copy_only=False)
+            at.append(start[i])
+            size.append(n[i])
+        ids = _gathered(self.ids, np.stack(at, 1).ravel(), np.stack(size, 1).ravel())
+        n = size[0] + size[1]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        size = n[index]
+        upto = np.cumsum(size, dtype=np.int64)
+        return _gathered(ids, (np.cumsum(n) - n).astype(np.int32)[index], size), np.concatenate([[0], upto])[np.cumsum(per)]
+
+
+def _cut(words: pa.Array, begin: pa.Array) -> pa.Array:
+    """Each word from a byte place on."""
+    raw, offsets = _bytes(words)
+    start = offsets[:-1] + begin.to_numpy(zero_copy_only=False)
+    size = offsets[1:] - start
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes()), pa.py_buffer(_gathered(raw, start, size).tobytes()))
+
+
+def _gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values that begin at ``start``, one behind the other."""
+    upto = np.cumsum(size, dtype=np.int64)
+    return values[np.repeat(start - (upto - size).astype(np.int32), size) + np.arange(upto[-1] if len(upto) else 0, dtype=np.int32)]
 
 
 _PIECES: dict[str, WordPieces] = {}
@@ -212,7 +246,7 @@ def _tokenise(path: str):
             for names, texts in steps(batch):
                 ids, bounds = pieces.encode(texts)
                 _, term, _, words = distinct_terms(ids, bounds, pieces.ends)
-                np.add.at(df, term, 1)
+                df += np.bincount(term, minlength=len(df)).astype(np.int32)
                 width = pieces.dtype.itemsize
                 blob = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((np.concatenate([[0], bounds]) * width).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([names, blob, pa.array(words), pa.nulls(len(names), pa.list_(pa.int32())), pa.nulls(len(names), pa.list_(pa.int64()))], schema=TOKENS)
