@@ -10,19 +10,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.llm import charcnn
-from docgauge.llm._common import forget, stored
+from docgauge.llm._common import trimmed
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])")
+#: A candidate is any run of 12 or more printable signs without those that part values, less outer sentence marks.
+CANDIDATE = re.compile(r"[!#-&*+./0-9?@A-Z\\^_`a-z|~-]{12,}={0,2}")
+OUTER = ".!?*#$%&|~`"
+LEAST = 12
 CONTEXT, CORE = 24, 48
 LENGTH = 2 * CONTEXT + CORE
 FINDINGS = 3000
@@ -41,129 +44,148 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with both letters and digits that no rule span touches."""
-    out = []
+    """Long tokens of any kind of signs that no rule span touches."""
+    out, k = [], 0
+    taken = sorted((a, b) for _, a, b in taken)
     for m in CANDIDATE.finditer(text):
-        if MIXED.match(m[0]) and not any(a < m.end() and b > m.start() for _, a, b in taken):
-            out.append((m.start(), m.end()))
+        token = m[0]
+        a, b = m.start() + len(token) - len(token.lstrip(OUTER)), m.start() + len(token.rstrip(OUTER))
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if b - a >= LEAST and not any(c < b and d > a for c, d in taken[k : k + 3]):
+            out.append((a, b))
     return out
 
 
-def windows(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """(characters, mark start, mark end) covering the whole candidate in steps of ``CORE`` with context on both sides."""
-    out = []
-    for a in range(start, end, CORE):
-        b, left = min(a + CORE, end), max(0, a - CONTEXT)
-        out.append((text[left : b + CONTEXT], a - left, b - left))
-    return out
+def windows(spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Parts of at most ``CORE`` characters that cover the spans, and the span of each."""
+    parts = [(a, min(a + CORE, end), i) for i, (start, end) in enumerate(spans) for a in range(start, end, CORE)]
+    return [(a, b) for a, b, _ in parts], [i for _, _, i in parts]
+
+
+def codes_of(text: str, spans: list[tuple[int, int]], begins: list[int] | None = None) -> tuple[np.ndarray, list[int]]:
+    """Network input of every window of the spans, and the span of each; no context before ``begins``."""
+    marks, owner = windows(spans)
+    return charcnn.window_codes(text, marks, [begins[i] for i in owner] if begins else [0] * len(marks), CONTEXT, LENGTH), owner
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def generated(n: int, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """Labelled findings (window, mark start, mark end, secret or not) in formats that the corpus may not hold."""
+def generated(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled windows (codes, secret or not) in formats that the corpus may not hold."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     alnum = string.ascii_letters + string.digits
-    out = []
+    codes, labels = [], []
     for i in range(n):
         word = "".join(rng.choice(["ing", "the", "ner", "ac", "tion", "ou", "mi", "re"]) for _ in range(rng.randint(2, 5)))
         secret = i % 2
         if secret:
-            token = rng.choice([lambda: "ghp_" + pick(alnum, 36), lambda: "eyJ" + pick(alnum + "-_", 60), lambda: pick(alnum + "+/", 40), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(string.hexdigits, 32), lambda: "sk-" + pick(alnum, 40)])()
+            token = rng.choice([lambda: "ghp_" + pick(alnum, 36), lambda: "eyJ" + pick(alnum + "-_", 60), lambda: pick(alnum + "+/", 40), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(string.hexdigits, 32), lambda: "sk-" + pick(alnum, 40), lambda: pick(alnum + "!@#$%^&*", rng.randint(12, 20)), lambda: pick(string.ascii_letters, rng.randint(16, 32)), lambda: pick(string.digits, rng.randint(20, 32))])()
         else:
-            token = rng.choice([lambda: f"{word}.{pick(string.digits, 2)}.example.com/{word}", lambda: f"/{word}/{word}/{pick(string.digits, 4)}", lambda: f"{word}-{word}-{rng.randint(1, 2100)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12.30.00", lambda: f"{word}{rng.randint(0, 99)}.{word}.{word}", lambda: f"{word}_{word}_v{rng.randint(1, 40)}"])()
+            token = rng.choice([lambda: f"{word}.{pick(string.digits, 2)}.example.com/{word}", lambda: f"/{word}/{word}/{pick(string.digits, 4)}", lambda: f"{word}-{word}-{rng.randint(1, 2100)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12.30.00", lambda: f"{word}{rng.randint(0, 99)}.{word}.{word}", lambda: f"{word}_{word}_v{rng.randint(1, 40)}", lambda: word + word, lambda: f"{word}.{word}@{word}.example.org", lambda: (word + word).upper()])()
         text = f"{word} {rng.choice(['', 'key ', 'use ', 'see ', 'id = '])}{token} {word}"
         at = text.index(token)
-        out += [(w, a, b, secret) for w, a, b in windows(text, at, at + len(token))]
-    return out
+        some, _ = codes_of(text, [(at, at + len(token))])
+        codes.append(some)
+        labels += [secret] * len(some)
+    return np.concatenate(codes), np.array(labels)
+
+
+def labelled(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Windows of the rules' findings; of an assignment the value, every other one without what stands before it."""
+    values = [(max(a, b - len(re.search("[A-Za-z0-9+/_.=-]*$", text[a:b])[0])) if k == "assign" else a, b) for k, a, b in spans]
+    return codes_of(text, values, [0 if i % 2 else a for i, (a, _) in enumerate(values)])[0]
+
+
+def _samples(findings: int):
+    """The ``findings`` windows of each class that come first by hash in a partition, as rows (label, hash, codes)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[dict[int, bytes]] = [{}, {}]
 
-SCAN = "doc_id long, base string, n_assign long, n_access long, n_hex long, base_sha256 string, starts array<long>, ends array<long>, chunks array<struct<owner:int,chars:string,a:int,b:int>>, positive array<struct<chars:string,a:int,b:int>>"
-
-
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rule spans and candidates with their windows; a positive window is a rule finding kept as a training label."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("base", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())),
-         ("chunks", pa.list_(pa.struct([("owner", pa.int32()), ("chars", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))), ("positive", pa.list_(pa.struct([("chars", pa.string()), ("a", pa.int32()), ("b", pa.int32())])))]
-    )
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
-            spans = base_spans(text)
-            found = candidates(text, spans)
-            base = joined(spans)
-            n = [sum(s[0] == k for s in spans) for k in KINDS[:3]]
-            chunks = [{"owner": i, "chars": w, "a": a, "b": b} for i, (s, e) in enumerate(found) for w, a, b in windows(text, s, e)]
-            # the context before a rule's keyword is dropped from every other label, so the token itself must be learned
-            sure = [s for s in spans if s[0] != "hex"][:4]
-            positive = [{"chars": w, "a": a, "b": b} for i, (_, s, e) in enumerate(sure) for w, a, b in windows(text if i % 2 else text[s:], s if i % 2 else 0, e if i % 2 else e - s)[:2]]
-            rows.append((doc_id, base, *n, hashlib.sha256(base.encode()).hexdigest(), [s for s, _ in found], [e for _, e in found], chunks, positive))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-
-def fit(scanned: DataFrame, findings: int = FINDINGS, recall: float = 0.95) -> charcnn.CharCnn:
-    """Train on at most ``findings`` labelled windows of each class from the corpus (in hash order) plus generated ones.
-
-    Windows of other candidates stand for the negative class, but for those that look like secrets to a network trained
-    without them.
+        def cut(room: int) -> None:
+            for kind in (0, 1):
+                if len(best[kind]) > room:
+                    best[kind] = dict(sorted(best[kind].items())[:findings])
+
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            for text in batch.column(1).to_pylist():
+                if text:
+                    spans = base_spans(text)
+                    found = candidates(text, spans)
+                    for kind, codes in ((1, labelled(text, spans) if spans else []), (0, codes_of(text, found)[0] if found else [])):
+                        best[kind].update((xxhash.xxh3_64_intdigest(x), x) for x in map(bytes, codes))
+            cut(20 * findings)
+        cut(0)
+        rows = [(kind, np.uint64(h).astype(np.int64), x) for kind in (0, 1) for h, x in best[kind].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["label", "hash", "codes"])
+
+    return run
+
+
+def fit(texts: DataFrame, findings: int = FINDINGS, recall: float = 0.95) -> charcnn.CharCnn:
+    """Train on at most ``findings`` windows of each class from all of the corpus (in hash order) plus generated ones.
+
+    ``texts`` has the columns id and text. Windows of other candidates stand for the negative class, but for those that
+    look like secrets to a network trained without them.
     """
-    pos = scanned.select(F.explode("positive").alias("w")).select("w.*").distinct().orderBy(F.xxhash64("chars"), "chars", "a", "b").limit(findings).collect()
-    neg = scanned.select(F.explode("chunks").alias("w")).select("w.chars", "w.a", "w.b").distinct().orderBy(F.xxhash64("chars"), "chars", "a", "b").limit(findings).collect()
-    known = [(r["chars"], r["a"], r["b"], 1) for r in pos] + generated(1200)
-    other = [(r["chars"], r["a"], r["b"], 0) for r in neg]
+    rows = texts.mapInArrow(trimmed(_samples(findings)), "label int, hash long, codes binary").distinct()
+    pos, other = (np.array([list(r["codes"]) for r in rows.where(F.col("label") == k).orderBy("hash", "codes").limit(findings).collect()], np.uint8).reshape(-1, LENGTH) for k in (1, 0))
+    known, y = generated(1500)
+    known, y = np.concatenate([pos, known]), np.concatenate([np.ones(len(pos)), y])
 
-    def trained(rows: list[tuple[str, int, int, int]]) -> charcnn.CharCnn:
-        return charcnn.train(charcnn.encode([r[0] for r in rows], [(r[1], r[2]) for r in rows], LENGTH), np.array([r[3] for r in rows], float), recall)
+    def trained(more: np.ndarray) -> charcnn.CharCnn:
+        return charcnn.train(np.concatenate([known, more]).astype(np.int64), np.concatenate([y, np.zeros(len(more))]), recall)
 
     # unlabelled windows may be secrets themselves: each half is judged by a network that has not seen it
     halves = (other[::2], other[1::2])
     clean = []
     for mine, rest in (halves, halves[::-1]):
-        net = trained(known + rest)
-        p = net.probability(charcnn.encode([r[0] for r in mine], [(r[1], r[2]) for r in mine], LENGTH))
-        clean += [r for r, q in zip(mine, p, strict=True) if q < net.threshold]
-    return trained(known + clean)
+        net = trained(rest)
+        clean.append(mine[net.probability(mine) < net.threshold])
+    return trained(np.concatenate(clean))
+
+
+def found_in(net: charcnn.CharCnn, text: str) -> list[tuple[str, int, int]]:
+    """All spans: the rules' own and the candidates of which a window reaches the network's threshold, by start and kind."""
+    spans = base_spans(text)
+    rest = candidates(text, spans)
+    for i in range(0, len(rest), 4096):
+        some = rest[i : i + 4096]
+        a, b = max(0, some[0][0] - CONTEXT), some[-1][1] + CONTEXT
+        codes, owner = codes_of(text[a:b], [(s - a, e - a) for s, e in some])
+        spans = spans + [("model", *some[o]) for o in sorted({owner[k] for k in np.flatnonzero(net.probability(codes) >= net.threshold)})]
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: int = FINDINGS, recall: float = 0.95) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans (array of kind, start, end).
 
-    Every text is read whole, once; a null text is empty and has no spans. Rule spans always stay; the network adds
-    spans of kind "model" among long mixed tokens that no rule touches, where the calibrated probability of any of a
-    candidate's windows reaches the threshold. Repeated rows give repeated results; other columns are ignored.
+    One pass over the whole texts gathers the training windows, a second finds the spans; a null text is empty and has
+    none. Rule spans always stay; the network adds spans of kind "model" among all tokens of ``LEAST`` or more signs that
+    no rule touches, where the calibrated probability of any of a candidate's windows reaches the threshold. Repeated rows
+    give repeated results; other columns are ignored.
     """
-    # a handful of numbers and short strings per document: small beside the texts
-    scanned = stored(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, SCAN))
-    net = fit(scanned, findings, recall)
+    base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    net = fit(base, findings, recall)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in every] for every in decided(net, batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    cols = scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "starts", "ends", "chunks")
-    out = stored(cols.mapInArrow(decide, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"))
-    forget(scanned)
-    return out.withColumnRenamed("doc_id", id_col)
-
-
-def decided(net: charcnn.CharCnn, scanned: pa.RecordBatch) -> list[list[tuple[str, int, int]]]:
-    """All spans per scanned row: the rules' own and the candidates of which a window reaches the network's threshold."""
-    chunks, starts, ends, bases = (scanned.column(c).to_pylist() for c in ("chunks", "starts", "ends", "base"))
-    flat = [c for cs in chunks for c in cs]
-    p = net.probability(charcnn.encode([c["chars"] for c in flat], [(c["a"], c["b"]) for c in flat], LENGTH))
-    out, at = [], 0
-    for i, cs in enumerate(chunks):
-        hit = sorted({c["owner"] for c, q in zip(cs, p[at : at + len(cs)], strict=True) if q >= net.threshold})
-        at += len(cs)
-        base = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in bases[i].split(",") if s)]
-        out.append(sorted(base + [("model", starts[i][o], ends[i][o]) for o in hit], key=lambda s: (s[1], KINDS.index(s[0]))))
-    return out
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            every = [found_in(net, t or "") for t in batch.column(1).to_pylist()]
+            fixed = [[s for s in spans if s[0] != "model"] for spans in every]
+            counts = [pa.array([sum(s[0] == k for s in spans) for spans in fixed], pa.int64()) for k in KINDS[:3]]
+            digest = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in fixed], pa.string())
+            spans = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in every], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return base.mapInArrow(trimmed(decide), f"doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans {SPANS}").withColumnRenamed("doc_id", id_col)
 
 
 def span_text(spans: str = "spans"):
@@ -192,16 +214,14 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     One pass fits the network, a second rewrites each row in place: no join, so null and repeated ids need no care.
     Overlapping spans share a mark; null texts stay null; all other columns and rows are as they were.
     """
-    scanned = stored(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, SCAN))
-    net = fit(scanned)
-    forget(scanned)
+    net = fit(df.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     at = df.columns.index(text_col)
     count = df.columns.index("n_chars") if "n_chars" in df.columns else None
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = batch.column(at).to_pylist()
-            spans = decided(net, next(scan(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), batch.column(at)], names=["doc_id", "text"])]))))
+            spans = [found_in(net, t or "") for t in texts]
             new = [without_spans(t, s, mark) if s else t for t, s in zip(texts, spans, strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
@@ -210,4 +230,4 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
                 columns[count] = pa.array([len(t) if s else n for t, s, n in zip(new, spans, was, strict=True)]).cast(batch.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(rewrite, df.schema)
+    return df.mapInArrow(trimmed(rewrite), df.schema)
