@@ -5,18 +5,19 @@ from __future__ import annotations
 import string
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.llm._common import forget, stored
+from docgauge.llm._common import forget, stored, trimmed
 
 #: Bounds of the training sample (rows) and of the feature set.
 POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 768
 FOLDS = 5
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def features(token: str) -> list[str]:
@@ -37,19 +38,43 @@ def feature_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 class Counts:
-    """Counts of chosen features in a text; a token's features are looked up once."""
+    """Counts of chosen features in texts; a token's features are looked up once."""
 
     def __init__(self, chosen: list[str]):
         self.index = {f: i for i, f in enumerate(chosen)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> Counter:
-        known, tokens = self.known, (text or "").split()
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(tokens).difference(known):
-            known[w] = tuple(self.index[f] for f in features(w) if f in self.index)
-        return Counter(i for w in tokens if known[w] for i in known[w])
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, occurrences) of all features that occur, by text and feature."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, flat, size = self.known, [], []
+        for text in texts:
+            tokens = (text or "").split()
+            for w in set(tokens).difference(known):
+                known[w] = tuple(self.index[f] for f in features(w) if f in self.index)
+            at = list(chain.from_iterable(map(known.__getitem__, tokens)))
+            flat += at
+            size.append(len(at))
+        key, n = np.unique(np.repeat(np.arange(len(texts)), size) * max(len(self.index), 1) + np.array(flat, np.int64), return_counts=True)
+        return key // max(len(self.index), 1), key % max(len(self.index), 1), n
+
+
+def risk(w: np.ndarray, b: float, x: np.ndarray, positive: np.ndarray, prior: float, decay: float = 0.0) -> tuple[float, float]:
+    """(prior * E_P[l(f)], E_U[l(-f)] - prior * E_P[l(-f)]) under the logistic loss; the decay's term is in the first."""
+    fp, fu = x[positive == 1] @ w + b, x[positive == 0] @ w + b
+    soft = lambda z: np.logaddexp(0, z).mean()
+    return prior * soft(-fp) + decay / 2 * float(w @ w), soft(fu) - prior * soft(fp)
+
+
+def gradient(w: np.ndarray, b: float, x: np.ndarray, positive: np.ndarray, prior: float, decay: float, slack: float = 0.0) -> np.ndarray:
+    """Of the risk by weights and shift; where the second part is below -slack, of its negative alone, as in the paper."""
+    xp, xu = x[positive == 1], x[positive == 0]
+    sp, su = (1 / (1 + np.exp(-np.clip(m @ w + b, -30, 30))) for m in (xp, xu))
+    sign = 1.0 if risk(w, b, x, positive, prior)[1] >= -slack else -1.0
+    dp = (-prior * (1 - sp) if sign > 0 else 0.0) / len(xp) - sign * prior * sp / len(xp)
+    du = sign * su / len(xu)
+    return np.concatenate([xp.T @ dp + xu.T @ du + decay * w, [dp.sum() + du.sum()]])
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, decay: float = 1e-3, slack: float = 0.0) -> tuple[np.ndarray, float]:
@@ -58,18 +83,10 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 40
     Risk: prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]). Where the bracket falls below -slack, its
     gradient is followed upwards instead, as in the paper.
     """
-    xp, xu = x[positive == 1], x[positive == 0]
     w, b = np.zeros(x.shape[1]), np.log(prior / (1 - prior))
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
-    soft = lambda z: np.logaddexp(0, z)
     for t in range(1, rounds + 1):
-        fp, fu = xp @ w + b, xu @ w + b
-        sp, su = 1 / (1 + np.exp(-np.clip(fp, -30, 30))), 1 / (1 + np.exp(-np.clip(fu, -30, 30)))
-        bracket = soft(fu).mean() - prior * soft(fp).mean()
-        gp_pos, gp_neg, gu = -prior * (1 - sp) / len(xp), -prior * sp / len(xp), su / len(xu)
-        sign = 1.0 if bracket >= -slack else -1.0
-        dp, du = (gp_pos if sign > 0 else 0.0) + sign * gp_neg, sign * gu
-        g = np.concatenate([xp.T @ dp + xu.T @ du + decay * w, [dp.sum() + du.sum()]])
+        g = gradient(w, b, x, positive, prior, decay, slack)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -109,10 +126,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["positive", "at", "n"])
+            row, at, n = counts(batch.column("text").to_pylist())
+            cuts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), *(pa.ListArray.from_arrays(cuts, pa.array(v, pa.int32())) for v in (at, n))], names=["positive", "at", "n"])
 
-    rows = sample.select("positive", "text").mapInArrow(matrix, "positive int, at array<int>, n array<int>").collect()
+    rows = sample.select("positive", "text").mapInArrow(trimmed(matrix), "positive int, at array<int>, n array<int>").collect()
     x = np.zeros((len(rows), len(names)), np.float32)
     for i, r in enumerate(rows):
         x[i, r["at"]] = np.log1p(r["n"])
@@ -120,11 +138,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     forget(sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = [b + sum(w[i] * np.log1p(c) for i, c in counts(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))], names=["id", "score"])
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
+            row, at, n = counts(batch.column("text").to_pylist())
+            z = b + np.bincount(row, w[at] * np.log1p(n), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["id", "score"])
 
-    out = base.mapInArrow(score, "id long, score double")
+    out = base.mapInArrow(trimmed(score), "id long, score double")
     return out.select(F.col("id").alias(id_col), held(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
