@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.llm import semicrf
-from docgauge.llm._common import forget, stored
+from docgauge.llm._common import forget, stored, trimmed
 from docgauge.llm.secret_scan import joined, span_text
 
 KINDS = semicrf.TYPES
@@ -23,8 +23,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[@+]|[0-9]+")
-NEAR, MARGIN, CUT = 24, 20, 1500
-SAMPLE = 600
+NEAR, MARGIN = 24, 20
+#: Longer regions are decoded in steps of CUT characters that look LOOK further, more than an entity of 24 tokens has.
+CUT, LOOK = 1500, 400
+#: Training windows of each class, and characters of the longest one.
+SAMPLE, LONGEST = 600, 400
 
 
 def luhn(digits: str) -> bool:
@@ -52,7 +55,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed rules in code points, end exclusive, by kind and then start."""
     out = [("email", a, b) for a, b in emails(text)]
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             d = m[0].replace(" ", "").replace("-", "")
@@ -85,15 +88,15 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, characters) of the regions; a region of over ``CUT`` characters is cut behind white space."""
+def pieces(text: str) -> Iterator[tuple[int, int, str]]:
+    """(offset, characters of its own, characters) of the regions; a long one in steps that see beyond their own part."""
     for a, b in regions(text):
         while b - a > CUT:
-            cut = max(text.rfind(" ", a, a + CUT), text.rfind("\n", a, a + CUT)) + 1 or a + CUT
+            cut = max(text.rfind(" ", a, a + CUT), text.rfind("\n", a, a + CUT)) + 1
             cut = cut if cut > a else a + CUT
-            yield a, text[a:cut]
+            yield a, cut - a, text[a : min(b, cut + LOOK)]
             a = cut
-        yield a, text[a:b]
+        yield a, b - a, text[a:b]
 
 
 def gold(spans: list[tuple[str, int, int]], offset: int, length: int) -> list[tuple[int, int, int]]:
@@ -112,9 +115,9 @@ def generated(n: int, seed: int = 13) -> list[tuple[str, list[tuple[int, int, in
     out = []
     for i in range(n):
         if i % 2:
-            body, kind = f"({d(3)}) {d(3)}-{d(4)}", 3
+            body, kind = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}"]), 3
         else:
-            body, kind = rng.choice([f"{d(4)}-{d(2)}-{d(2)}", f"{d(3)},{d(3)},{d(3)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(2)} + {d(2)}", f"{d(5)}", f"@{d(2)}abc", f"{d(2)}:{d(2)}:{d(2)}"]), -1
+            body, kind = rng.choice([f"{d(4)}-{d(2)}-{d(2)}", f"{d(3)},{d(3)},{d(3)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(2)} + {d(2)}", f"{d(5)}", f"@{d(2)}abc", f"{d(2)}:{d(2)}:{d(2)}", f"{d(4)} {d(3)} {d(3)}", f"{d(3)}-{d(3)}-{d(3)}", f"{d(3)} {d(3)}"]), -1
         text = f"{rng.choice(['call', 'the', 'to', 'was'])} {body} {rng.choice(['and', 'or', 'in'])}"
         at = text.index(body)
         out.append((text, [(at, at + len(body), kind)] if kind >= 0 else []))
@@ -122,7 +125,7 @@ def generated(n: int, seed: int = 13) -> list[tuple[str, list[tuple[int, int, in
 
 
 SCAN = pa.schema(
-    [("doc_id", pa.int64()), ("base", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("pieces", pa.list_(pa.struct([("at", pa.int64()), ("chars", pa.string())])))]
+    [("doc_id", pa.int64()), ("base", pa.string()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("pieces", pa.list_(pa.struct([("at", pa.int64()), ("own", pa.int32()), ("chars", pa.string())])))]
 )
 
 
@@ -132,7 +135,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = base_spans(text or "")
             base = joined(spans)
-            rows.append((doc_id, base, *[sum(s[0] == k for s in spans) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), [{"at": a, "chars": c} for a, c in pieces(text or "")]))
+            rows.append((doc_id, base, *[sum(s[0] == k for s in spans) for k in KINDS], hashlib.sha256(base.encode()).hexdigest(), [{"at": a, "own": n, "chars": c} for a, n, c in pieces(text or "")]))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCAN, strict=True)] if rows else [pa.array([], f.type) for f in SCAN], schema=SCAN)
 
 
@@ -140,12 +143,15 @@ def parsed(base: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
 
 
-def fit(scanned: DataFrame, sample: int = SAMPLE) -> semicrf.SemiCrf:
-    """Train on at most ``sample`` windows that hold a rule span and as many that hold none (in hash order), plus generated ones."""
+def fit(scanned: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> semicrf.SemiCrf:
+    """Train on at most ``sample`` windows that hold a rule span and as many that hold none (in hash order), plus generated ones.
+
+    Windows of ``longest`` or more characters are not trained on; all are decoded.
+    """
     each = scanned.select("base", F.explode("pieces").alias("p")).select("base", "p.at", "p.chars")
     pick = lambda df: df.orderBy(F.xxhash64("chars"), "chars", "base", "at").limit(sample).collect()
-    rows = pick(each.where("base <> '' and length(chars) < 400").dropDuplicates(["chars"])) + pick(each.where("base = '' and length(chars) < 400").dropDuplicates(["chars"]))
-    return semicrf.train([(r["chars"], gold(parsed(r["base"]), r["at"], len(r["chars"]))) for r in rows] + generated(200))
+    rows = pick(each.where(f"base <> '' and length(chars) < {longest}").dropDuplicates(["chars"])) + pick(each.where(f"base = '' and length(chars) < {longest}").dropDuplicates(["chars"]))
+    return semicrf.train([(r["chars"], gold(parsed(r["base"]), r["at"], len(r["chars"]))) for r in rows] + generated(400))
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -154,7 +160,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
     Every text is read whole, once; a null text is empty. Rule spans always stay; the random field adds the entities of
     its best segmentation that overlap no rule span. Repeated rows give repeated results; other columns are ignored.
     """
-    scanned = stored(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, pieces array<struct<at:long,chars:string>>"))
+    scanned = stored(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(trimmed(scan), "doc_id long, base string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, pieces array<struct<at:long,own:int,chars:string>>"))
     model = fit(scanned, sample)
     keep = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256"]
 
@@ -164,17 +170,22 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
             for base, parts in zip(batch.column("base").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
                 fixed = parsed(base)
                 every = list(fixed)
+                done = 0
                 for p in parts:
                     toks = semicrf.tokens(p["chars"])
                     for i, j, y in model.decode(semicrf.span_features(p["chars"], toks)) if toks else []:
                         a, b = p["at"] + toks[i][0], p["at"] + toks[j - 1][1]
-                        if not any(a < d and b > c for _, c, d in fixed):
-                            every.append((KINDS[y], a, b))
+                        if toks[i][0] < p["own"] and a >= done:  # what begins in the next step's part is found there
+                            done = b
+                            if not any(a < d and b > c for _, c, d in fixed):
+                                every.append((KINDS[y], a, b))
                 every.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in every])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=[*keep, "spans"])
 
-    out = stored(scanned.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"))
+    # the stored table is small beside the work on it: its files don't say how many tasks there should be
+    spread = scanned.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), scanned.rdd.getNumPartitions()))
+    out = stored(spread.mapInArrow(trimmed(decide), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans array<struct<kind:string,start:long,end:long>>"))
     forget(scanned)
     return out.withColumnRenamed("doc_id", id_col)
 

@@ -14,7 +14,7 @@ import numpy as np
 TYPES = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-FEATURES = 22
+FEATURES = 23
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -55,11 +55,15 @@ def span_features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     domain_dots = np.where(seen >= begin, run(dot)[end] - run(dot)[np.maximum(seen, 0)], 0)
     edge_ok = np.where(begin > 0, ~(kind[begin - 1] < 2), True) & np.where(end < n, ~(kind[np.minimum(end, n - 1)] < 2), True)
     word_edges = (kind[begin] < 2) & (kind[last] < 2)
+    # three runs of 3, 3 and 4 digits, with nothing but separators around them
+    runs = inside(kind == 1)
+    first_run = np.array([next((int(digits[j]) for j in range(i, min(i + 3, n)) if digits[j]), 0) for i in range(n)])[:, None]
+    grouped = (runs == 3) & (n_digit == 10) & (first_run == 3) & (digits[last] == 4) & (n_letter + n_other + n_at + n_plus == 0)
     f = np.stack(
         [
             np.ones_like(n_digit), n_at == 1, (n_at == 1) & (domain_dots >= 1), n_space + n_other + n_paren > 0, (n_letter > 0), word_edges, quad, (n_digit >= 13) & (n_digit <= 19), luhn & (n_digit >= 13),
             plus[begin] & np.ones_like(quad), (n_digit >= 9) & (n_digit <= 15), (kind[last] == 1), edge_ok, n_dot > 0, n_digit > 0, n_other > 0, paren[begin] & (n_digit == 10), n_dash > 0, n_plus > 0,
-            np.minimum(n_digit, 20) / 20, np.minimum(end - begin, MAX_TOKENS) / MAX_TOKENS, (n_at == 1) & (n_space + n_other + n_paren == 0) & (n_local >= 0),
+            np.minimum(n_digit, 20) / 20, np.minimum(end - begin, MAX_TOKENS) / MAX_TOKENS, (n_at == 1) & (n_space + n_other + n_paren == 0) & (n_local >= 0), grouped,
         ],
         axis=2,
     )
@@ -151,7 +155,7 @@ def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 8
     model.w[:, 0] = -2
     ready = []
     for text, gold in windows:
-        spans = tokens(text)[:200]
+        spans = tokens(text)
         starts, ends = {a: i for i, (a, _) in enumerate(spans)}, {b: i + 1 for i, (_, b) in enumerate(spans)}
         aligned = [(starts[a], ends[b], t) for a, b, t in gold if a in starts and b in ends and ends[b] - starts[a] <= MAX_TOKENS]
         if spans:

@@ -89,22 +89,48 @@ def test_decontamination_against_all_alignments(spark):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_suffix_array_finds_what_pages_share(streams):
-    got = html_text.suffix_repeats(streams, list(range(len(streams))), 3)
+    run, first, pages = html_text.suffix_runs(streams, list(range(len(streams))), 3)
     where = defaultdict(set)
     for i, s in enumerate(streams):
         for p in range(len(s) - 2):
             where[tuple(s[p : p + 3])].add(i)
-    for s, marks in zip(streams, got, strict=True):
-        assert [bool(m) for m in marks] == [p + 3 <= len(s) and len(where[tuple(s[p : p + 3])]) > 1 for p in range(len(s))]
-
-
-def test_open_blocks_lose_repeated_runs(spark):
-    menu = "home products prices support contact about us today"
-    rows = [(i, f"http://h{i % 2}.org/{i}", f"<div>{menu}</div><div>page {i} says a{i} b{i} c{i} d{i} e{i} &lt;f&gt;</div><div>{menu}</div>") for i in range(6)]
+    at = 0
+    for s in streams:
+        for p in range(len(s) + 1):
+            r = run[at + p]
+            assert (r >= 0) == (p + 3 <= len(s)) and (r < 0 or pages[r] == len(where[tuple(s[p : p + 3])]))
+        at += len(s) + 1
+    assert len(first) == len(where) and (run[first] == np.arange(len(first))).all()
+
+
+def test_open_blocks_that_repeats_cover_go(spark):
+    menu = "<li>home</li><li>products</li><li>prices</li><li>support</li><li>contact</li><li>about us</li><li>today</li>"
+    rows = [(i, f"http://h{i % 2}.org/{i}", f"<ul>{menu}</ul><div>page {i} says a{i} b{i} c{i} d{i} e{i} &lt;f&gt;</div><ul>{menu}</ul>") for i in range(6)]
     rows.append((6, "http://h0.org/6", "<p>x</p>"))
     rows.append((7, "http://alone.org/", f"<p>{menu}</p>"))
     out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out == {**{i: f"page {i} says a{i} b{i} c{i} d{i} e{i} <f>" for i in range(6)}, 6: "x", 7: menu}
+    assert out == {**{i: f"page {i} says a{i} b{i} c{i} d{i} e{i} <f>" for i in range(6)}, 6: "x", 7: "home products prices support contact about us today"}
+
+
+def test_prose_without_article_keeps_shared_phrases_and_quotes(spark):
+    rng = np.random.default_rng(3)
+    phrase = "at the end of the day it was clear to all of them that"
+    quote = " ".join(f"quoted{i}" for i in range(60))
+    advert = "buy one of our fine new products today and get another one for free"
+    prose = {i: f"{' '.join(f'w{k}' for k in rng.integers(0, 10**6, 40))} {phrase} {' '.join(f'w{k}' for k in rng.integers(0, 10**6, 40))}" for i in range(200)}
+    for i in (3, 4):
+        prose[i] += " " + quote
+    rows = [(i, f"http://large.org/{i}", f"<div>{advert}</div><p>{t}</p>" + (f"<blockquote>{quote}</blockquote>" if i in (5, 6) else "")) for i, t in prose.items()]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: t + (f" {quote}" if i in (5, 6) else "") for i, t in prose.items()}
+
+
+def test_words_of_class_names_do_not_drop_prose(spark):
+    shared = "like this page and share it with all of your many friends today"
+    page = lambda i: f"""<article><div class="section-header"><p>first {i}</p></div><section class="social-history"><p>second {i}</p></section><section id="discussion"><h2>Discussion</h2><p>third {i}</p></section>
+    <div class="share-box"><p>{shared}</p></div><div class="cookie-notice">accept</div><div id="comments"><p>reader</p></div><p>last {i}</p></article>"""
+    out = html_text.main_text(spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"first {i} second {i} Discussion third {i} last {i}" for i in range(4)}
 
 
 def test_article_is_kept_whole():
@@ -129,6 +155,20 @@ def test_toxicity_ranks_held_out_rows(spark):
     assert auc > 0.95 and (held.predicted == held.toxic).mean() > 0.9
 
 
+def test_gradient_of_the_risk():
+    from docgauge.llm import toxicity
+
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(60, 5)), (rng.random(60) < 0.4).astype(int)
+    for w, b in ((rng.normal(size=5), 0.2), (-3 * np.abs(rng.normal(size=5)), -9.0)):  # the second has a negative bracket
+        low = toxicity.risk(w, b, x, y, 0.5)[1] < 0
+        value = lambda w, b, low=low: (toxicity.risk(w, b, x, y, 0.5, 1e-3)[0] if not low else 1e-3 / 2 * w @ w) + (-1 if low else 1) * toxicity.risk(w, b, x, y, 0.5)[1]
+        got = toxicity.gradient(w, b, x, y, 0.5, 1e-3)
+        for i in range(6):
+            d = np.eye(6)[i] * 1e-5
+            assert got[i] == pytest.approx((value(w + d[:5], b + d[5]) - value(w - d[:5], b - d[5])) / 2e-5, abs=1e-6)
+
+
 # ---- 4 secrets and 8 personal data
 
 
@@ -192,6 +232,68 @@ def test_method_finds_what_the_rules_miss(spark):
     assert ("email", 39, 63) in spans[100] and ("phone", 12, 26) in spans[100]
 
 
+def test_addresses_of_long_zeros():
+    zeros = "0" * 5000
+    assert [s for s in pii.base_spans(f"{zeros}.1.1.1 and 1.1.1.{zeros}") if s[0] == "ip"] == [("ip", 0, 5006), ("ip", 5011, 10017)]
+
+
+def test_entities_across_a_cut_are_found():
+    text = " ".join(f"{i:03d}x" for i in range(390)) + " 555-867-5309 " + " ".join(f"{i:03d}x" for i in range(200))
+    steps = list(pii.pieces(text))
+    assert len(steps) > 1 and "".join(c[:n] for _, n, c in steps) == text[steps[0][0] : steps[-1][0] + steps[-1][1]]
+    assert all(a + n == b for (a, n, _), (b, _, _) in zip(steps, steps[1:], strict=False))
+
+
+def segmentations(n, i=0):
+    if i == n:
+        yield []
+        return
+    for rest in segmentations(n, i + 1):
+        yield [(i, i + 1, 4), *rest]
+    for j in range(i + 1, n + 1):
+        for y in range(4):
+            for rest in segmentations(n, j):
+                yield [(i, j, y), *rest]
+
+
+def test_decoder_and_gradient_against_all_segmentations():
+    from docgauge.llm import semicrf
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4):
+        model = semicrf.SemiCrf(rng.normal(size=(4, semicrf.FEATURES)), rng.normal(size=(5, 5)))
+        f = rng.normal(size=(n, semicrf.MAX_TOKENS, semicrf.FEATURES))
+
+        def score(parts, model=model, f=f):
+            total, before = 0.0, 4
+            for i, j, y in parts:
+                total += model.t[before, y] + (model.w[y] @ f[i, j - i - 1] if y < 4 else 0)
+                before = y
+            return total
+
+        every = list(segmentations(n))
+        best = max(every, key=score)
+        assert model.decode(f) == [s for s in best if s[2] < 4]
+        gold = [s for s in every[len(every) // 2] if s[2] < 4]
+        gw, gt = model.gradient(f, gold)
+        loss = lambda: score(every[len(every) // 2]) - np.logaddexp.reduce([score(p) for p in every])
+        for array, grad, at in ((model.w, gw, (1, 3)), (model.w, gw, (3, 0)), (model.t, gt, (4, 2)), (model.t, gt, (2, 4))):
+            was = array[at]
+            array[at] = was + 1e-5
+            up = loss()
+            array[at] = was - 1e-5
+            down = loss()
+            array[at] = was
+            assert grad[at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+
+
+def test_national_numbers_by_form(spark):
+    forms = ["(555) 867-5309", "555-867-5309", "555.867.5309", "555 867 5309"]
+    rows = [(i, f"please call {x} today") for i, x in enumerate(forms)] + [(10 + i, f"line {i} of 2024-05-0{i} with 1,234,567 and v1.2.34 words") for i in range(9)]
+    out = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == [("phone", 12, 12 + len(x))] for i, x in enumerate(forms)) and not any(out[10 + i] for i in range(9))
+
+
 # ---- 5 Jaccard join
 
 
