@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgauge.llm._common import trimmed
+
 Q = 8
 RATE = 0.1
 WINDOW, STRIDE = 100, 50
@@ -199,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).distinct().collect()
         passages = Passages([(r["i"], r["t"]) for r in sorted(rows, key=lambda r: (r["i"] is None, r["i"], r["t"]))], rate)
         if passages.codes:
-            out = out.unionByName(base.mapInArrow(_finder(passages, id_col), schema))
+            out = out.unionByName(base.mapInArrow(trimmed(_finder(passages, id_col)), schema))
     return out
 
 

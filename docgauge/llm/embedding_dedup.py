@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.llm._common import connected_components, forget, stored
+from docgauge.llm._common import connected_components, forget, stored, trimmed
 
 SAMPLE = 8192
 BLOCK = 1024
@@ -157,7 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                     names=["label", "dim", "cell", "visits", "id", "copies", "vec"],
                 )
 
-    visits = stored(folded.mapInArrow(visit, f"label string, dim int, cell long, visits boolean, id long, copies long, vec {df.schema[vec_col].dataType.simpleString()}"))
+    visits = stored(folded.mapInArrow(trimmed(visit), f"label string, dim int, cell long, visits boolean, id long, copies long, vec {df.schema[vec_col].dataType.simpleString()}"))
     key = ["label", "dim", "cell"]
     sizes = visits.groupBy(*key).agg(F.sum((~F.col("visits")).cast("long")).alias("m"), F.sum(F.col("visits").cast("long")).alias("q")).where("m > 0")
     sizes = sizes.select(*key, F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb"))

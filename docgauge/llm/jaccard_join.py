@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, stored
+from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, stored, trimmed
 
 NUM, DEN = 90, 100
 WORDS = 3
@@ -184,7 +184,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.count()
-    signed = stored(docs.mapInArrow(_signing(rows, words, num, den), "id long, n long, h1 long, h2 long, sigs array<long>"))
+    signed = stored(docs.mapInArrow(trimmed(_signing(rows, words, num, den)), "id long, n long, h1 long, h2 long, sigs array<long>"))
     folded = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
     reps = folded.select("rep").distinct()
     buckets = signed.join(reps, signed.id == reps.rep, "left_semi").select("id", F.explode("sigs").alias("sig"))
@@ -195,7 +195,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = stars.select("id").union(stars.select("hub")).distinct()
     if wanted.count() <= BROADCAST_ROWS:  # 8 bytes an id; beyond that the texts are shuffled to the ids
         wanted = F.broadcast(wanted)
-    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, s array<long>").dropDuplicates(["id"]))
+    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(trimmed(_sets(words)), "id long, s array<long>").dropDuplicates(["id"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets pass the threshold."""

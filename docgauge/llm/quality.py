@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.llm._common import stored
+from docgauge.llm._common import forget, stored, trimmed
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
 SHARD = 2_000_000
 TRUSTED_BROADCAST = 2_000_000
 HELD_OUT = 5
-QUANTILE = 0.99
+#: The quantile of held-out trusted text that is the threshold; its measure allows short texts more, up to LENGTH characters.
+QUANTILE, LENGTH = 0.9995, 400
 K = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a task holds: while it counts, and with their scores.
 COUNTED, KNOWN = 300_000, 400_000
@@ -49,11 +50,35 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _cutting(order: int):
+    """(lang, gram, n) of the highest order from (lang, word, n), pre-aggregated; linear in a word's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in counts], pa.string()) for i in (0, 1)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], names=["lang", "gram", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                padded = BEGIN * (order - 1) + word + END
+                for i in range(len(word) + 1):
+                    key = (lang, padded[i : i + order])
+                    counts[key] = counts.get(key, 0) + n
+                if len(counts) > COUNTED:
+                    yield rows()
+        yield rows()
+
+    return run
+
+
 def kneser_ney(words: DataFrame, order: int = ORDER) -> DataFrame:
     """Rows (lang, size, gram, p, g) from (lang, word, n): log p of a seen gram, and log backoff g of it as a history."""
-    padded = F.concat(F.lit(BEGIN * (order - 1)), F.col("word"), F.lit(END))
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(order)))
-    top = stored(words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c")))
+    grams = words.select("lang", "word", "n").mapInArrow(trimmed(_cutting(order)), "lang string, gram string, n long")
+    top = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
     tables = {order: top}
     for k in range(order - 1, 0, -1):  # continuation counts: distinct left extensions
         tables[k] = stored(tables[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
@@ -192,12 +217,12 @@ def _scoring(shard: Shard):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = 2.0, shard_rows: int = SHARD) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, shard_rows: int = SHARD) -> DataFrame:
     """Rows (id, lang, perplexity, threshold, kept), one per distinct id and language; ``trusted`` has one id column.
 
     One in ``HELD_OUT`` trusted texts (by hash) stays out of the counts, so that the quantiles are of unseen text. A
-    text's measure is its cross-entropy per character above the language's median, divided by what chance allows at its
-    length; it is rejected above ``margin`` times the language's ``quantile`` of that measure. Null, empty and blank
+    text's measure is its cross-entropy per character above the language's median, times the root of its share of
+    ``LENGTH`` characters where it is shorter; it is rejected above the language's ``quantile`` of that measure. Null, empty and blank
     texts have no perplexity and are kept, as are texts of a language without trusted text; a null language is a
     language of its own. Rows that repeat an id and language, or have none, are scored together. Other columns
     are ignored.
@@ -208,7 +233,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     if sure.count() <= TRUSTED_BROADCAST:
         sure = F.broadcast(sure)
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    words = base.join(sure, "id").where(~held).select("lang", "text").mapInArrow(word_counts, "lang string, word string, n long")
+    words = base.join(sure, "id").where(~held).select("lang", "text").mapInArrow(trimmed(word_counts), "lang string, word string, n long")
     model = stored(kneser_ney(words.groupBy("lang", "word").agg(F.sum("n").alias("n"))))
     shards = max(1, -(-model.count() // shard_rows))
     # the character that a position's history ends in; for a backoff weight that is the gram's own last character
@@ -217,17 +242,17 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     for s in range(shards):
         mine = model if shards == 1 else model.withColumn("last", last).where(F.col("size").isin(0, 1) & F.col("p").isNotNull() | (F.pmod(F.conv(F.hex(F.encode("last", "UTF-32BE")), 16, 10).cast("long"), F.lit(shards)) == s))
         rows = mine.select("lang", "size", "gram", "p", "g").mapInArrow(blobs, BLOBS).collect()  # 16 bytes an entry
-        part = base.mapInArrow(_scoring(Shard(rows, s, shards)), "id long, lang string, logp double, n long")
+        part = base.mapInArrow(trimmed(_scoring(Shard(rows, s, shards))), "id long, lang string, logp double, n long")
         scored = part if scored is None else scored.unionByName(part)
     scored = scored.groupBy("id", "lang").agg(F.sum("logp").alias("logp"), (F.sum("n") / shards).cast("long").alias("n"))
     entropy = stored(scored.withColumn("bits", F.when(F.col("n") > 0, -F.col("logp") / F.col("n"))))
     of_trusted = entropy.join(sure, "id").where(held & (F.col("n") > 0))
     at = of_trusted.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("median"))
-    excess = (F.col("bits") - F.col("median")) * F.sqrt(F.least(F.col("n"), F.lit(400)) / 400)
-    limit = of_trusted.join(F.broadcast(at), "lang").groupBy("lang", "median").agg((margin * F.percentile_approx(excess, quantile, 10000)).alias("limit"))
+    excess = (F.col("bits") - F.col("median")) * F.sqrt(F.least(F.col("n"), F.lit(LENGTH)) / LENGTH)
+    limit = of_trusted.join(F.broadcast(at), "lang").groupBy("lang", "median").agg(F.percentile_approx(excess, quantile, 10000).alias("limit"))
     known = model.where("size = 0").select("lang")
     out = entropy.join(F.broadcast(limit.join(known, "lang")), "lang", "left")  # one row a language
-    bound = F.col("median") + F.col("limit") / F.sqrt(F.least(F.col("n"), F.lit(400)) / 400)
+    bound = F.col("median") + F.col("limit") / F.sqrt(F.least(F.col("n"), F.lit(LENGTH)) / LENGTH)
     out = out.select(F.col("id").alias(id_col), "lang", F.exp("bits").alias("perplexity"), F.exp(bound).alias("threshold"), F.coalesce(F.col("bits") <= bound, F.lit(True)).alias("kept"))
     return out
 
