@@ -229,11 +229,30 @@ def or_else(status: Column) -> Column:
 
 @rule("S-1", "Property Address Validation", "BLOCKING", 10)
 def property_address(d: Doc) -> Column:
-    a, b = street_tokens(d("subject.address")), street_tokens(F.split(d("letter.property_address"), r"(?i)\bProperty\s+County\b").getItem(0))
+    """Street nearly, city, state, five digits of the zip and (where the letter names one) county alike.
+
+    City, state and zip that the letter lacks are read off the end of its address line. A differing address that an
+    answer in ``llm_address`` holds to be the same place with confidence 0.75 asks for a look.
+    """
+    line = F.trim(F.split(d("letter.property_address"), r"(?i)\bProperty\s+County\b").getItem(0))
+    part = lambda i: F.nullif(F.regexp_extract(line, r"^(.+?)\s+([A-Za-z\s]+?),?\s+([A-Z]{2})\s+(\d{5}(?:-\d{4})?)$", i), F.lit(""))
+    given = [F.nullif(F.trim(d(f"letter.{f}")), F.lit("")) for f in ("city", "state", "zip_code")]
+    street = F.when(given[0].isNull() | given[1].isNull() | given[2].isNull(), F.coalesce(part(1), line)).otherwise(line)
+    city, state, zip_code = (F.coalesce(g, part(i)) for g, i in zip(given, (2, 3, 4), strict=True))
+    a, b = street_tokens(d("subject.address")), street_tokens(street)
     x, y = F.array_join(a, " "), F.array_join(b, " ")
     near = (sequence_ratio(x, y) >= 0.85) | F.contains(x, y) | F.contains(y, x) | same_street(a, b)
-    same = lambda f: F.coalesce(squeezed(d(f"subject.{f}")) == squeezed(d(f"letter.{f}")), d(f"letter.{f}").isNull())
-    return F.when(d.any_null("subject.address", "letter.property_address"), VERIFY).when(near & same("city") & same("state") & same("zip_code"), PASS).otherwise(FAIL)
+    alike = lambda mine, theirs: (mine != "") & (mine == theirs)
+    county = F.coalesce(upper_key(d("letter.county")), F.lit(""))
+    same = [
+        near, alike(upper_key(d("subject.city")), upper_key(city)), alike(F.upper(F.trim(d("subject.state"))), F.upper(F.trim(state))),
+        alike(F.left(d("subject.zip_code"), F.lit(5)), F.left(zip_code, F.lit(5))), (county == "") | (upper_key(d("subject.county")) == county),
+    ]
+    passed = F.lit(True)
+    for test in same:
+        passed = passed & F.coalesce(test, F.lit(False))
+    said = d("llm_address.same_location", "boolean") & (d("llm_address.confidence", "double") >= 0.75)
+    return F.when(d.any_null("subject.address", "letter.property_address"), VERIFY).when(passed, PASS).when(F.coalesce(said, F.lit(False)), VERIFY).otherwise(FAIL)
 
 
 @rule("S-2", "Borrower Name Validation", "BLOCKING", 20)
@@ -337,12 +356,30 @@ def assistance(d: Doc) -> Column:
     return or_else(F.when(is_refinance(d), PASS).when(yes.isNull(), VERIFY).when(~yes & (amount > 0), FAIL).when(~yes, PASS).when(none, PASS).when(F.coalesce(amount, F.lit(0.0)) <= 0, VERIFY).when(d.short("contract.financial_assistance_description", 5), FAIL).when(F.abs(amount - agreed) > 0.01, FAIL))
 
 
+# fixed values: wording of a contract that names no item
+BOILERPLATE = [
+    "firewood shall not be considered debris", "property to be delivered in clean condition", "property being sold as-is", "property is being sold as-is",
+    "of the otherwise identified in this agreement as remaining with the property",
+]
+
+
+def real_items(items: Column) -> Column:
+    """Items with single spaces and without outer marks, less empty ones and contract boilerplate."""
+    clean = F.transform(items, lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ .;:,]+|[ .;:,]+$", ""))
+    wording = "|".join(BOILERPLATE) + r"|\b(?:as-is|debris|clean condition|otherwise identified in this agreement)\b"
+    return F.coalesce(F.filter(clean, lambda x: (x != "") & ~F.lower(x).rlike(wording)), F.array().cast("array<string>"))
+
+
 @rule("C-5", "Personal Property Analysis", "ADVISORY", 180, "Purchase")
 def personal_property(d: Doc) -> Column:
-    items, comment = d("agreement.personal_property_items"), d("contract.personal_property_comment")
-    none = F.coalesce(F.length(items) <= 2, F.lit(True))
-    says = comment.rlike("(?i)contribut|no value|not included in|included in")
-    return F.when(is_refinance(d) | none, PASS).when(d.short("contract.personal_property_comment", 10), FAIL).when(~F.coalesce(says, F.lit(False)), VERIFY).otherwise(PASS)
+    """Every item of the agreement is in the comment, which says what it contributes; the report's own items say so too."""
+    items, own = real_items(d("agreement.personal_property_items", "array<string>")), real_items(d("contract.personal_property_items", "array<string>"))
+    comment = F.upper(F.coalesce(d("contract.sales_concessions_comment"), d("contract.personal_property_comment"), F.lit("")))
+    lacks = F.exists(items, lambda x: ~F.contains(comment, F.upper(x))) | ~comment.rlike("CONTRIBUTE|VALUE|CONTRIBUTORY")
+    return (
+        F.when(is_refinance(d), PASS).when((F.size(items) > 0) & (F.length(F.trim(comment)) < 10), FAIL).when((F.size(items) > 0) & lacks, VERIFY)
+        .when((F.size(own) > 0) & d("contract.personal_property_contributes_to_value", "boolean").isNull(), VERIFY).otherwise(PASS)
+    )
 
 
 def complete(id_: str, name: str, order: int, *fields: str, severity: str = "STANDARD") -> None:
@@ -537,9 +574,19 @@ def flood_map(d: Doc) -> Column:
 
 
 # fixed values: wording of commentary
-CANNED = ["typical for the area", "no adverse (?:conditions|factors)", "stable market", "see attached", "average for the neighborhood", "conforms to the neighborhood"]
-SPECIFIC = [r"\d+(?:\.\d+)?\s*%", r"\$\s*\d", r"\b\d+\s*(?:days|months|sales|listings)\b", r"\b(?:street|avenue|highway|school|park)\b", r"\b(?:19|20)\d{2}\b"]
-REASONS = ["because", "due to", "therefore", "as a result", "based on", "indicates"]
+CANNED = [
+    "the subject property is located in a", "the neighborhood is characterized by", "the subject is typical for the neighborhood", "see attached addendum", "no adverse conditions were noted",
+    "the property appears to be in average condition", "no apparent adverse factors", "there are no apparent adverse factors", "there are no adverse factors", "the improvements are typical for the area",
+    "the subject is compatible", "this is a stable neighborhood", "the market appears balanced", "see comparable sales grid", "adjustments reflect market reactions",
+    "comparable sales were selected based on", "the cost approach was not developed", "the income approach was not developed", "equal weight was given to", "weighted average of the indicated values",
+]
+SPECIFIC = [
+    r"\$[\d,]+", r"\d+\s*(?:sf|sq\.?\s*ft)", r"(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d+",
+    r"\d+/\d+/\d+", r"\bDOM\s*\d+", r"\b[A-Z]{2,5}MLS\b", r"\d+%", r"\bMLS\b.*?\d+",
+]
+REASONS = ["because", "therefore", "as a result", "due to", "since", "based on", "indicates", "suggests", "reflects", "demonstrates", "specifically", "in comparison", "relative to", "taking into account", "given that"]
+FINANCING = r"\b(?:fha|va|conventional|financing|loan)\b"
+MEASURES = r"\b(?:absorption|inventory|active listings?|pending sales?|closed sales?|supply|demand|days on market|dom)\b"
 
 
 def phrase_rule(id_: str, name: str, severity: str, order: int, field: str, phrases: str) -> None:
@@ -548,15 +595,22 @@ def phrase_rule(id_: str, name: str, severity: str, order: int, field: str, phra
 
 @rule("COM-1", "Neighborhood Description Specificity", "ADVISORY", 2100)
 def specificity(d: Doc) -> Column:
-    c = d("neighborhood.description")
-    return F.when(d.short("neighborhood.description", 30), VERIFY).when(commentary.canned(c, CANNED, SPECIFIC, REASONS)["canned"], FAIL).otherwise(PASS)
+    """Stock phrases fail; an answer in ``llm_specific`` decides before the keywords, unless they deny adverse factors."""
+    c, said = d("neighborhood.description"), d("llm_specific", "boolean")
+    canned = commentary.canned(c, CANNED, SPECIFIC, REASONS)["canned"]
+    denies = c.rlike(r"(?i)\bno\s+(?:apparent\s+)?adverse\s+factors?\b")
+    return F.when(d.short("neighborhood.description", 30), VERIFY).when(canned & denies, FAIL).when(said, PASS).when(~said | canned, FAIL).otherwise(PASS)
 
 
 @rule("COM-2", "Market Conditions Quality", "STANDARD", 2110)
 def market_quality(d: Doc) -> Column:
+    """Two facts pass; talk of financing alone and "see 1004MC" fail. ``llm_market`` holds see_1004mc and has_analysis."""
     c = d("neighborhood.market_conditions")
-    financing = (commentary.hits(c, ["financing", "interest rate", "mortgage", "loan"]) >= 2) & (commentary.hits(c, SPECIFIC[:3] + ["inventory", "supply", "demand"]) == 0)
-    return F.when(d.short("neighborhood.market_conditions", 10), FAIL).when(financing, FAIL).when(commentary.hits(c, SPECIFIC) >= 2, PASS).otherwise(FAIL)
+    facts = commentary.hits(c, SPECIFIC)
+    financing = (F.regexp_count(F.lower(c), F.lit(FINANCING)) >= 2) & (facts == 0) & ~F.lower(c).rlike(MEASURES)
+    refers = F.lower(c).rlike(r"see\s+1004mc|refer\s+to.*1004mc")
+    analysis = d("llm_market.has_analysis", "boolean")
+    return F.when(d.short("neighborhood.market_conditions", 10) | financing, FAIL).when(d("llm_market.see_1004mc", "boolean") & ~analysis, FAIL).when(analysis, PASS).when((facts >= 2) & ~refers, PASS).otherwise(FAIL)
 
 
 @rule("COM-3", "Comparable Selection Rationale", "ADVISORY", 2120)
@@ -572,10 +626,19 @@ phrase_rule("COM-5", "Reconciliation Sufficiency", "STANDARD", 2140, "sales.reco
 
 @rule("COM-6", "Addenda Consistency", "ADVISORY", 2150)
 def addenda(d: Doc) -> Column:
-    mark = F.regexp_instr(d.text, F.lit(r"(?i)\b(?:supplemental )?addendum\b"))
-    part = squeezed(F.when(mark > 0, F.substring(d.text, mark, F.length(d.text))).otherwise(F.right(d.text, F.lit(5000))))
-    lacks = lambda p: F.coalesce(~F.contains(part, squeezed(d(p))), F.lit(False))
-    return F.when(F.trim(d.text) == "", VERIFY).when(lacks("subject.address") | lacks("subject.borrower") | lacks("subject.lender_name"), VERIFY).otherwise(PASS)
+    """The addenda name another address, borrower, lender or final value (``market_value_opinion``) than the form."""
+    low = F.lower(d.text)
+    marks = F.filter(F.array(*[F.instr(low, x) for x in ("addendum", "additional comments", "certification")]), lambda x: x > 0)
+    part = F.when(F.size(marks) > 0, F.substring(d.text, F.array_min(marks), F.length(d.text))).otherwise(F.right(d.text, F.lit(5000)))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    lacks = lambda p: (F.coalesce(d(p), F.lit("")) != "") & ~F.contains(plain(part), plain(d(p)))
+    amount = F.regexp_replace(F.regexp_replace(d("market_value_opinion"), r"\.\d*$", ""), "[^0-9]", "")
+    amounts = F.transform(F.regexp_extract_all(part, F.lit(r"\$\s*\d[\d,]{3,}"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", ""))
+    issue = (
+        (lacks("subject.address") & part.rlike(r"\b\d{2,6}\s+[A-Za-z0-9 .'-]{3,80}\b")) | (lacks("subject.borrower") & part.rlike(r"(?i)\bborrower\b"))
+        | (lacks("subject.lender_name") & part.rlike(r"(?i)\b(?:lender|client)\b")) | F.coalesce((amount != "") & (F.size(amounts) > 0) & ~F.array_contains(amounts, amount), F.lit(False))
+    )
+    return F.when(F.trim(d.text) == "", VERIFY).when(issue, VERIFY).otherwise(PASS)
 
 
 @rule("COM-7", "Prior Sales Disclosure", "STANDARD", 2160)

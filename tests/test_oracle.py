@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docgauge.plans import catalog
+from docgauge.plans import catalog, rule_queries, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +39,8 @@ def test_oracle(spark, duck, name):
     want = rows(names, res.fetchall())
     assert sorted(df.columns) == sorted(names)
     assert got == want
+
+
+def test_every_rule_has_a_query_with_sql():
+    named = {i for family in rule_queries.FAMILIES.values() for i in family}
+    assert named == set(rules.REGISTRY) and len(rule_queries.CROSS) == 9

@@ -86,7 +86,7 @@ def test_file_keys_and_scores(spark):
 
 
 def test_commentary(spark):
-    df = spark.createDataFrame([(None,), ("typical for the area and stable market",), ("prices rose 5% in 2023 because 12 sales closed near the school",)], "t string")
+    df = spark.createDataFrame([(None,), ("no adverse conditions were noted, this is a stable neighborhood",), ("prices rose 5% by 1/2/2023 because 12 sales closed near the school",)], "t string")
     got = [tuple(r.c) for r in df.select(commentary.canned(F.col("t"), rules.CANNED, rules.SPECIFIC, rules.REASONS).alias("c")).collect()]
     assert got == [(True, 0.9), (True, 0.75), (False, 0.8)]
 
