@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.llm import charcnn
-from docgauge.llm._common import trimmed
+from docgauge.llm._common import forget, stored, trimmed
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -132,8 +132,19 @@ def fit(texts: DataFrame, findings: int = FINDINGS, recall: float = 0.95) -> cha
     ``texts`` has the columns id and text. Windows of other candidates stand for the negative class, but for those that
     look like secrets to a network trained without them.
     """
-    rows = texts.mapInArrow(trimmed(_samples(findings)), "label int, hash long, codes binary").distinct()
-    pos, other = (np.array([list(r["codes"]) for r in rows.where(F.col("label") == k).orderBy("hash", "codes").limit(findings).collect()], np.uint8).reshape(-1, LENGTH) for k in (1, 0))
+    rows = stored(texts.mapInArrow(trimmed(_samples(findings)), "label int, hash long, codes binary").distinct())
+
+    def first(label: int) -> np.ndarray:
+        """The first windows by hash; a bound on the hash keeps what partitions send to the driver small."""
+        mine = rows.where(F.col("label") == label)
+        n = mine.count()
+        near = mine.where(F.col("hash") <= int(-(2**63) + min(2**64 - 1, 2**64 * 4 * findings // max(n, 1))))
+        if near.count() >= min(findings, n):
+            mine = near
+        return np.array([list(r["codes"]) for r in mine.orderBy("hash", "codes").limit(findings).collect()], np.uint8).reshape(-1, LENGTH)
+
+    pos, other = first(1), first(0)
+    forget(rows)
     known, y = generated(1500)
     known, y = np.concatenate([pos, known]), np.concatenate([np.ones(len(pos)), y])
 
