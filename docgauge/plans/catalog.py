@@ -495,7 +495,7 @@ TEXT_RULE_IDS = ("DOC-3", "SIG-4", "SIG-1", "FHA-12", "SK-3", "PH-5", "MF-2", "F
  {'rule_id': 'SK-3', 'status': case when regexp_matches(text, '(?i)\\d+(\\.\\d+)?\\s*x\\s*\\d|\\d+''\\s*-\\s*\\d+"|measured per ANSI|ANSI standards') then 'PASS' else 'VERIFY' end},
  {'rule_id': 'FHA-11', 'status': 'PASS'}, {'rule_id': 'FHA-12', 'status': 'PASS'},
  {'rule_id': 'MF-2', 'status': case when regexp_matches(text, '(?i)form\\s*216|operating income statement') then 'PASS' else 'VERIFY' end}
- ], recursive := true) from documents""".replace("\\\\", "\\"))
+ ], recursive := true) from documents""")
 def rule_engine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten rules on the text alone; those for FHA loans pass documents without a loan type."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))

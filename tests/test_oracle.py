@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docgauge.plans import catalog, rule_queries, rules
+from docgauge.plans import catalog, evidence_queries, rule_queries, rules  # noqa: F401 - registers queries
 
 SF = "/root/testdata/sf0.001"
 
