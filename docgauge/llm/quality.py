@@ -75,8 +75,11 @@ def _cutting(order: int):
     return run
 
 
-def kneser_ney(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """Rows (lang, size, gram, p, g) from (lang, word, n): log p of a seen gram, and log backoff g of it as a history."""
+def kneser_ney(words: DataFrame, order: int = ORDER, used: list[DataFrame] | None = None) -> DataFrame:
+    """Rows (lang, size, gram, p, g) from (lang, word, n): log p of a seen gram, and log backoff g of it as a history.
+
+    The stored tables that the rows are read from are added to ``used``.
+    """
     grams = words.select("lang", "word", "n").mapInArrow(trimmed(_cutting(order)), "lang string, gram string, n long")
     top = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("c")))
     tables = {order: top}
@@ -110,6 +113,8 @@ def kneser_ney(words: DataFrame, order: int = ORDER) -> DataFrame:
         parts = [seen] + ([floor.withColumn("g", F.lit(None).cast("double"))] if k == 1 else [backoff.withColumn("p", F.lit(None).cast("double")).select("lang", "size", "gram", "p", "g")])
         for part in parts:
             out = part if out is None else out.unionByName(part)
+        if used is not None:
+            used += [tables[k], below]
     return out
 
 
@@ -234,7 +239,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         sure = F.broadcast(sure)
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     words = base.join(sure, "id").where(~held).select("lang", "text").mapInArrow(trimmed(word_counts), "lang string, word string, n long")
-    model = stored(kneser_ney(words.groupBy("lang", "word").agg(F.sum("n").alias("n"))))
+    used: list[DataFrame] = []
+    model = stored(kneser_ney(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), used=used))
+    for t in used:
+        forget(t)
     shards = max(1, -(-model.count() // shard_rows))
     # the character that a position's history ends in; for a backoff weight that is the gram's own last character
     last = F.when(F.col("p").isNotNull(), F.substring("gram", -2, 1)).otherwise(F.substring("gram", -1, 1))
