@@ -8,6 +8,7 @@ entry whose history ends in its characters and at most about ``SHARD`` entries,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,9 @@ BEGIN, END = "\x02", "\x03"
 SHARD = 2_000_000
 TRUSTED_BROADCAST = 2_000_000
 HELD_OUT = 5
-#: The quantile of held-out trusted text that is the threshold; its measure allows short texts more, up to LENGTH characters.
-QUANTILE, LENGTH = 0.9995, 400
+#: The quantile of held-out trusted text that is the threshold, estimated from the MEASURED one by an exponential tail, as
+#: few languages have thousands of held-out texts; the measure allows texts shorter than LENGTH characters more.
+QUANTILE, MEASURED, LENGTH = 0.9995, 0.99, 400
 K = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words that a task holds: while it counts, and with their scores.
 COUNTED, KNOWN = 300_000, 400_000
@@ -227,7 +229,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
     One in ``HELD_OUT`` trusted texts (by hash) stays out of the counts, so that the quantiles are of unseen text. A
     text's measure is its cross-entropy per character above the language's median, times the root of its share of
-    ``LENGTH`` characters where it is shorter; it is rejected above the language's ``quantile`` of that measure. Null, empty and blank
+    ``LENGTH`` characters where it is shorter; it is rejected above the language's ``quantile`` of that measure, which is
+    the ``MEASURED`` one carried on along an exponential tail. Null, empty and blank
     texts have no perplexity and are kept, as are texts of a language without trusted text; a null language is a
     language of its own. Rows that repeat an id and language, or have none, are scored together. Other columns
     are ignored.
@@ -257,7 +260,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     of_trusted = entropy.join(sure, "id").where(held & (F.col("n") > 0))
     at = of_trusted.groupBy("lang").agg(F.percentile_approx("bits", 0.5, 10000).alias("median"))
     excess = (F.col("bits") - F.col("median")) * F.sqrt(F.least(F.col("n"), F.lit(LENGTH)) / LENGTH)
-    limit = of_trusted.join(F.broadcast(at), "lang").groupBy("lang", "median").agg(F.percentile_approx(excess, quantile, 10000).alias("limit"))
+    tail = math.log(1 - quantile) / math.log(1 - MEASURED)
+    limit = of_trusted.join(F.broadcast(at), "lang").groupBy("lang", "median").agg((F.percentile_approx(excess, MEASURED, 10000) * tail).alias("limit"))
     known = model.where("size = 0").select("lang")
     out = entropy.join(F.broadcast(limit.join(known, "lang")), "lang", "left")  # one row a language
     bound = F.col("median") + F.col("limit") / F.sqrt(F.least(F.col("n"), F.lit(LENGTH)) / LENGTH)
