@@ -24,7 +24,10 @@ from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, s
 
 NUM, DEN = 90, 100
 WORDS = 3
-BLOCK = 256
+BLOCK = 1024
+BINS = 256
+#: Shared signatures (three longs each) up to which they are broadcast.
+HUB_ROWS = 500_000
 A, B, C, D = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -58,28 +61,57 @@ def bands(num: int, den: int, longest: int) -> np.ndarray:
     return np.array([*edges, edges[-1] * den // num + 1])
 
 
+def _poisson(mean: float, most: int) -> float:
+    """Chance of at most ``most`` at this mean; beyond 700, where its first term vanishes, the normal approximation."""
+    if mean > 700:
+        return 0.5 * (1 + math.erf((most + 0.5 - mean) / math.sqrt(2 * mean)))
+    term = total = math.exp(-mean)
+    for i in range(1, most + 1):
+        term *= mean / i
+        total += term
+    return min(total, 1.0)
+
+
+#: What the cost model expects of texts: one row in ROWS_SHARING shares a run of SHARED tokens with a given one; PAIR is
+#: the work of comparing two sketches against that of shuffling one signature.
+SHARED, ROWS_SHARING, PAIR = 30, 200, 0.02
+
+
 @lru_cache(maxsize=4096)
-def plan(low: int, high: int, rows: int, num: int, den: int) -> tuple[int, int]:
-    """(segments, segments with one-deletion neighbourhoods) of the band of sizes low..high among ``rows`` sets.
+def plan(low: int, high: int, rows: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(segments, those with one-deletion neighbourhoods, spare errors, poor content) of the band of sizes low..high.
 
-    The cost of a choice is a set's signatures plus the accidental partners that it expects: sets whose segment is
-    equally empty, or empty but for one element where a deletion is allowed.
+    The cost of a choice is a set's signatures plus the partners that it expects among ``rows`` sets without a link: those
+    that are as poor as itself, and those that share no more than a passage, of which one element alone in its segment is
+    a signature unless such content counts as poor.
     """
     errors = (den - num) * 2 * high // (den + num)
-    best = (math.inf, 0, 0)
+    best = (math.inf, 0, 0, 0, 0)
     for d in sorted({0, *range(min(4, (errors + 1) // 2) + 1), (errors + 1) // 4, (errors + 1) // 2}):
-        whole = errors + 1 - 2 * d
-        m = whole + d
-        each = low / m
-        none = (1 - 1 / m) ** low if m > 1 else 0.0
-        one = none * (1 + low / (m - 1)) if m > 1 else 0.0
-        cost = whole + d * (1 + each) + rows * (whole * none**2 + d * one**2)
-        best = min(best, (cost, m, d))
-    return best[1], best[2]
+        for poor in (0, 1):
+            spare = 0
+            while spare <= 2 * errors + 2:
+                m = errors + 1 + spare - d
+                whole, each = m - d, low / m
+                few, fewer = _poisson(each, poor + 1), _poisson(each, poor)
+                tail = 1 - _poisson(whole * fewer + 2 * d * few, spare)
+                chance = tail**2 * min(1.0, whole * fewer**2 + d * few**2)
+                if poor == 0:
+                    alone = few - fewer
+                    chance += min(1.0, (whole + 2 * d) * alone**2 * SHARED / low) / ROWS_SHARING
+                best = min(best, (whole + d * (1 + each) + PAIR * rows * chance, m, d, spare, poor))
+                spare += max(1, spare // 4)
+    return best[1:]
 
 
 def signatures(u: np.ndarray, rows: int, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Signatures of a set in its own band and, as the smaller partner, in the next."""
+    """Signatures of a set in its own band and, as the smaller partner, in the next.
+
+    A segment's content of at most ``poor`` elements is poor: it says little, and many sets share it. A set leaves the
+    signatures of poor content out where the segments that could match by them hold at most ``spare`` errors: as
+    whole + 2d = H + 1 + spare, linked sets then agree in another segment. The rest of the sets emits them, so two linked
+    sets that agree in poor content alone both do.
+    """
     n = len(u)
     edges = bands(num, den, 1 << (int(n).bit_length() + 1))
     k = int(np.searchsorted(edges, n, "right")) - 1
@@ -88,36 +120,105 @@ def signatures(u: np.ndarray, rows: int, num: int = NUM, den: int = DEN) -> np.n
         low, high = int(edges[band]), int(edges[band + 1]) - 1
         if (den - num) * 2 * high < den + num or (band > k and n * den < num * low):
             continue  # no room for one error (only equal sets link), or too small for any partner there
-        m, d = plan(low, high, rows, num, den)
+        m, d, spare, poor = plan(low, high, rows, num, den)
         seed = np.uint64((band + 1) << 32)
         seg = (mixed(u + seed) % np.uint64(m)).astype(np.int64)
         value = mixed(u ^ D)
         order = np.argsort(seg, kind="stable")
-        ends = np.cumsum(np.bincount(seg, minlength=m))
+        count = np.bincount(seg, minlength=m)
         upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order])])
-        total = np.diff(upto[np.concatenate([[0], ends])])
+        total = np.diff(upto[np.concatenate([[0], np.cumsum(count)])])
         tag = np.arange(m, dtype=np.uint64) + seed
-        out.append(mixed(total + mixed(tag + A)))
+        every = (count[d:] <= poor).sum() + 2 * (count[:d] <= poor + 1).sum() > spare
+        out.append(mixed(total + mixed(tag + A))[(count > poor) | every])
         if d:
-            some = seg < d
+            some = (seg < d) & ((count[seg] > poor + 1) | every)
             out.append(mixed(total[seg[some]] - value[some] + mixed(tag[seg[some]] + A)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Elements by hash bin, 255 at most: sketches differ by no more, summed over the bins, than their sets do."""
+    return np.minimum(np.bincount((mixed(u ^ C) >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _bins(column: pa.Array) -> np.ndarray:
+    """The sketches of a column, one a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
+    """False only for rows whose sketches and sizes rule the threshold out."""
+    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return (apart * (den + num) <= (den - num) * (nx + ny)) & (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num)
+
+
+def _screened(num: int, den: int):
+    """The pairs (id, hub) that their sketches leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            keep = _may_link(_bins(b.column(3)), n, _bins(b.column(5)), m, num, den) if b.num_rows else np.zeros(0, bool)
+            yield b.select(["id", "hub"]).filter(pa.array(keep))
+
+    return run
+
+
+def _survivors(num: int, den: int):
+    """Of rows (sig, i, j, id, label, n, sk) sorted by sig, i, j and n: those that may link to one of another label in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in _with_end(batches):
+            if b is not None:
+                rest = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if rest is None or not rest.num_rows:
+                continue
+            key = np.stack([rest.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+            ends = np.append(starts[1:], len(key))
+            if b is not None:  # the last group may go on
+                starts, ends = starts[:-1], ends[:-1]
+            stop = int(ends[-1]) if len(ends) else 0
+            part, rest = rest.slice(0, stop), rest.slice(stop)
+            if not stop:
+                continue
+            label, n, sk = part.column(4).to_numpy(), part.column(5).to_numpy(), _bins(part.column(6))
+            keep = np.zeros(stop, bool)
+            for a, z in zip(starts, ends, strict=True):
+                upto = a + np.searchsorted(n[a:z] * num, n[a:z] * den, "right")
+                for i in range(a, z - 1):
+                    j = i + 1 + np.flatnonzero(label[i + 1 : upto[i - a]] != label[i])
+                    if len(j):
+                        ok = j[_may_link(sk[j], n[j], sk[i], n[i], num, den)]
+                        keep[ok] = True
+                        keep[i] |= len(ok) > 0
+            yield from part.select(["sig", "i", "j", "id", "label"]).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _signing(rows: int, words: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            sizes, first, second, sigs = [], [], [], []
+            sizes, first, second, sigs, sks = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 u = shingles(text, words)
                 sizes.append(len(u))
                 first.append(mixed(u ^ A).sum(dtype=np.uint64))
                 second.append(mixed(u ^ C).sum(dtype=np.uint64))
                 sigs.append(signatures(u, rows, num, den) if len(u) else u)
+                sks.append(sketch(u))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(first), longs(second), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "h1", "h2", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), longs(first), longs(second), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sks, pa.binary())], names=["id", "n", "h1", "h2", "sigs", "sk"])
 
     return run
 
@@ -133,10 +234,10 @@ def _sets(words: int):
 
 
 def _forest(num: int, den: int):
-    """For one group: the sets of two blocks of a candidate part; returns a spanning forest of links between labels."""
+    """For one group: the sets that remain of two blocks of a bucket; returns a spanning forest of links between labels."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["id", "side"]).reset_index(drop=True)
+        g = g.drop_duplicates("id").reset_index(drop=True)
         ids, label = g["id"].to_numpy(), g["label"].to_numpy()
         sets = [np.asarray(s, np.int64) for s in g["s"]]
         n = np.array([len(s) for s in sets])
@@ -172,30 +273,42 @@ def _forest(num: int, den: int):
     return run
 
 
+def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table for a join: broadcast up to ``most`` rows, beyond that both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per input row: id, n_shingles, component_id under links den * |A and B| >= num * |A or B|.
 
     A set is the distinct word n-grams of a whole text, with fewer words the whole sequence; a null, empty or blank text
     has an empty set, links with nothing and is its own component. Equal sets are folded first. In each signature's
-    bucket every member is verified against the bucket's least member only (a star, linear in its size); parts whose
-    members these links do not join are then compared fully, in pairs of blocks of ``BLOCK`` sets, and return spanning
-    forests. No bucket is capped, no group meets in one task and no group's pairs are written out. Rows that repeat an id
-    share its component; a null id keeps a null component; empty tables give no rows; other columns are ignored.
+    bucket every member meets the bucket's least member only (a star, linear in its size); buckets whose members these
+    links do not join are then compared in pairs of blocks of ``BLOCK`` members, buckets of the same members once. A
+    sketch of ``BINS`` bytes rules most pairs out before sets move; every link is verified on the sets. No bucket is
+    capped, no group meets in one task and no group's pairs are written out. Rows that repeat an id share its component;
+    a null id keeps a null component; empty tables give no rows; other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = docs.count()
-    signed = stored(docs.mapInArrow(trimmed(_signing(rows, words, num, den)), "id long, n long, h1 long, h2 long, sigs array<long>"))
+    signed = stored(docs.mapInArrow(trimmed(_signing(rows, words, num, den)), "id long, n long, h1 long, h2 long, sigs array<long>, sk binary"))
     folded = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
-    reps = folded.select("rep").distinct()
-    buckets = signed.join(reps, signed.id == reps.rep, "left_semi").select("id", F.explode("sigs").alias("sig"))
+    reps = stored(signed.join(_small(folded.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").select("id", "n", "sigs", "sk"))
+    marks = reps.select("id", "n", "sk").dropDuplicates(["id"])
+    buckets = reps.select("id", F.explode("sigs").alias("sig"))
     # hubs are aggregated before the shuffle, and the join back is one that a hot signature can be split in
-    hubs = buckets.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    cand = stored(buckets.join(hubs, "sig").select("id", "sig", "hub", "size"))
-    stars = stored(cand.where("id <> hub").select("id", "hub").distinct())
-    wanted = stars.select("id").union(stars.select("hub")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:  # 8 bytes an id; beyond that the texts are shuffled to the ids
-        wanted = F.broadcast(wanted)
-    sets = stored(docs.join(wanted, "id", "left_semi").mapInArrow(trimmed(_sets(words)), "id long, s array<long>").dropDuplicates(["id"]))
+    hubs = stored(buckets.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
+    cand = stored(buckets.join(_small(hubs, HUB_ROWS), "sig").select("id", "sig", "hub", "size"))
+    stars = cand.where("id <> hub").select("id", "hub").distinct()
+    hub_marks = marks.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sk").alias("hub_sk"))
+    stars = stars.join(marks, "id").join(hub_marks, "hub").select("id", "hub", "n", "sk", "m", "hub_sk")
+    stars = stored(stars.mapInArrow(trimmed(_screened(num, den)), "id long, hub long"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """The sets of the given distinct ids."""
+        return stored(docs.join(_small(ids), "id", "left_semi").mapInArrow(trimmed(_sets(words)), "id long, s array<long>").dropDuplicates(["id"]))
+
+    sets = sets_of(stars.select("id").union(stars.select("hub")).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets pass the threshold."""
@@ -214,24 +327,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = stored(early.unionByName(late))
     first = connected_components(links)
     # buckets of three or more that the star's links leave in several components need their other pairs
-    named = cand.where("size > 2").join(first, "id", "left").select("id", "sig", "hub", F.coalesce("component_id", "id").alias("c"))
-    open_ = stored(named.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig"))
-    if open_.count() <= BROADCAST_ROWS:
-        open_ = F.broadcast(open_)
-    loose = stored(named.join(open_, "sig", "left_semi").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    parts = connected_components(loose).withColumnRenamed("component_id", "part")
-    sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = parts.join(sizes, "part").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # every block meets every block of its part once: as the lower of the two, or the higher
-    spread = placed.select("part", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    spread = spread.select("part", "id", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), F.lit(0).alias("side"))
-    carried = spread.join(sets, "id").join(first, "id", "left").select("part", "i", "j", "id", "side", "s", F.coalesce("component_id", "id").alias("label"))
-    more = stored(carried.groupBy("part", "i", "j").applyInPandas(_forest(num, den), "a long, b long"))
+    named = stored(cand.where("size > 2").join(first, "id", "left").select("id", "sig", F.coalesce("component_id", "id").alias("label")))
+    members = [F.count("*").alias("size"), F.min("id").alias("least"), F.max("id").alias("most"), F.bit_xor(F.xxhash64("id")).alias("all")]
+    open_ = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low <> high")
+    open_ = stored(open_.groupBy("size", "least", "most", "all").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    placed = named.join(_small(open_), "sig").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # every block meets every block of its bucket once: as the lower of the two, or the higher
+    spread = placed.select("sig", "id", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    spread = spread.select("sig", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id", "label").join(marks, "id")
+    dealt = spread.select("sig", "i", "j", "id", "label", "n", "sk").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
+    left = stored(dealt.mapInArrow(trimmed(_survivors(num, den)), "sig long, i int, j int, id long, label long"))
+    once = left.groupBy("sig", "i", "j").agg(*members).groupBy("size", "least", "most", "all").agg(F.min(F.struct("sig", "i", "j")).alias("g")).select("g.*")
+    late_sets = sets_of(left.select("id").distinct())
+    carried = left.join(once, ["sig", "i", "j"], "left_semi").join(late_sets, "id")
+    more = stored(carried.groupBy("sig", "i", "j").applyInPandas(_forest(num, den), "a long, b long"))
     final = connected_components(links.unionByName(more))
     of_rep = folded.join(final, folded.rep == final.id, "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     # rows of one id are one node, so the id's own label comes before its set's
     out = stored(signed.select("id", "n", "h1", "h2").join(of_rep, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
-    for t in (signed, folded, cand, stars, sets, early, late, links, loose, more):
+    for t in (signed, folded, reps, hubs, cand, stars, sets, early, late, links, named, open_, left, late_sets, more):
         forget(t)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

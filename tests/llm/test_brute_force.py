@@ -297,17 +297,17 @@ def test_national_numbers_by_form(spark):
 # ---- 5 Jaccard join
 
 
-def shingle_set(text):
+def shingle_set(text, w=3):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)} if len(ws) > 2 else {tuple(ws)} if ws else set()
+    return {tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)} if len(ws) >= w else {tuple(ws)} if ws else set()
 
 
-def check_components(spark, rows):
-    sets = {i: shingle_set(t) for i, t in rows}
+def check_components(spark, rows, words=3, num=90):
+    sets = {i: shingle_set(t, words) for i, t in rows}
     ids = sorted(sets)
-    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     want = least_reachable(ids, links)
-    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=words, num=num).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == {i: (len(sets[i]), want[i]) for i in ids}
     return links
 
@@ -328,6 +328,22 @@ def test_components_of_edited_copies(spark):
     assert len(links) > 60
 
 
+def test_components_at_a_low_threshold_with_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # the open buckets are compared in pairs of blocks
+    rng = np.random.default_rng(4)
+    word = lambda k: f"w{rng.integers(k)}"
+    passage, rows = [word(90) for _ in range(30)], []
+    for g in range(30):
+        base = [word(900) for _ in range(int(rng.integers(1, 160)))] + passage * (g % 3 > 0)
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(base) // 30))):
+                copy[int(rng.integers(len(copy)))] = word(900)
+            rows.append((len(rows), " ".join(copy)))
+            base = copy if rng.random() < 0.3 else base
+    assert len(check_components(spark, rows, 5, 80)) > 100
+
+
 def test_oracle_sql(spark):
     duck = duckdb.connect()
     for t in ("documents", "embeddings"):
@@ -339,16 +355,18 @@ def test_oracle_sql(spark):
         pd.testing.assert_frame_equal(got[list(want.columns)].sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
 
 
-@given(st.integers(1, 120), st.integers(0, 12), st.integers(0, 12), st.integers(0, 2**32))
-@settings(max_examples=300, deadline=None)
-def test_linked_sets_share_a_signature(n, gone, new, seed):
+@given(st.integers(1, 120), st.integers(0, 12), st.integers(0, 12), st.integers(0, 2**32), st.sampled_from([80, 90]), st.sampled_from([10, 10**4, 10**9]))
+@settings(max_examples=600, deadline=None)
+def test_linked_sets_share_a_signature(n, gone, new, seed, num, rows):
     rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**63, n + new, dtype=np.uint64))
     a, b = pool[:n], np.concatenate([pool[min(gone, n) : n], pool[n:]])
     a, b = np.sort(a), np.sort(b)
     both = len(np.intersect1d(a, b))
-    if len(b) and 100 * both >= 90 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-        assert np.intersect1d(jaccard_join.signatures(a, 10**6), jaccard_join.signatures(b, 10**6)).size
+    if len(b) and 100 * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+        assert np.intersect1d(jaccard_join.signatures(a, rows, num), jaccard_join.signatures(b, rows, num)).size
+        x, y = (np.frombuffer(jaccard_join.sketch(u), np.uint8)[None] for u in (a, b))
+        assert jaccard_join._may_link(x, np.array([len(a)]), y, np.array([len(b)]), num, 100).all()
 
 
 # ---- 6 quality
