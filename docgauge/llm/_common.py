@@ -44,11 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to delete a query's shuffle files when it ends instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go with it, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

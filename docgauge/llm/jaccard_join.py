@@ -165,8 +165,8 @@ def _screened(num: int, den: int):
     return run
 
 
-def _survivors(num: int, den: int):
-    """Of rows (sig, i, j, id, label, n, sk) sorted by sig, i, j and n: those that may link to one of another label in their group."""
+def _loose(num: int, den: int):
+    """Of rows (sig, i, j, id, label, n, sk) sorted by sig, i, j and n: edges that join those of a group that may link, if of two labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -184,17 +184,25 @@ def _survivors(num: int, den: int):
             part, rest = rest.slice(0, stop), rest.slice(stop)
             if not stop:
                 continue
-            label, n, sk = part.column(4).to_numpy(), part.column(5).to_numpy(), _bins(part.column(6))
-            keep = np.zeros(stop, bool)
+            ids, label, n, sk = part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_numpy(), _bins(part.column(6))
+            root = list(range(stop))
+
+            def top(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
             for a, z in zip(starts, ends, strict=True):
                 upto = a + np.searchsorted(n[a:z] * num, n[a:z] * den, "right")
                 for i in range(a, z - 1):
                     j = i + 1 + np.flatnonzero(label[i + 1 : upto[i - a]] != label[i])
                     if len(j):
-                        ok = j[_may_link(sk[j], n[j], sk[i], n[i], num, den)]
-                        keep[ok] = True
-                        keep[i] |= len(ok) > 0
-            yield from part.select(["sig", "i", "j", "id", "label"]).filter(pa.array(keep)).to_batches()
+                        for other in j[_may_link(sk[j], n[j], sk[i], n[i], num, den)]:
+                            x, y = top(i), top(int(other))
+                            root[max(x, y)] = min(x, y)
+            tops = np.array([top(i) for i in range(stop)])
+            some = tops != np.arange(stop)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[tops[some]])], names=["a", "b"])
 
     return run
 
@@ -234,7 +242,7 @@ def _sets(words: int):
 
 
 def _forest(num: int, den: int):
-    """For one group: the sets that remain of two blocks of a bucket; returns a spanning forest of links between labels."""
+    """For one group: the sets of two blocks of a candidate part; returns a spanning forest of links between labels."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.drop_duplicates("id").reset_index(drop=True)
@@ -293,12 +301,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.count()
     signed = stored(docs.mapInArrow(trimmed(_signing(rows, words, num, den)), "id long, n long, h1 long, h2 long, sigs array<long>, sk binary"))
     folded = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
-    reps = stored(signed.join(_small(folded.select(F.col("rep").alias("id")).distinct()), "id", "left_semi").select("id", "n", "sigs", "sk"))
-    marks = reps.select("id", "n", "sk").dropDuplicates(["id"])
+    reps = signed.join(_small(folded.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     buckets = reps.select("id", F.explode("sigs").alias("sig"))
     # hubs are aggregated before the shuffle, and the join back is one that a hot signature can be split in
     hubs = stored(buckets.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     cand = stored(buckets.join(_small(hubs, HUB_ROWS), "sig").select("id", "sig", "hub", "size"))
+    # signatures are the largest table, and nothing reads them again
+    marks = stored(reps.select("id", "n", "sk").dropDuplicates(["id"]))
+    with_signatures, signed = signed, stored(signed.select("id", "n", "h1", "h2"))
+    forget(with_signatures)
     stars = cand.where("id <> hub").select("id", "hub").distinct()
     hub_marks = marks.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("sk").alias("hub_sk"))
     stars = stars.join(marks, "id").join(hub_marks, "hub").select("id", "hub", "n", "sk", "m", "hub_sk")
@@ -336,16 +347,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spread = placed.select("sig", "id", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     spread = spread.select("sig", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id", "label").join(marks, "id")
     dealt = spread.select("sig", "i", "j", "id", "label", "n", "sk").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
-    left = stored(dealt.mapInArrow(trimmed(_survivors(num, den)), "sig long, i int, j int, id long, label long"))
-    once = left.groupBy("sig", "i", "j").agg(*members).groupBy("size", "least", "most", "all").agg(F.min(F.struct("sig", "i", "j")).alias("g")).select("g.*")
-    late_sets = sets_of(left.select("id").distinct())
-    carried = left.join(once, ["sig", "i", "j"], "left_semi").join(late_sets, "id")
-    more = stored(carried.groupBy("sig", "i", "j").applyInPandas(_forest(num, den), "a long, b long"))
+    loose = stored(dealt.mapInArrow(trimmed(_loose(num, den)), "a long, b long").distinct())
+    # what the sketches leave, some near misses and the last links, is compared on its sets, again in pairs of blocks
+    parts = stored(connected_components(loose).withColumnRenamed("component_id", "part"))
+    sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = parts.join(sizes, "part").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = placed.select("part", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    spread = spread.select("part", "id", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"))
+    late_sets = sets_of(parts.select("id"))
+    carried = spread.join(late_sets, "id").join(first, "id", "left").select("part", "i", "j", "id", "s", F.coalesce("component_id", "id").alias("label"))
+    more = stored(carried.groupBy("part", "i", "j").applyInPandas(_forest(num, den), "a long, b long"))
     final = connected_components(links.unionByName(more))
     of_rep = folded.join(final, folded.rep == final.id, "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     # rows of one id are one node, so the id's own label comes before its set's
     out = stored(signed.select("id", "n", "h1", "h2").join(of_rep, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
-    for t in (signed, folded, reps, hubs, cand, stars, sets, early, late, links, named, open_, left, late_sets, more):
+    for t in (signed, folded, marks, hubs, cand, stars, sets, early, late, links, named, open_, loose, parts, late_sets, more):
         forget(t)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
