@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.llm import embedding_dedup, jaccard_join
+from docgauge.llm import centroid_clusters, embedding_dedup, jaccard_join
+from docgauge.llm.centroid_clusters import op11_centroid_clusters
 from docgauge.llm.decontamination import op1_decontamination
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
 from docgauge.llm.html_text import op2_html_extraction
@@ -31,8 +32,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
 #: The others need a trained model, a tokenizer, an alignment, a curve over quantiles or a checksum that DuckDB lacks;
 #: tests/llm holds them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": jaccard_join.ORACLE_SQL, "op10_embedding_dedup": embedding_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": jaccard_join.ORACLE_SQL, "op10_embedding_dedup": embedding_dedup.ORACLE_SQL, "op11_centroid_clusters": centroid_clusters.ORACLE_SQL}
