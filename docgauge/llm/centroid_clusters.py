@@ -145,6 +145,6 @@ with v as (
 ), d3 as (select v.row, c.num, c.q, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as dist from v cross join c3 c
 ), a3 as (select row, arg_min(num, (dist, num)) as num, arg_min(q, (dist, num)) as q, min(dist) as dist from d3 group by row)
 select vec_id, num::integer as cluster, dist as distance, (sum(dist) over (partition by num))::bigint as cluster_inertia, (sum(dist) over ())::bigint as inertia,
-  sha256(array_to_string(q, ',')) as centroid_sha256
+  sha256(array_to_string(a3.q, ',')) as centroid_sha256
 from a3 join v using (row)
 """

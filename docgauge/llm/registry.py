@@ -12,6 +12,7 @@ from docgauge.llm.decontamination import op1_decontamination
 from docgauge.llm.embedding_dedup import op10_embedding_dedup
 from docgauge.llm.html_text import op2_html_extraction
 from docgauge.llm.jaccard_join import op5_jaccard_join
+from docgauge.llm.language_id import op12_language_id
 from docgauge.llm.packing import op7_packing
 from docgauge.llm.pii import op8_pii
 from docgauge.llm.quality import op6_quality_classifier
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op9_hilbert_sharding": op9_hilbert_sharding,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_language_id": op12_language_id,
 }
 
 #: The others need a trained model, a tokenizer, an alignment, a curve over quantiles or a checksum that DuckDB lacks;
