@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ REWRITES = {"tr": "trace terrace", "ct": "court", "cir": "circle", "st": "street
 DROPPED = "north south east west n s e w ne nw se sw ct cir st rd ave dr ln way".split()
 
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_word(words: list[str]) -> str:
     return r"\b(" + "|".join(words) + r")\b"
 

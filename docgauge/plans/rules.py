@@ -699,17 +699,18 @@ def applicable(loans: Column, loan_type: Column, assignment: Column) -> Column:
     return loans.isNull() | F.array_contains(F.split(F.upper(loans), ","), "ALL") | F.arrays_overlap(F.split(F.upper(loans), ","), have)
 
 
-def evaluate(docs: DataFrame, as_of_year: int, settings: DataFrame | None = None, rules: list[str] | None = None, cross: bool = True) -> DataFrame:
+def evaluate(docs: DataFrame, as_of_year: int, settings: DataFrame | None = None, rules: list[str] | None = None, cross: bool = True, evidence: Callable[[str], Column] | None = None) -> DataFrame:
     """Rows (doc_id, rule_id, rule_name, status, severity, execution_order, note), a row per document and rule.
 
     Inactive and inapplicable rules pass with a note. The configuration is a hundred-odd rows and is broadcast; each
-    document is read once, its rules are one array of structs.
+    document is read once, its rules are one array of structs. ``evidence`` gives a struct per rule id (see
+    ``reports.evidence_of``), whose fields then follow.
     """
     d = Doc(docs.schema, as_of_year)
     chosen = [r for r in REGISTRY.values() if rules is None or r.id in rules]
-    cells = [F.struct(F.lit(r.id).alias("rule_id"), r.status(d).alias("status"), F.lit(False).alias("cross")) for r in chosen]
-    if cross:
-        cells += [F.struct(F.lit(k).alias("rule_id"), s.alias("status"), F.lit(True).alias("cross")) for k, (_, s) in cross_field(d).items()]
+    found = [(r.id, r.status(d), False) for r in chosen] + ([(k, s, True) for k, (_, s) in cross_field(d).items()] if cross else [])
+    more = (lambda k: []) if evidence is None else lambda k: [evidence(k).alias("evidence")]
+    cells = [F.struct(F.lit(k).alias("rule_id"), s.alias("status"), F.lit(c).alias("cross"), *more(k)) for k, s, c in found]
     rows = docs.select("doc_id", d("loan_type").alias("loan_type"), d("assignment_type").alias("assignment_type"), F.explode(F.array(*cells)).alias("r")).select("doc_id", "loan_type", "assignment_type", "r.*").where("not cross or status is not null")
     settings = config(docs.sparkSession) if settings is None else settings
     joined = rows.join(F.broadcast(settings), "rule_id", "left")
@@ -717,4 +718,4 @@ def evaluate(docs: DataFrame, as_of_year: int, settings: DataFrame | None = None
     other = ~applicable(F.col("applicable_loan_types"), F.col("loan_type"), F.col("assignment_type"))
     status = F.when(off | other, PASS).otherwise(F.coalesce("status", F.lit(VERIFY)))
     note = F.when(off, "disabled").when(other, "not applicable").when(F.col("status").isNull(), "data missing")
-    return joined.select("doc_id", "rule_id", "rule_name", status.alias("status"), F.coalesce("severity_level", F.lit("STANDARD")).alias("severity"), F.coalesce("execution_order", F.lit(999)).alias("execution_order"), note.alias("note"))
+    return joined.select("doc_id", "rule_id", "rule_name", status.alias("status"), F.coalesce("severity_level", F.lit("STANDARD")).alias("severity"), F.coalesce("execution_order", F.lit(999)).alias("execution_order"), note.alias("note"), *(["evidence.*"] if evidence else []))

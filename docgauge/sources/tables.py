@@ -104,3 +104,41 @@ def fields_long(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Entity, attribute, value: one row per field that is not null."""
     cells = F.explode(F.map_entries(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]))).alias("e")
     return df.select(id_col, cells).select(id_col, F.col("e.key").alias("field_name"), F.col("e.value").alias("field_value")).where("field_value is not null")
+
+
+# schemas of what a finished document leaves behind
+RESULTS = "batch_id long, doc_id long, rule_id string, status string, severity string, needs_verification boolean, field string, value string, confidence double, page int"
+AUDIT = "batch_id long, doc_id long, action string, detail string, at timestamp_ntz"
+
+
+def result_rows(documents: DataFrame) -> DataFrame:
+    """One row per rule of documents that carry an array ``results``: statuses in the stored spelling, a look where asked.
+
+    manual passes and errors are looked at as well as failures; an unknown status is stored as it came, in capitals.
+    """
+    r = F.col("r")
+    status = F.upper(F.replace(F.trim(r["status"]), F.lit(" "), F.lit("_")))
+    flat = documents.select("batch_id", "doc_id", F.explode("results").alias("r"))
+    look = F.coalesce(status.isin("FAIL", "VERIFY", "ERROR", "MANUAL_PASS"), F.lit(True))
+    return flat.select("batch_id", "doc_id", r["rule_id"].alias("rule_id"), status.alias("status"), F.coalesce(r["severity"], F.lit("STANDARD")).alias("severity"), look.alias("needs_verification"), r["field"].alias("field"), r["value"].alias("value"), r["confidence"].alias("confidence"), r["page"].alias("page"))
+
+
+def audit_rows(documents: DataFrame) -> DataFrame:
+    """One row per document: how many of its rules passed, failed and need a look."""
+    count = lambda *s: F.size(F.filter("results", lambda r: F.upper(r["status"]).isin(*s))).cast("string")
+    detail = F.concat_ws(", ", F.concat(F.lit("passed "), count("PASS")), F.concat(F.lit("failed "), count("FAIL")), F.concat(F.lit("verify "), count("VERIFY")))
+    return documents.select("batch_id", "doc_id", F.lit("QC_COMPLETED").alias("action"), detail.alias("detail"), F.col("finished_at").alias("at"))
+
+
+def replace_batches(rows: DataFrame, path: str, by: str = "batch_id") -> None:
+    """Write rows so that each batch among them is replaced whole and all others stay: a repeated batch leaves no second copy.
+
+    The new partitions take the old ones' places only when all tasks are done, so a write that fails halfway changes nothing.
+    """
+    rows.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def store_documents(documents: DataFrame, path: str) -> None:
+    """The results and the audit rows of finished documents (batch_id, doc_id, finished_at, results), batch by batch."""
+    replace_batches(result_rows(documents), f"{path}/results")
+    replace_batches(audit_rows(documents), f"{path}/audit")

@@ -40,10 +40,15 @@ def test_normalisers(spark):
 
 
 def test_addresses_and_fha_dates(spark):
-    base = doc(loan_type="FHA", raw_text="Effective date 1/1/2024", subject={"address": "12 Oak Street North"}, letter={"property_address": "12 N Oak St Property County Travis"}, sales={"comparables": [{"sale_date": "12/1/2022"}]})
+    place = {"city": "Austin", "state": "TX", "zip_code": "78701", "county": "Travis"}
+    base = doc(
+        loan_type="FHA", raw_text="Effective date 1/1/2024", subject={"address": "12 Oak Street North", **place}, letter={"property_address": "12 N Oak St Property County Travis", **place, "zip_code": "78701-1234"}, sales={"comparables": [{"sale_date": "12/1/2022"}]}
+    )
     schema = DOC.replace("gla:double", "gla:double,sale_date:string") + ", pages array<string>"
     got = {r.rule_id: r.status for r in rules.evaluate(spark.createDataFrame([base | {"pages": ["case 123-4567890", "none here"]}], schema), 2024).collect()}
     assert got["S-1"] == "PASS" and got["XF-FHA-1"] == "FAIL" and got["XF-FHA-2"] == "FAIL"
+    nowhere = base | {"pages": None, "subject": {"address": "12 Oak Street North"}}
+    assert {r.rule_id: r.status for r in rules.evaluate(spark.createDataFrame([nowhere], schema), 2024, rules=["S-1"]).collect()}["S-1"] == "FAIL"
     good = base | {"pages": ["case 123-4567890"], "sales": {"comparables": [{"sale_date": "2/1/2023"}]}}
     got = {r.rule_id for r in rules.evaluate(spark.createDataFrame([good], schema), 2024).collect()}
     assert not {"XF-FHA-1", "XF-FHA-2"} & got
