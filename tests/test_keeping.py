@@ -74,7 +74,7 @@ def test_sub_progress_merges_only_into_a_parent_and_survives_a_restart(spark, tm
     row = lambda k, m, s, stage, p: (k, T0 + timedelta(minutes=m), s, stage, float(p))
     steps = [
         [row("a", 0, "child", "early", 5), row("a", 1, "parent", "ocr", 10), row("b", 1, "child", "lost", 9)],
-        [row("a", 2, "child", "page 1", 50), row("a", 1, "child", "old", 1)],
+        [row("a", 2, "child", "page 1", 50), row("a", 0, "child", "old", 1)],
         [row("a", 3, "parent", "rules", 60), row("a", 3, "child", "rule 1", 20)],
         [row("a", 4, "parent", "done", 100), row("a", 5, "child", "after", 99)],
     ]
