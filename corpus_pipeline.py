@@ -13,11 +13,30 @@ from docgauge.llm.quality import perplexities
 from docgauge.llm.secret_scan import redacted
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a 64-bit name of each row's id, language and text, and that column's name.
+
+    Stages decide on texts, so they drop rows by this name: rows that share an id are documents of their own, rows
+    without one too, and rows that are equal in all three share their fate.
+    """
+    name = "node"
+    while name in docs.columns:
+        name += "_"
+    parts = [c for n in ("doc_id", "lang", "text") for c in (F.col(n).isNull(), F.col(n))]
+    return docs.withColumn(name, F.xxhash64(*parts)), name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose perplexity under trusted text is beyond their language's threshold."""
+    """Drops the documents whose perplexity under trusted text is beyond their language's threshold.
+
+    Null, empty and blank texts stay, as do texts of a language without trusted text; a row without id is judged but
+    never trusted; of rows that share an id each is judged by itself. An empty table stays empty.
+    """
+    rows, node = numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = perplexities(docs, labels.where("quality = 1").select("doc_id"))
-    return without(docs, stored(scores.where("not kept").select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
+    trusted = rows.select("doc_id", node).join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id").select(node)
+    scores = perplexities(rows, trusted, node)
+    return without(rows, stored(scores.where("not kept").select(node).distinct()), [node]).select(*docs.columns)
 
 
 #: Links of the near-duplicate stage; the contract's three words and 90/100 are those of the query op5_jaccard_join.
@@ -42,18 +61,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark passage."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, stored(found.select("doc_id").distinct()), ["doc_id"]).select(*docs.columns)
+    """Drops the documents that hold a benchmark passage, whatever their id, and no other row of that id.
+
+    Null and empty texts hold none; benchmark items that are null, empty or too short match nothing. An empty table on
+    either side drops nothing.
+    """
+    rows, node = numbered(docs)
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=node)
+    return without(rows, stored(found.select(node).distinct()), [node]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every found secret in the texts by a mark."""
+    """Replaces every found secret in the texts by a mark; rows, ids and their repeats stay as they are, null texts null."""
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2,048 tokens, as pieces with a checksum of their ids."""
+    """Sequences of 2,048 tokens, as pieces with a checksum of their ids.
+
+    A null or empty text is one token, the end; repeated rows and rows without an id are packed as rows of their own, and
+    pieces carry the id as it is. An empty table gives no pieces.
+    """
     return packed(docs, digest=True)
 
 
