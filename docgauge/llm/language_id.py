@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docgauge.llm._common import Batches, forget, stored, trimmed
 
 #: Bounds of the training sample: texts a language, and texts in all.
-PER_LANGUAGE, SAMPLE = 1000, 8000
+PER_LANGUAGE, SAMPLE = 1000, 4000
 #: Buckets of n-grams, and the longest n-gram.
 BUCKETS, LONGEST = 4096, 4
 FOLDS, HELD = 4, 2
@@ -65,9 +65,10 @@ def ngram_counts(text: str) -> np.ndarray:
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the counts at unit length, so that long and short texts compare."""
-    x = np.sqrt(counts).astype(np.float32)
-    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
+    """Square roots of the counts at unit length, so that long and short texts compare; float32 counts are overwritten."""
+    x = np.sqrt(counts, out=counts if counts.dtype == np.float32 else None, dtype=np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    return x
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -92,14 +93,17 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 
 
 def fit_bits(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Weights (features + 1, bits) of one logistic classifier per column of ``target`` in -1 and 1, by Adam."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    w = np.zeros((x.shape[1], target.shape[1]), np.float32)
+    """Weights (features + 1, bits) of one logistic classifier per column of ``target`` in -1 and 1, by Adam.
+
+    Rows of weight 0 take no part; the matrix is never copied.
+    """
+    w = np.zeros((x.shape[1] + 1, target.shape[1]), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     share = (weight / weight.sum())[:, None].astype(np.float32)
     for t in range(1, rounds + 1):
-        z = np.clip(target * (x @ w), -30, 30)
-        g = x.T @ (-target * share / (1 + np.exp(z))).astype(np.float32) + decay * w
+        z = np.clip(target * (x @ w[:-1] + w[-1]), -30, 30)
+        pull = (-target * share / (1 + np.exp(z))).astype(np.float32)
+        g = np.concatenate([x.T @ pull, pull.sum(0, keepdims=True)]) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -134,8 +138,8 @@ def train(counts: np.ndarray, labels: np.ndarray, n: int) -> tuple[np.ndarray, n
     judge = np.arange(len(x)) // 2 % 5 == 0  # a text and its excerpt stay on one side
     trust = np.ones(code.shape[1])
     if judge.any() and len(set(labels[~judge])) == n:
-        w = fit_bits(x[~judge], target[~judge], weight[~judge])
-        right = (np.sign(x[judge] @ w[:-1] + w[-1]) == target[judge]).mean(0)
+        w = fit_bits(x, target, np.where(judge, 0.0, weight))
+        right = (np.sign(x @ w[:-1] + w[-1]) == target)[judge].mean(0)
         trust = np.log((right + 0.01) / (1.01 - right))
         trust = np.maximum(trust, 0.01) / np.maximum(trust, 0.01).mean()
     return fit_bits(x, target, weight), code, trust
@@ -183,6 +187,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for i, j in enumerate(order):
             counts[i, taken["at"][int(j)].values.to_numpy()] = taken["n"][int(j)].values.to_numpy()
         labels = np.array([names.index(taken["lang"][int(j)].as_py()) for j in order])
+        del taken
         if len(labels):
             model = train(counts, labels, len(names))
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docgauge.llm import decontamination, jaccard_join, quality, secret_scan
@@ -31,7 +32,9 @@ def test_each_stage_acts_on_all_that_came_before(spark, steps):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     trusted = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id")
-    assert ids(steps[0]) == ids(quality.perplexities(docs, trusted).where("kept")) and 0 < steps[0].count() < docs.count()
+    rows, node = corpus_pipeline.numbered(docs)
+    scores = quality.perplexities(rows, rows.join(trusted, "doc_id").select(node), node)
+    assert ids(steps[0]) == ids(rows.join(scores.where("kept").select(node), node)) and 0 < steps[0].count() < docs.count()
     assert ids(steps[1]) == ids(jaccard_join.jaccard_components(steps[0], words=5, num=80, den=100).where("doc_id = component_id"))
     leaked = {r.doc_id for r in decontamination.contaminated(steps[1], spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert ids(steps[2]) == sorted(set(ids(steps[1])) - leaked) and leaked
@@ -61,3 +64,18 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, odd, SF).count()
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_themselves(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, "a clean text", "en", "s", 1), (1, leak, "en", "s", 1), (None, leak, "en", "s", 1), (2, "another clean text", "en", "s", 1), (2, None, None, None, None), (None, "en", None, "s", 1), (None, None, "en", "s", 1)]
+    df = spark.createDataFrame(rows, docs.schema).withColumn("node", F.lit("clash"))
+    left = corpus_pipeline.decontamination(spark, df, SF)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (0, "en"), (1, "a clean text"), (2, ""), (2, "another clean text")]
+    junk = "".join(chr(0x4E00 + i * 37 % 999) + "#" for i in range(3000))
+    odd = docs.unionByName(spark.createDataFrame([(docs.first().doc_id, junk, "en", "s", 1), (None, junk, "en", "s", 1)], docs.schema))
+    kept = corpus_pipeline.quality(spark, odd, SF)
+    assert junk not in {r.text for r in kept.select("text").collect()}
+    assert kept.count() >= 0.9 * corpus_pipeline.quality(spark, docs, SF).count()
