@@ -502,13 +502,6 @@ def rule_engine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(docs, 2024, rules=list(TEXT_RULE_IDS), cross=False).select("doc_id", "rule_id", "status")
 
 
-@query()
-def rule_engine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over all documents: rows per rule and status."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    return rules.evaluate(docs, 2024).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
-
-
 @query()
 def rules_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and active rules per category."""
@@ -518,17 +511,12 @@ def rules_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fields, reviews, caches
 
 
-@query()
-def field_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subject fields of every document, long form."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    return fields.long_form(fields.extracted(docs, "subject"))
-
-
-@query("""with part as (select doc_id, trim(regexp_extract(text, '(?i)MLS[:\\s#]+([A-Z0-9]+)', 1)) as v from documents)
- select doc_id, v as mls_number from part where v <> ''""".replace("\\\\", "\\"))
+@query("""select c_custkey as doc_id, 'A' || c_custkey as mls_number from customer where c_custkey % 3 = 0""")
 def field_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """One field over texts that name it, that have a label of the form in its place, and that lack it."""
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("Listed, MLS # A"), k, F.lit(" today"))).when(k % 3 == 1, "MLS: price").otherwise("no listing")
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
     found = fields.field(F.col("text"), fields.SUBJECT["mls_number"])["value"]
     return docs.select("doc_id", found.alias("mls_number")).where("mls_number is not null")
 
@@ -547,10 +535,11 @@ def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sessions_started(none, logins).select("user_id", F.col("session_token").alias("event_id"), "ended_at", "status")
 
 
-@query("""select md5(event_type || '::' || props) as cache_key, count(*) as asked, count_if(event_id % 3 = 0) as cached from events group by 1 having count_if(event_id % 3 = 0) = 0""")
+@query("""select md5(event_type || '::' || props) as cache_key, count(*) as asked, count_if(event_type in ('click', 'view')) as cached from events group by 1 having count_if(event_type in ('click', 'view')) = 0""")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "events").select(F.md5(F.concat_ws("::", "event_type", "props").cast("binary")).alias("cache_key"), "event_id")
-    cache = asked.where("event_id % 3 = 0").select("cache_key").distinct()
+    """Keys that the cache lacks; it holds those of clicks and views."""
+    asked = table(spark, sf_dir, "events").select(F.md5(F.concat_ws("::", "event_type", "props").cast("binary")).alias("cache_key"), "event_type")
+    cache = asked.where("event_type in ('click', 'view')").select("cache_key").distinct()
     _, misses = D.cache_lookup(asked, cache)
     return asked.join(misses.select("cache_key"), "cache_key").groupBy("cache_key").agg(F.count("*").alias("asked"), F.lit(0).cast("long").alias("cached"))
 

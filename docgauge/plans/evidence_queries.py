@@ -44,11 +44,12 @@ def first_evidence_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.first_page_with(table(spark, sf_dir, "conversations"), ["QUX", "and", "e"], "conv_id", "turn", "text")
 
 
-@query("""with w as (select doc_id, list_transform(list_slice(string_split_regex(text, '\\s+'), 1, 60), lambda x: lower(x)) as ws from documents), v as (select doc_id, ws, ws[7] as a, ws[8] as b from w where len(ws) >= 8 and ws[7] <> '' and ws[8] <> '')
- select doc_id, cast(coalesce(list_filter(range(1, len(ws)), lambda i: ws[i] = a and ws[i + 1] = b)[1], 0) as int) as first, cast(coalesce(list_filter(range(1, len(ws)), lambda i: ws[i] = a and ws[i + 1] = b)[1], 0) + 1 as int) as last from v""")
+@query("""with w as (select doc_id, string_split_regex(lower(text), '\\s+') as ws from documents), v as (select doc_id, ws, ws[7] as a, ws[8] as b from w where len(ws) >= 8 and ws[7] <> '' and ws[8] <> ''),
+ hits as (select doc_id, min(i) as first from (select doc_id, a, b, unnest(ws) as x, unnest(list_append(ws[2:], null)) as y, generate_subscripts(ws, 1) as i from v) where x = a and y = b group by 1)
+ select doc_id, cast(first as int) as first, cast(first + 1 as int) as last from hits""")
 def value_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each document's seventh and eighth word among its first sixty: the words are the stand-in's page line."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", r"\s+"), 1, 60).alias("ws")).where("size(ws) >= 8 and ws[6] <> '' and ws[7] <> ''")
+    """The first place of each document's seventh and eighth word among all its words."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"\s+").alias("ws")).where("size(ws) >= 8 and ws[6] <> '' and ws[7] <> ''")
     return words.select("doc_id", E.word_span(F.col("ws"), F.concat_ws(" ", F.col("ws")[6], F.col("ws")[7])).alias("s")).select("doc_id", "s.first", "s.last")
 
 
@@ -71,9 +72,9 @@ def documents_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.collect_list("c_custkey").alias("ids")).select(F.posexplode("ids").alias("p", "c_custkey")).select("c_custkey", (F.col("p") + 1).cast("long").alias("place"))
 
 
-@query("""select event_type, n from (select event_type, count_if(value > 1000) as n from events group by 1) where n > 0 order by event_type limit 1""")
+@query("""select event_type, n from (select event_type, count_if(value > 60 and event_type <> 'click') as n from events group by 1) where n > 0 order by event_type limit 1""")
 def next_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.next_action(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.when(F.col("value") > 1000, 1)).alias("n")), "n", "event_type")
+    return E.next_action(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.when((F.col("value") > 60) & (F.col("event_type") != "click"), 1)).alias("n")), "n", "event_type")
 
 
 @query("""select count(*) as jobs, count_if(event_type <> 'error') as completed, avg(value) filter (event_type <> 'error') as avg_s, min(value) filter (event_type <> 'error') as min_s, max(value) filter (event_type <> 'error') as max_s, count_if(event_type <> 'error') * 1e2 / count(*) as success_pct from events""")

@@ -114,6 +114,22 @@ def document_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "rule_id", "status", "value", "confidence", "page")
 
 
+# every field of a report as text, and the page it is read from
+FOUND = {
+    "property_address": ("subject_address", 1), "city": ("subject_city", 1), "state": ("subject_state", 1), "zip_code": ("subject_zip_code", 1), "county": ("subject_county", "case when subject_county = 'Elsewhere' then 3 else 1 end"),
+    "borrower_name": ("subject_borrower", 1), "owner_of_public_record": ("subject_owner_of_public_record", 1), "legal_description": ("subject_legal_description", 1), "assessors_parcel_number": ("subject_apn", 1), "tax_year": ("subject_tax_year", 1),
+    "real_estate_taxes": ("case when subject_real_estate_taxes is not null then '4,000' end", 2), "neighborhood_name": ("subject_neighborhood_name", 2), "map_reference": ("subject_map_reference", 2), "census_tract": ("subject_census_tract", 2),
+    "occupant_status": ("subject_occupant_status", 2), "special_assessments": ("cast(subject_special_assessments as integer)::varchar", 2), "hoa_dues": ("cast(subject_hoa_dues as integer)::varchar", 2), "property_rights": ("subject_property_rights", 2),
+    "lender_name": ("subject_lender_name", 2), "lender_address": ("subject_lender_address", 2),
+}
+
+
+@query(f"""{DOCS} select * from (select doc_id, unnest([{", ".join(f"{{'field_name': '{n}', 'value': {v}, 'page': {p}}}" for n, (v, p) in FOUND.items())}], recursive := true) from d) where value is not null""")
+def field_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject fields of every report, long form: the best of all pages, and its page."""
+    return reports.page_fields(pages(spark, sf_dir)).where(F.col("kind") == "report").where(F.col("field_name").isin(list(FOUND))).select("doc_id", "field_name", "value", "page")
+
+
 @query(f"""{DOCS} select doc_id, subject_address as property_address, subject_city as city, subject_state as state, subject_zip_code as zip_code,
  case when subject_address is not null then case when k % 3 = 1 then 0.55e0 when k % 3 = 2 then 0.75e0 else 0.85e0 end else 0e0 end as city_confidence from d""")
 def report_address(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,3 +387,19 @@ def rules_cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cross-field checks but XF-4, whose ratio SQL lacks."""
     out = rules.evaluate(documents(spark, sf_dir), YEAR, rules=[]).where("rule_id <> 'XF-4'")
     return out.select("doc_id", "rule_id", "status")
+
+
+# all rules over bare texts: every field is absent, so that a status rests on the text or on what a missing field means
+EVERY = {i: f for family in FAMILIES.values() for i, f in family.items()} | CROSS
+EVERY |= {  # where the stand-in documents need less of a pattern than texts at large, or always have a contract
+    "SIG-4": found(r"[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{2,}"), "SCA-16": when(r"regexp_matches(t, '\bC[1-6]\b')", "PASS", otherwise="VERIFY"), "SCA-22": found("CFP|CBP|Patio|Porch|Deck"), "XF-6": "null::varchar",
+}
+BARE = f"""{_input_sql()}, none as (select * exclude (doc_id, t, loan_type, assignment_type, comps) from d where false),
+ bare as (select documents.doc_id, text as t, '' as loan_type, '' as assignment_type, list_slice((select any_value(comps) from d), 1, 0) as comps, none.* from documents left join none on false)"""
+
+
+@query(f"""{BARE} select rule_id, status, count(*) as n from (select unnest([{", ".join(f"{{'rule_id': '{i}', 'status': {s}}}" for i, s in EVERY.items())}], recursive := true) from bare) where status is not null group by 1, 2""")
+def rule_engine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules and cross-field checks over all documents' texts: rows per rule and status."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    return rules.evaluate(docs, YEAR).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
