@@ -46,3 +46,24 @@ def keyword_groups(text: Column, groups: dict[str, list[str]]) -> Column:
     low = F.lower(text)
     found = lambda words: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
     return F.create_map(*[x for name, words in groups.items() for x in (F.lit(name), found(words))])
+
+
+def analysis(text: Column, phrases: list[str], specific: list[str], reasons: list[str], trends: dict[str, list[str]]) -> Column:
+    """All findings on a text: stock phrases, reasoning (from 0.3 on), facts, trend groups that occur, words.
+
+    A null text is canned, as an empty one is, and has no words, trends or reasoning.
+    """
+    plain = F.coalesce(text, F.lit(""))
+    stock = canned(plain, phrases, specific, reasons)
+    score = reasoning_score(plain, reasons, specific)
+    named = F.array(*[F.when(plain.rlike("(?i)" + p), F.lit(p)) for p in phrases])
+    return F.struct(
+        stock["canned"].alias("is_canned"),
+        stock["confidence"].alias("canned_confidence"),
+        F.filter(named, lambda p: p.isNotNull()).alias("matched_templates"),
+        (score >= 0.3).alias("has_reasoning"),
+        score.alias("reasoning_score"),
+        (hits(plain, specific) > 0).alias("has_specific_details"),
+        F.map_filter(keyword_groups(plain, trends), lambda _, found: F.size(found) > 0).alias("market_trends"),
+        F.size(F.filter(F.split(plain, r"\s+"), lambda w: w != "")).alias("word_count"),
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docgauge.functions.address_block import address_block
 from docgauge.functions.value_stream import page_facts, page_stream
-from docgauge.plans import fields, rules
+from docgauge.plans import fields, rules, spatial
 
 KINDS = ("report", "letter", "agreement")
 
@@ -117,14 +117,25 @@ def with_sanity(cells: Column) -> Column:
     return F.transform_values(cells, one)
 
 
-def assembled(pages: DataFrame) -> DataFrame:
+def with_words(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """``page_fields`` rows, and those report fields that only the places of words (``spatial.near_labels``) give."""
+    own = cells.where("kind = 'report'")
+    by_place = spatial.near_labels(words).select("doc_id", "field_name", "value", "confidence", "method", "page")
+    new = by_place.join(own.select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti").withColumn("kind", F.lit("report"))
+    return cells.unionByName(new.select(cells.columns))
+
+
+def assembled(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """The document row of ``rules.evaluate`` for each document with a page, from its fields alone.
 
+    ``words`` are boxes of the reports' words (``spatial``), read for the fields that the text does not give.
+
     Columns: doc_id, raw_text, pages (texts), page_numbers, loan_type, assignment_type, the structs subject, contract,
     neighborhood, site, sales, letter and agreement, market_value_opinion, and fields, a map from each report field to
     value, confidence, method, page and sanity_failed. A document's fields are a bounded catalogue, its pages its own.
     """
-    cells = page_fields(pages).groupBy("doc_id").pivot("kind", list(KINDS)).agg(F.map_from_entries(F.collect_list(F.struct("field_name", F.struct("value", "confidence", "method", "page")))))
+    listed = page_fields(pages)
+    cells = (listed if words is None else with_words(listed, words)).groupBy("doc_id").pivot("kind", list(KINDS)).agg(F.map_from_entries(F.collect_list(F.struct("field_name", F.struct("value", "confidence", "method", "page")))))
     own = pages.where("kind = 'report'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
     docs = pages.select("doc_id").distinct().join(own, "doc_id", "left").join(cells, "doc_id", "left")
     docs = docs.withColumn("fields", with_sanity(F.col("report"))).withColumn("pages", F.col("p.text")).withColumn("raw_text", F.array_join("pages", "\n"))
@@ -176,10 +187,10 @@ def evidence_of(rule_id: str) -> Column:
     return F.struct(F.lit(name).alias("field"), value.alias("value"), (cell["confidence"] if name else F.lit(None).cast("double")).alias("confidence"), F.coalesce(page, guess).alias("page"))
 
 
-def checked(pages: DataFrame, as_of_year: int, rule_ids: list[str] | None = None, cross: bool = True, store: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def checked(pages: DataFrame, as_of_year: int, rule_ids: list[str] | None = None, cross: bool = True, store: Callable[[DataFrame], DataFrame] = lambda d: d, words: DataFrame | None = None) -> DataFrame:
     """Rule results of every document with the field, value, confidence and page each rests on, from page texts alone.
 
     ``store`` may write the assembled rows to a table and read them back, so that rules don't repeat the extraction.
     """
-    docs = store(assembled(pages)).withColumn("low_pages", F.transform("pages", lambda p: F.lower(p)))
+    docs = store(assembled(pages, words)).withColumn("low_pages", F.transform("pages", lambda p: F.lower(p)))
     return rules.evaluate(docs, as_of_year, rules=rule_ids, cross=cross, evidence=evidence_of)
