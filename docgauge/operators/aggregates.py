@@ -157,3 +157,35 @@ def weighted_score(df: DataFrame, category: str, status: str) -> DataFrame:
     w = F.when(s == "passed", 1.0).when(s.isin("skipped", "partial"), 0.5).otherwise(0.0)
     pct = 100.0 * F.avg(w)
     return df.groupBy(category).agg(F.round(pct, 2).alias("score"), F.when(pct >= 80, "good").when(pct >= 50, "fair").otherwise("poor").alias("label"))
+
+
+def on_day(ts: Column, as_of: str) -> Column:
+    """Whether a time lies on the as-of time's calendar day; null is on no day."""
+    return F.coalesce(F.to_date(ts) == F.to_date(F.expr(f"timestamp_ntz'{as_of}'")), F.lit(False))
+
+
+def version_stats(df: DataFrame, version: str, value: str) -> DataFrame:
+    """Mean and rows per version, in the versions' order; rows without a version are left out."""
+    return df.where(F.col(version).isNotNull()).groupBy(version).agg(F.avg(value).alias("avg_value"), F.count("*").alias("n")).orderBy(version)
+
+
+def page_stats(df: DataFrame, order: list[Column], page: int, size: int, **tests: Column) -> DataFrame:
+    """Cards over one page of an ordered list (pages count from 0): its rows, and those of each test."""
+    return df.orderBy(*order).offset(page * size).limit(size).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in tests.items()])
+
+
+def session_counters(sessions: DataFrame, actions: DataFrame) -> DataFrame:
+    """Sessions with what their actions add: files processed and failed, corrections, last activity, status.
+
+    ``actions``: session_token, ts, action (FILE_OK, FILE_FAILED, CORRECTION or ACTIVITY). Files and activity move the last
+    activity forward, and activity makes a session ACTIVE; corrections do neither. Actions of unknown sessions are dropped.
+    """
+    is_ = lambda *names: F.col("action").isin(*names)
+    n = actions.groupBy("session_token").agg(
+        F.count_if(is_("FILE_OK")).alias("_ok"), F.count_if(is_("FILE_FAILED")).alias("_bad"), F.count_if(is_("CORRECTION")).alias("_fixed"),
+        F.max(F.when(is_("FILE_OK", "FILE_FAILED", "ACTIVITY"), F.col("ts"))).alias("_last"), F.max(F.coalesce(is_("ACTIVITY"), F.lit(False))).alias("_active"),
+    )
+    plus = lambda a, b: (F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))).cast("long")
+    both = sessions.join(n, "session_token", "left")
+    new = {"files_processed": plus("files_processed", "_ok"), "files_failed": plus("files_failed", "_bad"), "corrections_made": plus("corrections_made", "_fixed"), "last_active_at": F.greatest("last_active_at", "_last"), "status": F.when(F.col("_active"), "ACTIVE").otherwise(F.col("status"))}
+    return both.withColumns(new).select(*sessions.columns)

@@ -73,6 +73,79 @@ def zip_entries(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(unpack, "path string, entry string, size long, content binary, error string")
 
 
+def zip_listing(files: DataFrame) -> DataFrame:
+    """(path, entry, is_folder) of every entry of uploaded archives, without contents; files that are no archives have none."""
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        yield pd.DataFrame([(path, i.filename, i.is_dir()) for i in z.infolist()], columns=["path", "entry", "is_folder"])
+                except zipfile.BadZipFile:
+                    continue
+
+    return files.select("path", "content").mapInPandas(names, "path string, entry string, is_folder boolean")
+
+
+def is_debris(entry: Column) -> Column:
+    """What an operating system leaves in archives."""
+    name = F.substring_index(entry, "/", -1)
+    return F.startswith(F.lower(entry), F.lit("__macosx/")) | (name == ".DS_Store") | F.startswith(name, F.lit("._"))
+
+
+def upload_files(listing: DataFrame) -> DataFrame:
+    """(path, entry, filename, file_type) of the PDFs of a known type; those of others are left out."""
+    pdf = F.endswith(F.lower("entry"), F.lit(".pdf")) & ~F.col("is_folder") & ~is_debris(F.col("entry"))
+    named = listing.where(pdf).select("path", "entry", F.substring_index("entry", "/", -1).alias("filename"), entry_type(F.col("entry")).alias("file_type"))
+    return named.where(F.col("file_type").isNotNull())
+
+
+def upload_verdicts(listing: DataFrame, most: int = MAX_ENTRIES) -> DataFrame:
+    """(path, entries, files, status, error) of every archive: UPLOADED, or VALIDATION_FAILED with the first reason.
+
+    Reasons: too many entries, a path with "..", no appraisal or no engagement part, no file. A part is there by a folder
+    of its name or a file of its type. One aggregation with partial sums, so archives of any size do.
+    """
+    entry = F.lower("entry")
+    real, folder = ~is_debris(F.col("entry")), F.col("is_folder")
+    kind = F.when(real & ~folder & F.endswith(entry, F.lit(".pdf")), entry_type(F.col("entry")))
+    has = lambda kind_, *words: F.max(F.coalesce((kind == kind_) | (real & folder & entry.rlike("|".join(words))), F.lit(False)))
+    one = listing.groupBy("path").agg(
+        F.count("*").alias("entries"), F.count(kind).alias("files"), F.max(F.contains("entry", F.lit(".."))).alias("_climbs"),
+        has("APPRAISAL", "appraisal").alias("_appraisal"), has("ENGAGEMENT", "engagement", "eagagement").alias("_engagement"),
+    )
+    error = F.when(F.col("entries") > most, "too many entries").when(F.col("_climbs"), "invalid path").when(~F.col("_appraisal") | ~F.col("_engagement"), "requires appraisal and engagement folders").when(F.col("files") == 0, "no valid PDF files")
+    return one.select("path", "entries", "files", F.when(error.isNull(), "UPLOADED").otherwise("VALIDATION_FAILED").alias("status"), error.alias("error"))
+
+
+def upload_problem(content: Column, page_count: Column, most_pages: int, limit: int = MAX_BYTES) -> Column:
+    """Why a file is refused: too large, not a PDF, too many pages; null if it is not. An unknown page count passes."""
+    return F.when(F.length(content) > limit, "too large").when(~F.coalesce(valid_pdf(content, limit), F.lit(False)), "not a PDF").when(page_count > most_pages, "too many pages")
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text without the bytes that are none; null stays null. A written U+FFFD stays, U+FDD0 becomes one."""
+    kept = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\ufdd0"))
+    return F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit("\ufdd0"), F.lit("\ufffd"))
+
+
+def page_window(pages: DataFrame, first: int, last: int, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
+    """(doc, text, offset): a document's text from page ``first`` to ``last``, pages parted by line breaks, and the signs before it.
+
+    Null texts are empty; pages of equal number follow each other by text. A document without such a page has an empty
+    text at 0. Only the window's pages are gathered.
+    """
+    inside, t = F.col(page).between(first, last), F.coalesce(F.col(text), F.lit(""))
+    one = pages.groupBy(doc).agg(F.sort_array(F.collect_list(F.when(inside, F.struct(F.col(page).alias("p"), t.alias("t"))))).alias("w"), F.sum(F.when(F.col(page) < first, F.length(t) + 1).otherwise(0)).alias("before"))
+    return one.select(doc, F.array_join(F.col("w.t"), "\n").alias("text"), F.when(F.size("w") > 0, F.col("before")).otherwise(0).alias("offset"))
+
+
+def first_pages(pages: DataFrame, most: int, page: str = "page") -> DataFrame:
+    """Pages 1 to ``most``; the filter reaches the scan."""
+    return pages.where(F.col(page) <= most)
+
+
 def valid_pdf(content: Column, limit: int = MAX_BYTES) -> Column:
     return (F.length(content) <= limit) & (F.substring(content, 1, 5) == F.lit(b"%PDF-"))
 
@@ -100,6 +173,49 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_training(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Training rows as csv with a header, JSON lines or Parquet, by the path's ending."""
+    fmt = path.rsplit(".", 1)[-1].lower()
+    if fmt not in ("csv", "json", "parquet"):
+        raise ValueError(f"not a training format: {fmt}")
+    writer = df.write.mode(mode).format(fmt)
+    # quotes inside a value are doubled, as other readers expect
+    (writer.option("header", "true").option("escape", '"') if fmt == "csv" else writer).save(path)
+
+
+def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(place, line): a Markdown table, its head first; bars in values are escaped, line breaks become spaces, null is empty."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "kind int, line string")
+    body = rows.select(F.lit(2).alias("kind"), *order, bar([cell(c) for c in columns]).alias("line"))
+    return head.unionByName(body, allowMissingColumns=True).orderBy("kind", *order).select("line")
+
+
+def write_markdown(rows: DataFrame, columns: list[str], order: list[str], path: str) -> None:
+    """The table as text files whose names follow its order."""
+    markdown_table(rows, columns, order).write.mode("overwrite").text(path)
+
+
+# fixed values: fields that are trusted more and less than their document's pages
+TRUSTED = ["zip_code", "census_tract", "assessors_parcel_number", "tax_year"]
+DOUBTED = ["neighborhood_name", "legal_description", "owner_of_public_record"]
+
+
+def class_confidence(name: Column, value: Column, pages: Column) -> Column:
+    """Confidence of a field that has none of its own: the pages' mean (0.7 if unknown), 0.10 more or less by its class; 0 for null."""
+    mean = F.coalesce(pages, F.lit(0.7))
+    own = F.when(name.isin(TRUSTED), F.least(F.lit(1.0), mean + 0.10)).when(name.isin(DOUBTED), F.greatest(F.lit(0.0), mean - 0.10)).otherwise(mean)
+    return F.when(value.isNull(), 0.0).otherwise(F.round(own, 3))
+
+
+def fields_with_confidence(df: DataFrame, id_col: str, fields: list[str], pages: str) -> DataFrame:
+    """One row per field, null ones too: (id, field_name, field_value, confidence, method)."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("field_value")) for f in fields])
+    long = df.select(id_col, F.col(pages).alias("_pages"), F.explode(cells).alias("f")).select(id_col, "_pages", "f.*")
+    return long.select(id_col, "field_name", "field_value", class_confidence(F.col("field_name"), F.col("field_value"), F.col("_pages")).alias("confidence"), F.lit("regex").alias("method"))
+
+
 def fields_long(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Entity, attribute, value: one row per field that is not null."""
     cells = F.explode(F.map_entries(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]))).alias("e")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docgauge.plans import catalog, evidence_queries, keeping_queries, reading_queries, report_queries, rule_queries, rules  # noqa: F401 - registers queries
+from docgauge.plans import catalog, evidence_queries, keeping_queries, reading_queries, report_queries, rule_queries, rules, upload_queries  # noqa: F401 - registers queries
 
 SF = "/root/testdata/sf0.001"
 
