@@ -118,11 +118,17 @@ def with_sanity(cells: Column) -> Column:
 
 
 def with_words(cells: DataFrame, words: DataFrame) -> DataFrame:
-    """``page_fields`` rows, and those report fields that only the places of words (``spatial.near_labels``) give."""
-    own = cells.where("kind = 'report'")
-    by_place = spatial.near_labels(words).select("doc_id", "field_name", "value", "confidence", "method", "page")
-    new = by_place.join(own.select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti").withColumn("kind", F.lit("report"))
-    return cells.unionByName(new.select(cells.columns))
+    """``page_fields`` rows with what the places of words give: ``spatial.near_labels`` for report fields that the text lacks,
+    and marked boxes of the neighborhood grid, which also replace a choice that the text gives with less confidence.
+    """
+    marks = spatial.marked_choice(words, fields.CHOICES).withColumn("method", F.lit("spatial_anchor"))
+    row = F.struct("value", "confidence", "method", "page").alias("b")
+    unsure = F.col("field_name").isin(list(fields.CHOICES)) & (F.col("confidence") < 0.86)
+    ranked = lambda df, kind, place: df.select("doc_id", kind.alias("kind"), "field_name", place.alias("place"), row)
+    # one aggregation over all candidates, so that the text's fields are worked out once
+    every = ranked(cells, F.col("kind"), F.when(unsure, 2).otherwise(0)).unionByName(ranked(marks, F.lit("report"), F.lit(1))).unionByName(ranked(spatial.near_labels(words), F.lit("report"), F.lit(3)))
+    best = every.groupBy("doc_id", "kind", "field_name").agg(F.min_by("b", "place").alias("b"))
+    return best.select("doc_id", "kind", "field_name", "b.*")
 
 
 def assembled(pages: DataFrame, words: DataFrame | None = None) -> DataFrame:

@@ -146,3 +146,11 @@ def test_rules_rest_on_word_boxes_where_the_text_gives_nothing(spark):
     words = spark.createDataFrame([(d, 1, t, x, 0.1, 0.05, 0.02) for d in (1, 2) for t, x in (("Map", 0.1), ("Reference", 0.16), ("A1", 0.3), ("Census", 0.75), ("Tract", 0.81), ("99.9", 0.9))], WORDS)
     got = {(r["doc_id"], r["rule_id"]): (r["value"], r["confidence"], r["page"]) for r in reports.checked(pages, 2024, ["S-4", "S-6"], cross=False, words=words).collect()}
     assert got[1, "S-6"] == ("99.9", 0.82, 1) and got[2, "S-6"][0] == "1234.56" and got[1, "S-4"][0] == "Lot 1"
+
+
+def test_marked_boxes_come_before_choices_of_the_text(spark):
+    pages = spark.createDataFrame([(d, "report", 1, "[X] Rural Legal Description Lot 1") for d in (1, 2)], "doc_id long, kind string, page int, text string")
+    words = spark.createDataFrame([(1, 1, t, x, 0.1, 0.05, 0.02) for t, x in (("X", 0.1), ("Urban", 0.15), ("Over", 0.3), ("75%", 0.35))], WORDS)
+    cells = reports.with_words(reports.page_fields(pages), words)
+    got = {(r["doc_id"], r["field_name"]): (r["value"], r["confidence"]) for r in cells.where("field_name in ('location', 'built_up', 'legal_description')").collect()}
+    assert got[1, "location"] == ("Urban", 0.86) and got[2, "location"] == ("Rural", 0.55) and (1, "built_up") not in got and {(1, "legal_description"), (2, "legal_description")} <= set(got)
