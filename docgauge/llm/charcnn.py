@@ -63,14 +63,43 @@ class CharCnn:
         return 1 / (1 + np.exp(-np.clip(a * self.logits(codes) + b, -30, 30)))
 
 
-def train(codes: np.ndarray, y: np.ndarray, recall: float = 0.95, filters: int = 16, dim: int = 8, epochs: int = 10, seed: int = 3) -> CharCnn:
-    """Adam on four fifths; Platt scaling on half of the rest and the threshold on the other half.
+#: A kind with fewer held-out findings shares one threshold with the other such kinds.
+FEWEST = 20
 
-    The threshold is the largest that keeps ``recall`` of the held-out positives, however low that is.
+
+def recalled(best: np.ndarray, kind: np.ndarray, recall: float) -> float:
+    """The largest threshold that keeps ``recall`` of the findings of every kind; above 1 without findings."""
+    sizes = dict(zip(*np.unique(kind, return_counts=True), strict=True))
+    kind = np.array([k if sizes[k] >= FEWEST else -1 for k in kind])
+    return min((float(np.sort(best[kind == k])[int((1 - recall) * (kind == k).sum())]) for k in np.unique(kind)), default=1.1)
+
+
+def per_finding(values: np.ndarray, finding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The findings, and the largest of each one's windows' values."""
+    names, at = np.unique(finding, return_inverse=True)
+    best = np.full(len(names), -np.inf)
+    np.maximum.at(best, at, values)
+    return names, best
+
+
+def train(
+    codes: np.ndarray, y: np.ndarray, recall: float = 0.95, filters: int = 16, dim: int = 8, epochs: int = 10, seed: int = 3,
+    finding: np.ndarray | None = None, token: np.ndarray | None = None, kind: np.ndarray | None = None, unseen: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None,
+) -> CharCnn:
+    """Adam on four fifths of the tokens; Platt scaling on half of the rest and the threshold on the other half.
+
+    All windows of one ``token`` lie on one side. A ``finding`` counts by its best window, and the threshold is the
+    largest that keeps ``recall`` of the held-out findings of every ``kind``, however low that is; ``unseen`` adds
+    positive windows (codes, finding, kind) to those that set it. By default each window is a finding and a token.
     """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    held, fit = order[: len(y) // 5], order[len(y) // 5 :]
+    finding = np.arange(len(y)) if finding is None else finding
+    tokens, side = np.unique(finding if token is None else token, return_inverse=True)
+    drawn = rng.permutation(len(tokens))
+    part = np.zeros(len(tokens), int)
+    held_out = drawn[: len(tokens) // 5]
+    part[held_out[::2]], part[held_out[1::2]] = 1, 2
+    fit, scale, held = (np.flatnonzero(part[side] == k) for k in range(3))
     net = CharCnn(rng.normal(0, 0.3, (2 * PAD + 2, dim)), rng.normal(0, 0.2, (WIDTH * dim, filters)), np.zeros(filters), rng.normal(0, 0.2, filters), 0.0)
     names = ("emb", "conv", "bias", "out", "shift")
     first, second, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
@@ -93,13 +122,17 @@ def train(codes: np.ndarray, y: np.ndarray, recall: float = 0.95, filters: int =
                 first[n] = 0.9 * first[n] + 0.1 * grad[n]
                 second[n] = 0.999 * second[n] + 0.001 * grad[n] ** 2
                 setattr(net, n, getattr(net, n) - 0.01 * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.999**t)) + 1e-8))
-    scale, held = held[::2], held[1::2]
     z, target = net.logits(codes[scale]), y[scale]
     a, b = 1.0, 0.0
     for _ in range(300):
         d = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - target
         a, b = a - 0.05 * float((d * z).mean()) if len(z) else a, b - 0.05 * float(d.mean()) if len(z) else b
     net.platt = (max(a, 1e-3), b)
-    kept = np.sort(net.probability(codes[held][y[held] == 1]))
-    net.threshold = float(kept[int((1 - recall) * len(kept))]) if len(kept) else 1.1
+    held = held[y[held] == 1]
+    _, best = per_finding(net.probability(codes[held]), finding[held])
+    kinds = np.zeros(len(best), int) if kind is None else kind[held][np.unique(finding[held], return_index=True)[1]]
+    if unseen:
+        _, best_more = per_finding(net.probability(unseen[0]), unseen[1])
+        kinds, best = np.concatenate([kinds, unseen[2][np.unique(unseen[1], return_index=True)[1]]]), np.concatenate([best, best_more])
+    net.threshold = recalled(best, kinds, recall)
     return net

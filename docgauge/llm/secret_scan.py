@@ -7,6 +7,7 @@ import random
 import re
 import string
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ LEAST = 12
 CONTEXT, CORE = 24, 48
 LENGTH = 2 * CONTEXT + CORE
 FINDINGS = 3000
+#: Windows of one finding that training sees; scoring sees them all, so many at once.
+PARTS, AT_ONCE = 8, 4096
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -57,54 +60,83 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
-def windows(spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Parts of at most ``CORE`` characters that cover the spans, and the span of each."""
-    parts = [(a, min(a + CORE, end), i) for i, (start, end) in enumerate(spans) for a in range(start, end, CORE)]
-    return [(a, b) for a, b, _ in parts], [i for _, _, i in parts]
+def windows(spans: list[tuple[int, int]], most: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """Parts of at most ``CORE`` characters that cover the spans (the first ``most`` of each), with the span's number."""
+    for i, (start, end) in enumerate(spans):
+        for a in range(start, min(end, start + most * CORE) if most else end, CORE):
+            yield a, min(a + CORE, end), i
 
 
 def codes_of(text: str, spans: list[tuple[int, int]], begins: list[int] | None = None) -> tuple[np.ndarray, list[int]]:
-    """Network input of every window of the spans, and the span of each; no context before ``begins``."""
-    marks, owner = windows(spans)
-    return charcnn.window_codes(text, marks, [begins[i] for i in owner] if begins else [0] * len(marks), CONTEXT, LENGTH), owner
+    """Network input of the first ``PARTS`` windows of the spans, and the span of each; no context before ``begins``."""
+    parts = list(windows(spans, PARTS))
+    return charcnn.window_codes(text, [(a, b) for a, b, _ in parts], [begins[i] if begins else 0 for *_, i in parts], CONTEXT, LENGTH), [i for *_, i in parts]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def generated(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows (codes, secret or not) in formats that the corpus may not hold."""
+ALNUM = string.ascii_letters + string.digits
+SYLLABLES = ["ing", "the", "ner", "ac", "tion", "ou", "mi", "re"]
+
+
+def generated(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in formats that the corpus may not hold: codes, secret or not, finding, and kind (its format's number)."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    alnum = string.ascii_letters + string.digits
-    codes, labels = [], []
+    codes, labels, finding, kinds = [], [], [], []
     for i in range(n):
-        word = "".join(rng.choice(["ing", "the", "ner", "ac", "tion", "ou", "mi", "re"]) for _ in range(rng.randint(2, 5)))
+        word = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 5)))
         secret = i % 2
         if secret:
-            token = rng.choice([lambda: "ghp_" + pick(alnum, 36), lambda: "eyJ" + pick(alnum + "-_", 60), lambda: pick(alnum + "+/", 40), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(string.hexdigits, 32), lambda: "sk-" + pick(alnum, 40), lambda: pick(alnum + "!@#$%^&*", rng.randint(12, 20)), lambda: pick(string.ascii_letters, rng.randint(16, 32)), lambda: pick(string.digits, rng.randint(20, 32))])()
+            forms = [
+                lambda: "ghp_" + pick(ALNUM, 36), lambda: "eyJ" + pick(ALNUM + "-_", 60), lambda: pick(ALNUM + "+/", 40), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(ALNUM, 24), lambda: "AIza" + pick(ALNUM + "-_", 35),
+                lambda: pick(string.hexdigits, 32), lambda: "sk-" + pick(ALNUM, 40), lambda: pick(ALNUM + "!@#$%^&*", rng.randint(12, 20)), lambda: pick(string.ascii_letters, rng.randint(16, 32)), lambda: pick(string.digits, rng.randint(20, 32)),
+                lambda: pick(string.ascii_lowercase, rng.randint(20, 32)), lambda: pick(string.ascii_uppercase + string.digits, rng.randint(16, 32)), lambda: pick(ALNUM, rng.randint(12, 20)) + f"@{word}.example.org",
+            ]
         else:
-            token = rng.choice([lambda: f"{word}.{pick(string.digits, 2)}.example.com/{word}", lambda: f"/{word}/{word}/{pick(string.digits, 4)}", lambda: f"{word}-{word}-{rng.randint(1, 2100)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12.30.00", lambda: f"{word}{rng.randint(0, 99)}.{word}.{word}", lambda: f"{word}_{word}_v{rng.randint(1, 40)}", lambda: word + word, lambda: f"{word}.{word}@{word}.example.org", lambda: (word + word).upper()])()
+            forms = [
+                lambda: f"{word}.{pick(string.digits, 2)}.example.com/{word}", lambda: f"/{word}/{word}/{pick(string.digits, 4)}", lambda: f"{word}-{word}-{rng.randint(1, 2100)}", lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T12.30.00",
+                lambda: f"{word}{rng.randint(0, 99)}.{word}.{word}", lambda: f"{word}_{word}_v{rng.randint(1, 40)}", lambda: word + word, lambda: f"{word}.{word}@{word}.example.org", lambda: (word + word).upper(), lambda: (word + word).capitalize(),
+            ]
+        kind = rng.randrange(len(forms))
+        token = forms[kind]()
         text = f"{word} {rng.choice(['', 'key ', 'use ', 'see ', 'id = '])}{token} {word}"
         at = text.index(token)
         some, _ = codes_of(text, [(at, at + len(token))])
         codes.append(some)
         labels += [secret] * len(some)
-    return np.concatenate(codes), np.array(labels)
+        finding += [i] * len(some)
+        kinds += [len(KINDS) + kind] * len(some)
+    return np.concatenate(codes), np.array(labels), np.array(finding), np.array(kinds)
 
 
-def labelled(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
-    """Windows of the rules' findings; of an assignment the value, every other one without what stands before it."""
+def labelled(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int]], list[int]]:
+    """The rules' findings, of an assignment the value, and where context begins: every other one has none before it."""
     values = [(max(a, b - len(re.search("[A-Za-z0-9+/_.=-]*$", text[a:b])[0])) if k == "assign" else a, b) for k, a, b in spans]
-    return codes_of(text, values, [0 if i % 2 else a for i, (a, _) in enumerate(values)])[0]
+    return values, [0 if i % 2 else a for i, (a, _) in enumerate(values)]
+
+
+def _findings(text: str) -> Iterator[tuple[int, int, str, bytes]]:
+    """Findings of the rules (label 1) and other candidates (label 0): label, kind, token, codes of the first windows."""
+    base = base_spans(text)
+    rest = candidates(text, base)
+    values, begins = labelled(text, base)
+    for label, spans, starts in ((1, values, begins), (0, rest, None)):
+        for lo in range(0, len(spans), AT_ONCE // PARTS):
+            some = spans[lo : lo + AT_ONCE // PARTS]
+            codes, owner = codes_of(text, some, starts[lo : lo + len(some)] if starts else None)
+            cuts = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            for i, (a, b) in enumerate(some):
+                yield label, KINDS.index(base[lo + i][0]) if label else len(KINDS) - 1, text[a:b], codes[cuts[i] : cuts[i + 1]].tobytes()
 
 
 def _samples(findings: int):
-    """The ``findings`` windows of each class that come first by hash in a partition, as rows (label, hash, codes)."""
+    """The ``findings`` of each class that come first by hash in a partition, as rows (label, kind, hash, token, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[dict[int, bytes]] = [{}, {}]
+        best: list[dict[int, tuple]] = [{}, {}]
 
         def cut(room: int) -> None:
             for kind in (0, 1):
@@ -113,63 +145,76 @@ def _samples(findings: int):
 
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             for text in batch.column(1).to_pylist():
-                if text:
-                    spans = base_spans(text)
-                    found = candidates(text, spans)
-                    for kind, codes in ((1, labelled(text, spans) if spans else []), (0, codes_of(text, found)[0] if found else [])):
-                        best[kind].update((xxhash.xxh3_64_intdigest(x), x) for x in map(bytes, codes))
-            cut(20 * findings)
+                for label, kind, token, codes in _findings(text or ""):
+                    h = xxhash.xxh3_64_intdigest(codes)
+                    if h not in best[label]:
+                        best[label][h] = (kind, xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")), codes)
+                        cut(20 * findings)
         cut(0)
-        rows = [(kind, np.uint64(h).astype(np.int64), x) for kind in (0, 1) for h, x in best[kind].items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[1]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["label", "hash", "codes"])
+        rows = [(label, kind, int(np.uint64(h).astype(np.int64)), int(np.uint64(t).astype(np.int64)), x) for label in (0, 1) for h, (kind, t, x) in best[label].items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["label", "kind", "hash", "token", "codes"])
 
     return run
 
 
 def fit(texts: DataFrame, findings: int = FINDINGS, recall: float = 0.95) -> charcnn.CharCnn:
-    """Train on at most ``findings`` windows of each class from all of the corpus (in hash order) plus generated ones.
+    """Train on at most ``findings`` findings of each class from all of the corpus (in hash order) plus generated ones.
 
-    ``texts`` has the columns id and text. Windows of other candidates stand for the negative class, but for those that
-    look like secrets to a network trained without them.
+    ``texts`` has the columns id and text. The threshold keeps ``recall`` of every kind of held-out finding: of each rule
+    and of each generated format, drawn anew for it. Other candidates stand for the negative class, but for those that
+    look like secrets to a network trained without their tokens. The first ``PARTS`` windows of a finding are trained on.
     """
-    rows = stored(texts.mapInArrow(trimmed(_samples(findings)), "label int, hash long, codes binary").distinct())
+    rows = stored(texts.mapInArrow(trimmed(_samples(findings)), "label int, kind int, hash long, token long, codes binary"))
 
-    def first(label: int) -> np.ndarray:
-        """The first windows by hash; a bound on the hash keeps what partitions send to the driver small."""
-        mine = rows.where(F.col("label") == label)
+    def first(label: int) -> list[tuple[int, int, np.ndarray]]:
+        """The first findings by hash; a bound on the hash keeps what partitions send to the driver small."""
+        mine = rows.where(F.col("label") == label).groupBy("hash").agg(F.min(F.struct("kind", "token", "codes")).alias("f")).select("hash", "f.*")
         n = mine.count()
         near = mine.where(F.col("hash") <= int(-(2**63) + min(2**64 - 1, 2**64 * 4 * findings // max(n, 1))))
         if near.count() >= min(findings, n):
             mine = near
-        return np.array([list(r["codes"]) for r in mine.orderBy("hash", "codes").limit(findings).collect()], np.uint8).reshape(-1, LENGTH)
+        return [(r["kind"], r["token"], np.frombuffer(bytes(r["codes"]), np.uint8).reshape(-1, LENGTH)) for r in mine.orderBy("hash").limit(findings).collect()]
 
     pos, other = first(1), first(0)
     forget(rows)
-    known, y = generated(1500)
-    known, y = np.concatenate([pos, known]), np.concatenate([np.ones(len(pos)), y])
-
-    def trained(more: np.ndarray) -> charcnn.CharCnn:
-        return charcnn.train(np.concatenate([known, more]).astype(np.int64), np.concatenate([y, np.zeros(len(more))]), recall)
-
-    # unlabelled windows may be secrets themselves: each half is judged by a network that has not seen it
-    halves = (other[::2], other[1::2])
+    made, secret, made_finding, made_kind = generated(1500)
+    fresh = generated(4000, 12)
+    unseen = tuple(x[fresh[1] == 1] for x in (fresh[0], fresh[2] + 10**9, fresh[3]))
+
+    def trained(negative: list[tuple[int, int, np.ndarray]]) -> charcnn.CharCnn:
+        found = pos + negative
+        sizes = [len(c) for *_, c in found]
+        each = lambda values: np.repeat(np.array(list(values), np.int64), sizes)
+        return charcnn.train(
+            np.concatenate([made, *(c for *_, c in found)]).astype(np.int64), np.concatenate([secret, each(i < len(pos) for i in range(len(found)))]), recall,
+            finding=np.concatenate([made_finding, each(range(len(made), len(made) + len(found)))]), token=np.concatenate([made_finding, each(t for _, t, _ in found)]),
+            kind=np.concatenate([made_kind, each(k for k, *_ in found)]), unseen=unseen,
+        )
+
+    # unlabelled candidates may be secrets themselves: each half is judged by a network that has not seen its tokens
+    halves = [[f for f in other if f[1] % 2 == k] for k in range(2)]
     clean = []
     for mine, rest in (halves, halves[::-1]):
         net = trained(rest)
-        clean.append(mine[net.probability(mine) < net.threshold])
-    return trained(np.concatenate(clean))
+        clean += [f for f in mine if net.probability(f[2]).max() < net.threshold]
+    return trained(clean)
 
 
 def found_in(net: charcnn.CharCnn, text: str) -> list[tuple[str, int, int]]:
-    """All spans: the rules' own and the candidates of which a window reaches the network's threshold, by start and kind."""
+    """All spans: the rules' own and the candidates of which a window reaches the network's threshold, by start and kind.
+
+    However long a token is, ``AT_ONCE`` windows are held at once.
+    """
     spans = base_spans(text)
     rest = candidates(text, spans)
-    for i in range(0, len(rest), 4096):
-        some = rest[i : i + 4096]
-        a, b = max(0, some[0][0] - CONTEXT), some[-1][1] + CONTEXT
-        codes, owner = codes_of(text[a:b], [(s - a, e - a) for s, e in some])
-        spans = spans + [("model", *some[o]) for o in sorted({owner[k] for k in np.flatnonzero(net.probability(codes) >= net.threshold)})]
-    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
+    hit: set[int] = set()
+    for some in batched(windows(rest), AT_ONCE):
+        some = [w for w in some if w[2] not in hit]
+        if some:
+            low = max(0, some[0][0] - CONTEXT)
+            codes = charcnn.window_codes(text[low : some[-1][1] + CONTEXT], [(a - low, b - low) for a, b, _ in some], [0] * len(some), CONTEXT, LENGTH)
+            hit |= {some[k][2] for k in np.flatnonzero(net.probability(codes) >= net.threshold)}
+    return sorted(spans + [("model", *rest[i]) for i in hit], key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
