@@ -14,7 +14,10 @@ import numpy as np
 TYPES = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-FEATURES = 23
+FEATURES, COMMON = 30, 23
+#: How writers spell @ and . out, mask digits and announce extensions.
+AT_WORDS, DOT_WORDS, EXTENSION = ("at", "At", "AT"), ("dot", "Dot", "DOT"), ("ext", "Ext", "x", "extension")
+MASK = re.compile("x+|X+|[*#\u2022]")
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -59,15 +62,45 @@ def span_features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     runs = inside(kind == 1)
     first_run = np.array([next((int(digits[j]) for j in range(i, min(i + 3, n)) if digits[j]), 0) for i in range(n)])[:, None]
     grouped = (runs == 3) & (n_digit == 10) & (first_run == 3) & (digits[last] == 4) & (n_letter + n_other + n_at + n_plus == 0)
+    # spelled-out addresses: "a at b dot org" with single spaces, "a [at] b.org" in brackets
+    is_at, is_dot = is_(AT_WORDS), is_(DOT_WORDS)
+    opens, closes = is_(("[", "(", "{", "<")), is_(("]", ")", "}", ">"))
+    before, after = np.concatenate([[False], opens[:-1]]), np.concatenate([closes[1:], [False]])
+    n_word_at, n_word_dot, n_bracket_at = inside(is_at), inside(is_dot), inside(is_at & before & after)
+    joint = opens | closes | is_at | is_dot
+    beside = np.concatenate([[False], joint[:-1]]) | np.concatenate([joint[1:], [False]])
+    n_loose = inside(space & ~beside)
+    alnum = kind < 2
+    tight = dot & np.concatenate([[False], alnum[:-1]]) & np.concatenate([alnum[1:], [False]])
+    link = tight | dash | local
+    whole = word_edges & ~joint[begin] & ~joint[last] & ~np.concatenate([[False], link[:-1]])[begin] & ~np.concatenate([link[1:], [False]])[last]
+    spoken = (n_word_at == 1) & (n_word_dot >= 1) & (n_loose == 0) & (n_other + n_paren + n_at == 0) & (n_dot == inside(tight)) & whole
+    bracketed = (n_bracket_at == 1) & (n_word_at == 1) & (n_at == 0) & (n_dot + n_word_dot >= 1) & (n_dot == inside(tight)) & (n_loose == 0) & whole
+    # a card whose digits are partly masked: digits and mask signs from end to end, in all as many as a card has
+    masked = np.array([len(w) if MASK.fullmatch(w) else 0 for w in words])
+    shown = (kind == 1) | (masked > 0)
+    shown_before, shown_after = np.concatenate([[False], shown[:-1]]), np.concatenate([shown[1:], [False]])
+    n_mask = inside(masked)
+    hidden = (n_mask >= 4) & (n_digit >= 2) & (n_digit + n_mask >= 13) & (n_digit + n_mask <= 19) & (inside(shown) + n_space + n_dash == end - begin) & shown[begin] & shown[last] & ~shown_before[begin] & ~shown_after[last]
+    # four octets whose dots are bracketed or spelled out
+    defanged = (runs == 4) & (inside(octet) == 4) & (n_space == 0) & (n_dot + n_word_dot == 3) & (n_letter == n_word_dot) & (n_dash + n_plus + n_at == 0) & (kind[begin] == 1) & (kind[last] == 1)
+    # national numbers with a leading zero, international ones with two, and extensions
+    zero, zeros = np.array([w[0] == "0" and k == 1 for w, k in zip(words, kind, strict=True)]), np.array([w.startswith("00") and k == 1 for w, k in zip(words, kind, strict=True)])
+    plain = (n_letter + n_other + n_at + n_plus == 0) & (kind[last] == 1) & (n_digit >= 9) & (runs >= 2) & ((n_dot == 0) | (runs >= 4)) & (end - begin <= 2 * runs + n_paren)
+    zero = zero & ~zeros  # one zero, then the area
+    national = plain & (zero[begin] | opens[begin] & np.concatenate([zero[1:], [False]])[begin]) & (n_digit <= 13)
+    extended = (inside(is_(EXTENSION)) == 1) & (n_letter == 1) & (n_digit >= 11) & (n_digit <= 15) & (runs == 4) & (kind[last] == 1) & (n_other - inside(is_((":",))) == 0)
     f = np.stack(
         [
             np.ones_like(n_digit), n_at == 1, (n_at == 1) & (domain_dots >= 1), n_space + n_other + n_paren > 0, (n_letter > 0), word_edges, quad, (n_digit >= 13) & (n_digit <= 19), luhn & (n_digit >= 13),
             plus[begin] & np.ones_like(quad), (n_digit >= 9) & (n_digit <= 15), (kind[last] == 1), edge_ok, n_dot > 0, n_digit > 0, n_other > 0, paren[begin] & (n_digit == 10), n_dash > 0, n_plus > 0,
             np.minimum(n_digit, 20) / 20, np.minimum(end - begin, MAX_TOKENS) / MAX_TOKENS, (n_at == 1) & (n_space + n_other + n_paren == 0) & (n_local >= 0), grouped,
+            spoken, bracketed, hidden, defanged, national, plain & zeros[begin] & (n_digit <= 16), extended,
         ],
         axis=2,
     )
     f = f.astype(float)
+    f[:, :, COMMON:] *= 3  # rare features decide alone and see few updates: larger values learn faster
     f[begin + np.arange(1, MAX_TOKENS + 1) > n] = 0
     return f
 
