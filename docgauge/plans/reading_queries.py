@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.functions import commentary, legacy
-from docgauge.plans import comparison, spatial
+from docgauge.functions import commentary, corrections, legacy
+from docgauge.plans import comparison, fields, spatial
 from docgauge.plans.catalog import FACTS, PHRASES, WHYS, _hit, query
 from docgauge.plans.fields import CHOICES
 from docgauge.sources.tables import table
@@ -212,3 +212,39 @@ def commentary_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All commentary findings on every whole text."""
     a = table(spark, sf_dir, "documents").select("doc_id", commentary.analysis(F.col("text"), PHRASES, FACTS, WHYS, TRENDS).alias("a"))
     return a.select("doc_id", "a.is_canned", F.size("a.matched_templates").alias("templates"), "a.has_specific_details", F.size("a.market_trends").alias("trends"), "a.word_count")
+
+
+# ---- corrections of misread text
+
+PAIRS = "[" + ", ".join("'" + f"{w}=>{r}".replace("'", "''") + "'" for w, r in [*corrections.LABEL_CORRECTIONS.items(), *corrections.STATE_FIXES.items()]) + "]"
+MISREAD = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in corrections.LABEL_CORRECTIONS) + "]"
+
+
+def right(text: str) -> str:
+    """DuckDB's way to the corrected text: a fold of replacements; without lookaround, digits take two passes."""
+    out = f"list_reduce(list_prepend({text}, {PAIRS}), lambda t, p: replace(t, split_part(p, '=>', 1), split_part(p, '=>', 2)))"
+    for wrong, digit in (("O", "0"), ("l", "1")):
+        for _ in range(2):
+            out = f"regexp_replace({out}, '([0-9$]){wrong}([0-9])', '\\1{digit}\\2', 'g')"
+    return out
+
+
+WRITTEN = """case doc_id % 5 when 0 then 'Borrower: 0wner of ' || source when 1 then 'Borr0wer: ' || source || ' T X' when 2 then 'Price: $l0' || cast(doc_id % 10 as {s}) || 'O0O0 net'
+ when 3 then 'Borrower: Property Address' else lang end"""
+
+
+@query(f"""with t as (select doc_id, {WRITTEN.format(s="varchar")} as text from documents), raws as (select *, case doc_id % 5 when 0 then substr(text, 11) when 1 then substr(text, 11) when 2 then substr(text, 8, length(text) - 11) end as raw_value,
+ case doc_id % 5 when 0 then 88e-2 when 1 then 78e-2 when 2 then 68e-2 else 0e0 end as sure from t)
+ select doc_id, raw_value, case when raw_value is not null then {right("raw_value")} end as value, round(case when raw_value <> {right("raw_value")} then sure - 5e-2 else sure end, 3) as confidence,
+ case when sure = 0 then 'not_found' when sure > 8e-1 then 'spatial_anchor' else 'regex_fallback' end as method, coalesce(raw_value <> {right("raw_value")}, false) as correction_applied from raws""")
+def corrected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field read by its ladder, cleaned and corrected; what is corrected is less sure."""
+    got = fields.field(F.col("text"), [r"Borrower:\s*([^\n]+)", r"Borr0wer:\s*([^\n]+)", r"Price:\s*([^\n]+)"], r"\s+net$", corrections.corrected)
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(WRITTEN.format(s="string")).alias("text")).select("doc_id", got.alias("f")).select("doc_id", "f.*")
+
+
+@query(f"""select page_id, md5(replace({right("html")}, 'class', 'kind')) as digest, len(list_filter({MISREAD}, lambda w: contains(html, w))) + cast(contains({right("html")}, 'class') as int) as corrections from pages where html is not null""")
+def corrected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole page after the fixed corrections and a learned one, with their count."""
+    fixed = corrections.corrected_document(F.col("html"), [("class", "kind")])
+    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", fixed.alias("c")).select("page_id", F.md5(F.col("c.text").cast("binary")).alias("digest"), F.col("c.corrections").cast("long").alias("corrections"))
