@@ -42,6 +42,22 @@ def test_boxes_against_plain_loops(spark):
     assert B.suppressed(df.limit(0), ["page"], "id", ["score"]).count() == 0
 
 
+def test_small_pages_take_no_rounds_and_large_ones_agree(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [{"page": rng.choice([1, 1, 1, 1, 2, 3, None]), "id": i, "x": float(rng.randint(0, 90)), "y": float(rng.randint(0, 90))} for i in range(120)]
+    near = lambda a, b: abs(a["x"] - b["x"]) < 15 and abs(a["y"] - b["y"]) < 15
+    want = loop(rows, lambda r: (r["x"] * 10000 + r["y"], r["id"]), near)
+    df = spark.createDataFrame(rows, "page int, id int, x double, y double")
+    kept = lambda: {(r.page, r.id) for r in B.distinct_boxes(df, ["page"], "id").where("kept").collect()}
+    rounds, ran = B.by_rounds, []
+    monkeypatch.setattr(B, "by_rounds", lambda *a: ran.append(1) or rounds(*a))
+    assert kept() == want and not ran
+    monkeypatch.setattr(B, "MOST", 30)  # page 1 alone is larger
+    assert kept() == want and ran
+    nowhere = spark.createDataFrame([(1, i, None, 5.0, 1.0, 1.0, 0.5) for i in range(40)], "page int, id int, x double, y double, w double, h double, score double")
+    assert B.suppressed(nowhere, ["page"], "id", ["score"]).where("kept").count() == 40
+
+
 def land(spark, folder, number, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{number}")
 
