@@ -17,13 +17,14 @@ BOX = "l_orderkey, l_linenumber, cast(l_partkey % 30 * 3 as double) as x, cast(l
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per order, a box per line item; order and line identify a box only if lines don't repeat."""
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[c.strip() for c in BOX.split(",")[2:]]).dropDuplicates(["l_orderkey", "l_linenumber"])
+    """A page per order, a box per line number; of a line's repeats the least box by corner, then score, counts."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*[c.strip() for c in BOX.split(",")])
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("x", "y", "score", "w", "h")).alias("b")).select("l_orderkey", "l_linenumber", *[f"b.{c}" for c in ("x", "y", "w", "h", "score")])
 
 
 def _loop(order: str, near: str) -> str:
     """SQL of a plain loop over each page's boxes in order."""
-    return f"""with recursive boxes as (select distinct on (l_orderkey, l_linenumber) {BOX} from lineitem
+    return f"""with recursive boxes as (select distinct on (l_orderkey, l_linenumber) {BOX} from lineitem order by l_orderkey, l_linenumber, x, y, score
 ), placed as (select *, row_number() over (partition by l_orderkey order by {order}, l_linenumber) as i from boxes
 ), loop as (
   select l_orderkey, 0::bigint as i, []::struct(x double, y double, w double, h double)[] as kept, null::integer as line, null::boolean as keep from (select distinct l_orderkey from boxes)
@@ -36,7 +37,7 @@ def _loop(order: str, near: str) -> str:
 SHARED = "greatest(0e0, least(b.x + b.w, p.x + p.w) - greatest(b.x, p.x)) * greatest(0e0, least(b.y + b.h, p.y + p.h) - greatest(b.y, p.y))"
 
 
-@query(_loop("score desc", f"{SHARED} > 3e-1 * (b.w * b.h + p.w * p.h - {SHARED})"))
+@query(_loop("score desc", f"{SHARED} / (b.w * b.h + p.w * p.h - {SHARED}) > 3e-1"))
 def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of every page that survive those of higher score."""
     return B.suppressed(boxes(spark, sf_dir), ["l_orderkey"], "l_linenumber", ["score"]).select("l_orderkey", "l_linenumber", "kept")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgauge.operators import boxes as B
-from docgauge.plans import models, training
+from docgauge.plans import keeping_queries, models, training
 from docgauge.sources import tables
 from docgauge.streaming import learning, sessions
 
@@ -58,6 +58,15 @@ def test_small_pages_take_no_rounds_and_large_ones_agree(spark, monkeypatch):
     assert B.suppressed(nowhere, ["page"], "id", ["score"]).where("kept").count() == 40
 
 
+def test_repeated_lines_give_one_box_in_any_order(spark, tmp_path):
+    rows = [(1, 1, 40, 9, 1.0), (1, 1, 2, 9, 3.0), (1, 1, 2, 4, 4.0), (1, 2, 1, 1, 2.0)]
+    got = []
+    for name, given in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(given, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        got.append(sorted(tuple(r) for r in keeping_queries.boxes(spark, f"{tmp_path}/{name}").collect()))
+    assert got[0] == got[1] == [(1, 1, 6.0, 12.0, 20.0, 21.0, 4.0), (1, 2, 3.0, 3.0, 20.0, 22.0, 2.0)]
+
+
 def land(spark, folder, number, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{number}")
 
