@@ -98,7 +98,8 @@ def normalized_address(text: Column) -> Column:
     """struct(full_address, street, unit, city, state, zip_code, zip_plus4, confidence) of a one-line address.
 
     The state is two capitals before the zip code or the end, else the first state whose name occurs; the city is the
-    words before the state, the street what precedes the city. Confidence is the share of street, city, state and zip
+    words before the state, the street what precedes the city. The zip code is the first five digits that stand alone, so
+    a house number of five digits is taken for it, as in that service. Confidence is the share of street, city, state and zip
     code that was found. A null or empty text is an empty address of confidence 0.
     """
     null = lambda c: F.nullif(c, F.lit(""))

@@ -3,8 +3,10 @@
 import random
 import re
 
+import duckdb
+
 from docgauge.functions import commentary, legacy
-from docgauge.plans import comparison, reports, spatial
+from docgauge.plans import catalog, comparison, reading_queries, reports, spatial
 from docgauge.plans.fields import LABELS
 from pyspark.sql import functions as F
 
@@ -154,3 +156,14 @@ def test_marked_boxes_come_before_choices_of_the_text(spark):
     cells = reports.with_words(reports.page_fields(pages), words)
     got = {(r["doc_id"], r["field_name"]): (r["value"], r["confidence"]) for r in cells.where("field_name in ('location', 'built_up', 'legal_description')").collect()}
     assert got[1, "location"] == ("Urban", 0.86) and got[2, "location"] == ("Rural", 0.55) and (1, "built_up") not in got and {(1, "legal_description"), (2, "legal_description")} <= set(got)
+
+
+def test_addresses_with_house_numbers_of_any_length_follow_the_sql(spark, tmp_path):
+    keys = [7, 8, *range(9998, 10005), 12346, 99998, 99999, *range(100000, 100004)]
+    path = f"{tmp_path}/customer.parquet"
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.execute(f"create view customer as select * from '{path}/*.parquet'")
+    df = reading_queries.normalized_address(spark, str(tmp_path))
+    want = duck.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLE_SQL['normalized_address']}) order by doc_id").fetchall()
+    assert [tuple(r) for r in df.orderBy("doc_id").collect()] == want
