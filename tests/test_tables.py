@@ -1,5 +1,7 @@
 """Table pairs, page search, and the address, tract, area and name normalisers."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from docgauge.functions import documents as D
@@ -78,3 +80,14 @@ def test_marks_nested_rows_and_reports(spark, tmp_path):
     sources.write_report(p.withColumn("n", F.lit(None).cast("string")), f"{tmp_path}/r")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/r").collect()) == ['{"id":1,"n":null}', '{"id":2,"n":null}']
     assert [r[0] for r in spark.createDataFrame([("aab",), (None,)], "t string").select(T.replaced(F.col("t"), {"a": "b", "bbb": "c"})).collect()] == ["c", None]
+
+
+def test_span_of_a_long_text_takes_linear_time(spark):
+    from docgauge.operators import evidence
+
+    words = ["the", "and"] * 30000 + ["the", None, "The", "End"]
+    df = spark.createDataFrame([(1, words, "THE  end"), (2, words, "end the"), (3, words, "absent end"), (4, words, " "), (5, None, "the"), (6, ["a"], None)], "id int, ws array<string>, v string")
+    start = time.monotonic()
+    got = {r.id: r.s and tuple(r.s) for r in df.select("id", evidence.word_span(F.col("ws"), F.col("v")).alias("s")).collect()}
+    assert got == {1: (60003, 60004), 2: (60004, 60004), 3: None, 4: None, 5: None, 6: None}
+    assert time.monotonic() - start < 60
