@@ -109,6 +109,17 @@ def fit(words: list[str], shape: str) -> tuple[float, str] | None:
     return (MENDED, mended) if re.fullmatch(shape, mended, re.IGNORECASE) else None
 
 
+def head_of(shape: str) -> re.Pattern | None:
+    """The part of a shape that its first word has to match; None where the shape's first blank may not end a word."""
+    head, blank, _ = shape.partition(" ")
+    return re.compile(head, re.IGNORECASE) if blank and not set("[(|") & set(re.sub(r"\[[^\[\]]*\]", "", head)) else None
+
+
+def begins(word: str, head: re.Pattern | None) -> bool:
+    """False where no value of the shape can begin with the word, as it is or mended."""
+    return head is None or bool(head.fullmatch(word)) or (any(c.isdigit() for c in word) and bool(head.fullmatch(word.translate(LIKE_DIGITS))))
+
+
 def aligned(words: list[str], slots: list[tuple[str, int, int]]) -> list[str] | None:
     """Values of consecutive slots (shape, least, most words) somewhere in the words, by the cheapest alignment.
 
@@ -118,7 +129,10 @@ def aligned(words: list[str], slots: list[tuple[str, int, int]]) -> list[str] |
     reached = {i: (0.0, i, []) for i in range(len(words))}
     for shape, few, most in slots:
         following: dict[int, tuple[float, int, list[str]]] = {}
+        head = head_of(shape)
         for i, (cost, begin, values) in sorted(reached.items()):
+            if i < len(words) and not begins(words[i], head):
+                continue
             for n in range(few, min(most, len(words) - i) + 1):
                 hit = fit(words[i : i + n], shape)
                 if hit:
