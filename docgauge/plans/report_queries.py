@@ -13,7 +13,7 @@ from docgauge.functions.value_stream import page_facts, page_stream
 from docgauge.plans import fields, reports
 from docgauge.plans.catalog import query
 from docgauge.plans.rule_queries import SUBJECT, YEAR, none, when
-from docgauge.sources.tables import table
+from docgauge.sources.tables import spread, table
 
 # stand-in facts of a report: expressions of k that both engines read alike
 FACTS = {
@@ -70,7 +70,7 @@ IDS = ["S-1", "S-2", "S-3", "S-4", "S-5", "S-6", "S-7", "S-8", "S-9", "S-10", "S
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, kind, page, text), four of a customer."""
-    k = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k")
+    k = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k"), "doc_id")
     facts = k.select("doc_id", "k", *[F.expr(e).alias(n) for n, e in FACTS.items()])
     cells = [F.struct(F.lit(kind).alias("kind"), F.lit(page).alias("page"), F.expr(text).alias("text")) for (kind, page), text in PAGES.items()]
     return facts.select("doc_id", F.explode(F.array(*cells)).alias("p")).select("doc_id", "p.*")
@@ -151,10 +151,11 @@ STREAM = (
  {{'field_name': 'built_up', 'value': case when k % 80 + 10 >= 75 then 'Over 75%' end}}, {{'field_name': 'location', 'value': 'Suburban'}}], recursive := true) from d""")
 def first_page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of every flattened first page whose stream is whole."""
-    streams = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k").select("doc_id", F.expr(STREAM).alias("text"))
-    read = streams.withColumn("s", page_stream(F.col("text"))).where("s is not null")
+    streams = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k"), "doc_id").select("doc_id", F.expr(STREAM).alias("text"))
+    read = streams.withColumn("s", page_stream(F.col("text")))  # a filter on it would work it out once more
     names = ["price_low", "age_high", "land_use_total", "neighborhood_boundaries", "site_area", "built_up", "location"]
-    return read.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col("s")[n]["value"].alias("value")) for n in names])).alias("f")).select("doc_id", "f.*")
+    rows = F.array(*[F.struct(F.lit(n).alias("field_name"), F.col("s")[n]["value"].alias("value")) for n in names])
+    return read.select("doc_id", F.explode(F.when(F.col("s").isNotNull(), rows)).alias("f")).select("doc_id", "f.*")
 
 
 LOT = "concat('Order 77 Lot ', cast(k as varchar(9)), ' Block B Sage A123 456 2', case when k % 3 = 0 then 'O' else '0' end, '23 4,100 Sage Creek 4567 1234.56 ', case when k % 4 = 0 then 'free' else cast(k % 500 as varchar(9)) end, ' 120 Form 1004UAD')"
@@ -164,6 +165,7 @@ LOT = "concat('Order 77 Lot ', cast(k as varchar(9)), ' Block B Sage A123 456 2'
  '1234.56' as census_tract, cast(c_custkey % 500 as varchar) as special_assessments, '120' as hoa_dues from customer where c_custkey % 4 <> 0""")
 def aligned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page's facts without labels, aligned with the order of the fields; scanners' letters are read as digits."""
-    streams = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k").select("doc_id", F.expr(LOT).alias("text"))
-    read = streams.withColumn("f", page_facts(F.col("text"))).where("f is not null")
+    streams = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k"), "doc_id").select("doc_id", F.expr(LOT).alias("text"))
+    # rows without facts go in the explode, as a filter would align every text once more
+    read = streams.withColumn("f", page_facts(F.col("text"))).select("doc_id", F.explode(F.when(F.col("f").isNotNull(), F.array("f"))).alias("f"))
     return read.select("doc_id", *[F.col("f")[n]["value"].alias(n) for n in ("legal_description", "assessors_parcel_number", "tax_year", "neighborhood_name", "census_tract", "special_assessments", "hoa_dues")])

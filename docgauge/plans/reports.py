@@ -77,8 +77,8 @@ def page_fields(pages: DataFrame) -> DataFrame:
         if kind != "agreement":
             own = own.withColumn("address", address_block(text, fields.is_label))
         if kind == "report":
-            own = own.withColumn("stream", page_stream(text)).withColumn("facts", page_facts(text))
-            labelled = fields.subject(text, F.when(page <= 2, text)) | fields.neighborhood(text) | fields.contract(text) | parts("address", own)
+            own = own.withColumn("stream", page_stream(text)).withColumn("facts", page_facts(text)).withColumn("area", fields.neighborhood_parts(text))
+            labelled = fields.subject(text, F.when(page <= 2, text)) | fields.neighborhood(text, F.col("area")) | fields.contract(text) | parts("address", own)
             sources = [(0, parts("stream", own)), (1, labelled), (2, parts("facts", own))]
         else:
             sources = [(1, parts("address", own)), (2, fields.letter(text))] if kind == "letter" else [(1, fields.agreement(text))]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docgauge.plans import rules
 from docgauge.plans.catalog import query
-from docgauge.sources.tables import table
+from docgauge.sources.tables import spread, table
 
 YEAR = 2024
 # stand-in fields: expressions of k that both engines read alike
@@ -143,7 +143,7 @@ ITEMS = {"contract.personal_property_items": ["washer"], "agreement.personal_pro
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One wide document row a customer, for ``rules.evaluate``."""
-    k = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k")
+    k = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "c_custkey as k"), "doc_id")
     flat = k.select("doc_id", "k", F.expr(TEXT).alias("raw_text"), *[F.expr(e).alias(p.replace(".", "__")) for p, e in FIELDS.items()])
     comps = F.array(*[F.struct(*[F.expr(e.format(j=j)).alias(f) for f, e in COMPARABLE.items()]) for j in range(3)])
     parts: dict[str, list] = {}

@@ -149,3 +149,34 @@ def test_first_page_by_terms_of_the_row(spark):
         assert got[i] == want
     terms = df.limit(1).select(reports.rule_terms("S-2", F.lit("v"), F.lit("it says 'abc' and 'Jane Doe'")).alias("t")).first().t
     assert terms == ["v", "abc", "Jane Doe", "Borrower"]
+
+
+def test_alignment_tries_only_words_that_can_begin_a_value(monkeypatch):
+    from docgauge.functions import value_stream as V
+
+    tried = []
+    fit = V.fit
+    monkeypatch.setattr(V, "fit", lambda words, shape: tried.append(1) or fit(words, shape))
+    words = "Lot 1 Block B Sage A123 456 2O23 4,100 Sage Creek 4567 1234.56 7 120".split()
+    slots = [v[:3] for v in V.FACTS.values()]
+    assert V.aligned(["word"] * 900 + words, slots) == ["Lot 1 Block B Sage", "A123 456", "2023", "4,100", "Sage Creek", "4567", "1234.56", "7", "120"]
+    assert len(tried) < 2000
+    assert [bool(V.begins(w, V.head_of(s))) for w, s in (("lot", r"Lot \d+ .+"), ("Lots", r"Lot \d+ .+"), ("AlOO", r"[A-Za-z]\d{3} \d{3}"), ("A1OO", r"[A-Za-z]\d{3} \d{3}"), ("9", r"[A-Za-z][A-Za-z0-9 /.-]+"))] == [True, False, False, True, True]
+
+
+def test_customers_of_one_row_group_are_dealt_to_all_cores(spark):
+    from docgauge.plans import reading_queries, report_queries, rule_queries
+
+    for rows in (report_queries.pages, reading_queries.words, rule_queries.documents):
+        assert rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_shared_parts_of_the_neighborhood_grid(spark):
+    from docgauge.plans import fields
+
+    text = "Present Land Use One-Unit 70 % 2-4 Unit 5 % Multi-Family 5 % Commercial 10 % Other 10 % Neighborhood Boundaries North = Oak Rd South = Elm Rd East = I-3 West = River\nMarket Conditions x"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "Present Land Use Other 7 %")], "id int, text string").withColumn("parts", fields.neighborhood_parts(F.col("text")))
+    names = ["land_use_one_unit", "land_use_other", "land_use_total", "neighborhood_boundaries"]
+    cols = fields.neighborhood(F.col("text"), F.col("parts"))
+    got = [tuple(r) for r in df.orderBy("id").select(*[cols[n]["value"].alias(n) for n in names]).collect()]
+    assert got == [("70.0", "10.0", "100.0", "North = Oak Rd; South = Elm Rd; East = I-3; West = River"), (None, None, None, None), (None, "7.0", "7.0", None)]
