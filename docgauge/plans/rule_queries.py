@@ -401,5 +401,5 @@ BARE = f"""{_input_sql()}, none as (select * exclude (doc_id, t, loan_type, assi
 @query(f"""{BARE} select rule_id, status, count(*) as n from (select unnest([{", ".join(f"{{'rule_id': '{i}', 'status': {s}}}" for i, s in EVERY.items())}], recursive := true) from bare) where status is not null group by 1, 2""")
 def rule_engine_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules and cross-field checks over all documents' texts: rows per rule and status."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text")), "doc_id")
     return rules.evaluate(docs, YEAR).groupBy("rule_id", "status").agg(F.count("*").alias("n"))

@@ -102,3 +102,10 @@ def test_pages_rows_and_labels(spark):
     got = ordered.spatial_value(df, ["doc", "page"], ["Neighborhood", "Name"]).collect()
     assert [(r.value, r.bbox_x, r.bbox_y) for r in got] == [("Sagecreek", 0.1, 0.15)]
     assert sorted(r.line for r in ordered.row_clusters(df, ["doc", "page"], "bbox_y", "bbox_h").collect()) == [0, 0, 1, 2]
+
+
+def test_documents_of_one_row_group_are_dealt_to_all_cores(spark):
+    from docgauge.plans import rule_queries
+
+    plan = rule_queries.rule_engine_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [doc_id" in plan
