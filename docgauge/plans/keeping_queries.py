@@ -10,7 +10,7 @@ from docgauge.plans import models, training
 from docgauge.plans.catalog import query
 from docgauge.sources import tables
 from docgauge.sources.scratch import shared_folder
-from docgauge.sources.tables import table
+from docgauge.sources.tables import spread, table
 from docgauge.streaming import learning
 
 BOX = "l_orderkey, l_linenumber, cast(l_partkey % 30 * 3 as double) as x, cast(l_suppkey % 30 * 3 as double) as y, 20e0 as w, 2e1 + l_linenumber as h, cast(l_quantity % 5 as double) as score"
@@ -79,7 +79,7 @@ def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/commentary"
     if model is not None:
         models.save(spark, model, path)
-    return models.scored(docs.select("doc_id", "text"), path).groupBy("label", "model_version").agg(F.count("*").alias("n"))
+    return models.scored(spread(docs.select("doc_id", "text"), "doc_id"), path).groupBy("label", "model_version").agg(F.count("*").alias("n"))
 
 
 @query("""select 'results' as sink, o_orderkey % 7 as batch_id, count(*) as n, count_if(l_returnflag <> 'N') as looks from orders join lineitem on l_orderkey = o_orderkey group by 2
