@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docgauge.functions.text import let
+
 
 def hits(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns occur, ignoring case."""
@@ -17,14 +19,14 @@ def canned(text: Column, phrases: list[str], specific: list[str], reasons: list[
     Two facts or three reasons: not canned (0.8). Two stock phrases: canned (0.75). Otherwise canned where
     0.3 per phrase less 0.2 per fact and 0.1 per reason passes 0.2 (0.5). Empty text is canned (0.9).
     """
-    c, s, r = hits(text, phrases), hits(text, specific), hits(text, reasons)
+    counts = F.struct(hits(text, phrases).alias("c"), hits(text, specific).alias("s"), hits(text, reasons).alias("r"))
     row = lambda flag, conf: F.struct(flag.cast("boolean").alias("canned"), F.lit(conf).alias("confidence"))
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), row(F.lit(True), 0.9))
-        .when((s >= 2) | (r >= 3), row(F.lit(False), 0.8))
-        .when(c >= 2, row(F.lit(True), 0.75))
-        .otherwise(row(0.3 * c - 0.2 * s - 0.1 * r > 0.2, 0.5))
-    )
+
+    def judged(n: Column) -> Column:
+        c, s, r = n["c"], n["s"], n["r"]
+        return F.when((s >= 2) | (r >= 3), row(F.lit(False), 0.8)).when(c >= 2, row(F.lit(True), 0.75)).otherwise(row(0.3 * c - 0.2 * s - 0.1 * r > 0.2, 0.5))
+
+    return F.when(text.isNull() | (F.trim(text) == ""), row(F.lit(True), 0.9)).otherwise(let(counts, judged))
 
 
 def template_score(text: Column, phrases: list[str], specific: list[str]) -> Column:

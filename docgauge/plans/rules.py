@@ -7,8 +7,11 @@ field in them, may be absent: a missing field reads as null. All rules of a docu
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +21,39 @@ from docgauge.functions import commentary
 from docgauge.functions.dates import parse_date, parse_date_or_text
 from docgauge.functions.numeric import outcome
 from docgauge.functions.similarity import sequence_ratio
-from docgauge.functions.text import same_street, squeezed, street_tokens, upper_key
+from docgauge.functions.text import folded, let, same_street, squeezed, street_tokens, upper_key
 
 PASS, VERIFY, FAIL = "PASS", "VERIFY", "FAIL"
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between its outer bars, those of one group that spans it too."""
+    parts, depth = [""], 0
+    for t in re.findall(r"(?s)\\.|\[(?:\\.|[^\]\\])*\]|.", pattern):
+        depth += (t == "(") - (t == ")")
+        if depth < 0:
+            return []
+        if t == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += t
+    group = re.fullmatch(r"(?s)(\\b)?\((?:\?:)?([^?].*)\)(\\b)?", pattern)
+    inner = alternatives(group[2]) if group and len(parts) == 1 else []
+    return [f"{group[1] or ''}{p}{group[3] or ''}" for p in inner] or parts
+
+
+def lead(part: str) -> str:
+    """The literal that every match of a part without outer bars begins with, in lower case."""
+    m = re.match(r"(?:\\b)?([A-Za-z0-9 ;/&#-]*)(.?)", part, re.DOTALL)
+    return (m[1][:-1] if m[2] and m[2] in "?*{" else m[1]).lower()
+
+
 class Doc:
-    """Null-safe access to the fields of a document row."""
+    """Null-safe access to the fields of a document row; ``low`` is its folded text, where that is at hand."""
 
-    def __init__(self, schema: StructType, as_of_year: int):
+    def __init__(self, schema: StructType, as_of_year: int, low: Column | None = None):
         self.schema, self.as_of_year = schema, as_of_year
+        self.low = folded(self.text) if low is None else low
 
     def __call__(self, path: str, cast: str = "string") -> Column:
         node, parts = self.schema, path.split(".")
@@ -42,7 +68,28 @@ class Doc:
         return F.coalesce(self("raw_text"), F.lit(""))
 
     def has(self, pattern: str, dot_all: bool = False) -> Column:
-        return self.text.rlike(("(?is)" if dot_all else "(?i)") + pattern)
+        """Whether the text holds the pattern, ignoring case.
+
+        A part between bars is looked for only behind the literal that it begins with, which the folded text holds or
+        not; one that is such a literal throughout needs no pattern.
+        """
+        own = re.match(r"\(\?[a-z-]+\)", pattern)
+        flags = ("(?is)" if dot_all else "(?i)") + (own[0] if own else "")
+        pattern = pattern[own.end() :] if own else pattern
+        if "-i" in flags:
+            return self.text.rlike(flags + pattern)
+        tests, rest = [], []
+        for part in alternatives(pattern):
+            known = lead(part)
+            if known == part.lower():
+                tests.append(self.low.contains(known))
+            elif len(known) >= 3:
+                tests.append(self.low.contains(known) & self.text.rlike(flags + part))
+            else:
+                rest.append(part)
+        if rest:
+            tests.append(self.text.rlike(flags + "|".join(rest)))
+        return reduce(or_, tests)
 
     def blank(self, path: str) -> Column:
         return F.trim(F.coalesce(self(path), F.lit(""))) == ""
@@ -627,18 +674,21 @@ phrase_rule("COM-5", "Reconciliation Sufficiency", "STANDARD", 2140, "sales.reco
 @rule("COM-6", "Addenda Consistency", "ADVISORY", 2150)
 def addenda(d: Doc) -> Column:
     """The addenda name another address, borrower, lender or final value (``market_value_opinion``) than the form."""
-    low = F.lower(d.text)
-    marks = F.filter(F.array(*[F.instr(low, x) for x in ("addendum", "additional comments", "certification")]), lambda x: x > 0)
-    part = F.when(F.size(marks) > 0, F.substring(d.text, F.array_min(marks), F.length(d.text))).otherwise(F.right(d.text, F.lit(5000)))
+    marks = lambda low: F.array_min(F.filter(F.array(*[F.instr(low, x) for x in ("addendum", "additional comments", "certification")]), lambda x: x > 0))
+    of = lambda first: F.coalesce(F.substring(d.text, first, F.length(d.text)), F.right(d.text, F.lit(5000)))
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    lacks = lambda p: (F.coalesce(d(p), F.lit("")) != "") & ~F.contains(plain(part), plain(d(p)))
     amount = F.regexp_replace(F.regexp_replace(d("market_value_opinion"), r"\.\d*$", ""), "[^0-9]", "")
-    amounts = F.transform(F.regexp_extract_all(part, F.lit(r"\$\s*\d[\d,]{3,}"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", ""))
-    issue = (
-        (lacks("subject.address") & part.rlike(r"\b\d{2,6}\s+[A-Za-z0-9 .'-]{3,80}\b")) | (lacks("subject.borrower") & part.rlike(r"(?i)\bborrower\b"))
-        | (lacks("subject.lender_name") & part.rlike(r"(?i)\b(?:lender|client)\b")) | F.coalesce((amount != "") & (F.size(amounts) > 0) & ~F.array_contains(amounts, amount), F.lit(False))
-    )
-    return F.when(F.trim(d.text) == "", VERIFY).when(issue, VERIFY).otherwise(PASS)
+
+    def issue(part: Column, key: Column) -> Column:
+        lacks = lambda p: (F.coalesce(d(p), F.lit("")) != "") & ~F.contains(key, plain(d(p)))
+        amounts = F.transform(F.regexp_extract_all(part, F.lit(r"\$\s*\d[\d,]{3,}"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", ""))
+        return (
+            (lacks("subject.address") & part.rlike(r"\b\d{2,6}\s+[A-Za-z0-9 .'-]{3,80}\b")) | (lacks("subject.borrower") & part.rlike(r"(?i)\bborrower\b"))
+            | (lacks("subject.lender_name") & part.rlike(r"(?i)\b(?:lender|client)\b")) | F.coalesce((amount != "") & let(amounts, lambda a: (F.size(a) > 0) & ~F.array_contains(a, amount)), F.lit(False))
+        )
+
+    differs = let(let(let(F.lower(d.text), marks), of), lambda part: let(plain(part), lambda key: issue(part, key)))
+    return F.when(F.trim(d.text) == "", VERIFY).when(differs, VERIFY).otherwise(PASS)
 
 
 @rule("COM-7", "Prior Sales Disclosure", "STANDARD", 2160)
@@ -695,7 +745,14 @@ def configured(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def applicable(loans: Column, loan_type: Column, assignment: Column) -> Column:
     """A rule for listed loan types runs on documents with such a type, or assignment, as a whole token."""
-    have = F.filter(F.split(F.upper(F.concat_ws(",", loan_type, assignment)), "[^A-Z0-9]+"), lambda t: t != "")
+    return runs_on(loans, types_of(loan_type, assignment))
+
+
+def types_of(loan_type: Column, assignment: Column) -> Column:
+    return F.filter(F.split(F.upper(F.concat_ws(",", loan_type, assignment)), "[^A-Z0-9]+"), lambda t: t != "")
+
+
+def runs_on(loans: Column, have: Column) -> Column:
     return loans.isNull() | F.array_contains(F.split(F.upper(loans), ","), "ALL") | F.arrays_overlap(F.split(F.upper(loans), ","), have)
 
 
@@ -703,19 +760,25 @@ def evaluate(docs: DataFrame, as_of_year: int, settings: DataFrame | None = None
     """Rows (doc_id, rule_id, rule_name, status, severity, execution_order, note), a row per document and rule.
 
     Inactive and inapplicable rules pass with a note. The configuration is a hundred-odd rows and is broadcast; each
-    document is read once, its rules are one array of structs. ``evidence`` gives a struct per rule id (see
+    document is read once, its rules are one array of structs, a column before it is exploded, so that they are compiled. ``evidence`` gives a struct per rule id (see
     ``reports.evidence_of``), whose fields then follow.
     """
-    d = Doc(docs.schema, as_of_year)
+    low = "low"
+    while low in docs.columns:
+        low += "_"
+    d = Doc(docs.schema, as_of_year, F.col(low))
+    docs = docs.withColumn(low, folded(d.text))
     chosen = [r for r in REGISTRY.values() if rules is None or r.id in rules]
     found = [(r.id, r.status(d), False) for r in chosen] + ([(k, s, True) for k, (_, s) in cross_field(d).items()] if cross else [])
     more = (lambda k: []) if evidence is None else lambda k: [evidence(k).alias("evidence")]
     cells = [F.struct(F.lit(k).alias("rule_id"), s.alias("status"), F.lit(c).alias("cross"), *more(k)) for k, s, c in found]
-    rows = docs.select("doc_id", d("loan_type").alias("loan_type"), d("assignment_type").alias("assignment_type"), F.explode(F.array(*cells)).alias("r")).select("doc_id", "loan_type", "assignment_type", "r.*").where("not cross or status is not null")
+    wide = docs.select("doc_id", types_of(d("loan_type"), d("assignment_type")).alias("have"), F.array(*cells).alias("cells"))
+    # the array is never empty; a plain explode would test its size, and work out all rules, once more
+    rows = wide.select("doc_id", "have", F.explode_outer("cells").alias("r")).select("doc_id", "have", "r.*").where("not cross or status is not null")
     settings = config(docs.sparkSession) if settings is None else settings
     joined = rows.join(F.broadcast(settings), "rule_id", "left")
     off = F.coalesce(~F.col("is_active"), F.lit(False))
-    other = ~applicable(F.col("applicable_loan_types"), F.col("loan_type"), F.col("assignment_type"))
+    other = ~runs_on(F.col("applicable_loan_types"), F.col("have"))
     status = F.when(off | other, PASS).otherwise(F.coalesce("status", F.lit(VERIFY)))
     note = F.when(off, "disabled").when(other, "not applicable").when(F.col("status").isNull(), "data missing")
     return joined.select("doc_id", "rule_id", "rule_name", status.alias("status"), F.coalesce("severity_level", F.lit("STANDARD")).alias("severity"), F.coalesce("execution_order", F.lit(999)).alias("execution_order"), note.alias("note"), *(["evidence.*"] if evidence else []))

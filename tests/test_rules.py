@@ -109,3 +109,19 @@ def test_documents_of_one_row_group_are_dealt_to_all_cores(spark):
 
     plan = rule_queries.rule_engine_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "RepartitionByExpression [doc_id" in plan
+
+
+def test_text_search_by_literals_equals_the_patterns(spark):
+    """Literals first give what the pattern alone gives, also for signs whose lower case is a letter of ASCII."""
+    texts = ["", "FEE  SIMPLE", "fee simple", "Fee\nSimple", "roof deck", "a Decks", "Kitchen Subject Bath", "KİTCHEN", "kitchen", "bathrooms bathroom", "drive by", "DRIVE-BY", "comp 3", "compa 3", "E&o", "interiors Interior",
+             "opinion of value: $350,000", "opinion of value", "FHA Case Number x 123-1234567", "fha case\n123-1234567", "q3", "Q3", "0SF", "form216", "12 X 14", "trainees", "MLS 7 a DOM 30", "dom30", "comparable\nmap", "Signature of Appraiser"]
+    patterns = [p for *_, ps in rules.TEXT_RULES for p in ps] + [r[5] for r in rules.COMPARABLE_RULES] + ["a(b|c)|d", "(?:ab|cd)e|(f)|g", "x*|y", r"[|]a|\|b"]
+    rows = spark.createDataFrame([(t,) for t in texts + patterns], "raw_text string")
+    d = rules.Doc(rows.schema, 2024)
+    got = rows.select("raw_text", *[F.struct(d.has(p), F.col("raw_text").rlike("(?i)" + p)).alias(f"p{i}") for i, p in enumerate(patterns)]).collect()
+    assert not [(r[0], patterns[i - 1]) for r in got for i in range(1, len(r)) if r[i][0] != r[i][1]]
+
+
+def test_rules_are_worked_out_once_and_compiled(spark):
+    plan = rules.evaluate(spark.createDataFrame([doc()], DOC), 2024)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if ("Generate" in line or "Filter" in line) and ("RLIKE" in line or "array(" in line)]
