@@ -27,8 +27,13 @@ HELD_OUT = 5
 #: few languages have thousands of held-out texts; the measure allows texts shorter than LENGTH characters more.
 QUANTILE, MEASURED, LENGTH = 0.9995, 0.99, 400
 K = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct words that a task holds: while it counts, and with their scores.
-COUNTED, KNOWN = 300_000, 400_000
+#: Distinct words that a task holds: while it counts, and with their scores; both are passed by those of SLICE rows at most.
+COUNTED, KNOWN = 300_000, 200_000
+SLICE = 200
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
 
 
 def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +49,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update((text or "").split())
         if sum(map(len, counts.values())) > COUNTED:
@@ -217,7 +222,7 @@ class Shard:
 
 def _scoring(shard: Shard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        for batch in sliced(batches):
             sums, n = shard.scores(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64()), pa.array(n, pa.int64())], names=["id", "lang", "logp", "n"])
 

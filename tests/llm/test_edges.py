@@ -137,3 +137,23 @@ def test_embeddings(spark):
     assert out[1] == (2, 1, True) and out[2] == (2, 1, False) and out[3] == (2, 1, False) and out[13] == (1, 13, True) and out[14] == (1, 13, False)
     assert all(out[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_word_counts_hold_few_words_within_a_batch(monkeypatch):
+    """A batch of many rows is counted in slices, so that a task never holds more words than the bound and one slice's."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from docgauge.llm import quality
+
+    monkeypatch.setattr(quality, "COUNTED", 500)
+    texts = [f"a b{i} c{i} d{i % 7}" for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 3000), pa.array(texts)], names=["lang", "text"])
+    out = list(quality.word_counts(iter([batch])))
+    assert max(b.num_rows for b in out) <= 500 + 4 * 200
+    total = Counter()
+    for b in out:
+        for w, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            total[w] += n
+    assert total == Counter(w for t in texts for w in t.split())
