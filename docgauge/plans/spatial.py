@@ -77,17 +77,20 @@ def labels(page_words: DataFrame, names: dict[str, list[str]], last_page: dict[s
     """Every place of every label: field_name, choice (which of its labels), label, at (place), x, y, w, h (its box)."""
     flat = [(name, i, label, _split(label)) for name, own in names.items() for i, label in enumerate(own)]
     longest = max(len(t) for *_, t in flat)
-    tokens = page_words.select("doc_id", "page", "n", F.struct("n", "x", "y", "w", "h").alias("word"), F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))
+    # outer explodes: plain ones would test their arrays' sizes, and work them out, once more
+    tokens = page_words.select("doc_id", "page", "n", F.struct("n", "x", "y", "w", "h").alias("word"), F.posexplode_outer(_tokens(F.col("text"))).alias("pos", "token")).where("token is not null")
     order = Window.partitionBy("doc_id", "page").orderBy("n", "pos")
     run = F.array(*[F.lead(F.struct("token", "word"), j).over(order) for j in range(longest)])
-    runs = tokens.withColumn("run", run).withColumn("at", F.row_number().over(order))
+    runs = tokens.withColumn("run", run).withColumn("at", F.row_number().over(order)).where(F.col("token").isin(sorted({want[0] for *_, want in flat})))
     here = []
     for name, i, label, want in flat:
-        same = F.transform(F.slice("run", 1, len(want)), lambda r: r["token"]) == F.array(*[F.lit(t) for t in want])
+        same = F.lit(True)
+        for j, t in enumerate(want):
+            same &= F.coalesce(F.get("run", F.lit(j))["token"] == t, F.lit(False))
         if name in last_page:
             same &= F.col("page") <= last_page[name]
         here.append(F.when(F.coalesce(same, F.lit(False)), F.struct(F.lit(name).alias("field_name"), F.lit(i).alias("choice"), F.lit(label).alias("label"), F.lit(len(want)).alias("size"))))
-    hits = runs.select("doc_id", "page", "at", "run", F.explode(F.filter(F.array(*here), lambda h: h.isNotNull())).alias("h"))
+    hits = runs.select("doc_id", "page", "at", "run", F.array(*here).alias("here")).select("doc_id", "page", "at", "run", F.explode_outer("here").alias("h")).where("h is not null")
     part = F.transform(F.slice("run", F.lit(1), F.col("h.size")), lambda r: r["word"])
     of = lambda f: F.transform(part, f)
     left, top = F.array_min(of(lambda b: b["x"])), F.array_min(of(lambda b: b["y"]))
@@ -155,9 +158,10 @@ def near_labels(words: DataFrame, names: dict[str, list[str]] = LABELS_OF, last_
     bound = F.coalesce(F.col("next_x") - 0.006, F.least(F.lit(0.98), F.col("lx") + F.greatest(F.col("lw") + 0.04, F.lit(0.20))))
     in_row = let(_value_line(F.col("beside")), lambda a: F.when((F.size(a) > 0) & ~is_label(_text(a)), a))
     in_column = _value_line(_first_row(F.filter("below", lambda c: c["x"] <= bound)))
-    found = met.select("doc_id", "page", "at", "field_name", "choice", F.coalesce(in_row, in_column).alias("v")).withColumn("raw_value", _text(F.col("v")))
-    found = found.where(valid(F.col("field_name"), F.col("raw_value")))
-    best = found.groupBy("doc_id", "field_name").agg(F.min_by(F.struct("raw_value", "page", "v"), F.struct("page", "choice", "at")).alias("b"))
+    judged = lambda v: let(_text(v), lambda raw: F.when(valid(F.col("field_name"), raw), F.struct(raw.alias("raw_value"), F.col("page"), v.alias("v"))))
+    found = met.select("doc_id", "page", "at", "field_name", "choice", let(F.coalesce(in_row, in_column), judged).alias("c"))
+    # places without a valid value are passed over by their null order; a filter would work the values out once more
+    best = found.groupBy("doc_id", "field_name").agg(F.min_by("c", F.when(F.col("c").isNotNull(), F.struct("page", "choice", "at"))).alias("b")).where("b is not null")
     raw, v = F.col("b.raw_value"), F.col("b.v")
     value = correct(raw) if correct else raw
     left, top = F.array_min(v["x"]), F.array_min(v["y"])

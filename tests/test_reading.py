@@ -167,3 +167,15 @@ def test_addresses_with_house_numbers_of_any_length_follow_the_sql(spark, tmp_pa
     df = reading_queries.normalized_address(spark, str(tmp_path))
     want = duck.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLE_SQL['normalized_address']}) order by doc_id").fetchall()
     assert [tuple(r) for r in df.orderBy("doc_id").collect()] == want
+
+
+def test_near_labels_work_values_out_once(spark):
+    """No filter and no explode tests labels or values by itself: optimised, each was worked out again for every mention."""
+    from docgauge.plans import spatial
+
+    words = spark.createDataFrame([("d", 1, "County:", 0.1, 0.1, 0.1, 0.01), ("d", 1, "Travis", 0.25, 0.1, 0.1, 0.01)], "doc_id string, page int, text string, x double, y double, w double, h double")
+    out = spatial.near_labels(words)
+    assert [(r.field_name, r.value) for r in out.collect()] == [("county", "Travis")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Generate" in line and ("CASE" in line or "transform(" in line)]
+    assert not [line for line in plan.split("\n") if "Filter" in line and ("regexp_replace" in line or "aggregate(" in line)]
