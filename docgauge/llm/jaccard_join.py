@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ from docgauge.llm._common import BROADCAST_ROWS, connected_components, forget, s
 NUM, DEN = 90, 100
 WORDS = 3
 BLOCK = 1024
-BINS = 256
-#: Shared signatures (three longs each) up to which they are broadcast.
-HUB_ROWS = 500_000
+#: Bins of a sketch: the least, doubled until a bin holds no more than LOAD elements on average, and the most.
+BINS, LOAD, MOST_BINS = 256, 8, 4096
+#: Signatures are first counted by so many leading bits; what is shared is marked in a bitmap of two to the power of
+#: MARK_BITS bits, 16 MB however large the corpus.
+KEY_BITS, MARK_BITS = 40, 27
 A, B, C, D = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -138,17 +141,35 @@ def signatures(u: np.ndarray, rows: int, num: int = NUM, den: int = DEN) -> np.n
 
 
 def sketch(u: np.ndarray) -> bytes:
-    """Elements by hash bin, 255 at most: sketches differ by no more, summed over the bins, than their sets do."""
-    return np.minimum(np.bincount((mixed(u ^ C) >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Elements by hash bin, 255 at most: sketches differ by no more, summed over the bins, than their sets do.
 
+    Large sets have more bins, as two unlike sets of many elements a bin look alike. Bins are ranges of the hash, so
+    neighbours add up to a sketch of fewer bins, with the same bound.
+    """
+    bins = BINS
+    while bins * LOAD < len(u) and bins < MOST_BINS:
+        bins *= 2
+    return np.minimum(np.bincount((mixed(u ^ C) >> np.uint64(65 - bins.bit_length())).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _widths(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return pc.binary_length(column).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
 
-def _bins(column: pa.Array) -> np.ndarray:
-    """The sketches of a column, one a row."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+def _bins(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of at least ``width`` bins as rows of ``width`` bins."""
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out = np.empty((len(sketches), width), np.int16)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        out[at] = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), width, -1).sum(axis=2, dtype=np.int16)
+    return out
 
 
 def _may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, num: int, den: int) -> np.ndarray:
-    """False only for rows whose sketches and sizes rule the threshold out."""
+    """False only for rows whose sketches and sizes rule the threshold out; bins of the finer sketches are added up."""
+    width = min(x.shape[1], y.shape[1])
+    x, y = (z if z.shape[1] == width else z.reshape(len(z), width, -1).sum(axis=2, dtype=np.int16) for z in (x, y))
     apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
     return (apart * (den + num) <= (den - num) * (nx + ny)) & (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num)
 
@@ -159,7 +180,11 @@ def _screened(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-            keep = _may_link(_bins(b.column(3)), n, _bins(b.column(5)), m, num, den) if b.num_rows else np.zeros(0, bool)
+            width, keep = np.minimum(_widths(b.column(3)), _widths(b.column(5))), np.zeros(b.num_rows, bool)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                x, y = (_bins(b.column(i).take(pa.array(at)).to_pylist(), int(w)) for i in (3, 5))
+                keep[at] = _may_link(x, n[at], y, m[at], num, den)
             yield b.select(["id", "hub"]).filter(pa.array(keep))
 
     return run
@@ -184,7 +209,7 @@ def _loose(num: int, den: int):
             part, rest = rest.slice(0, stop), rest.slice(stop)
             if not stop:
                 continue
-            ids, label, n, sk = part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_numpy(), _bins(part.column(6))
+            ids, label, n, sks = part.column(3).to_numpy(), part.column(4).to_numpy(), part.column(5).to_numpy(), part.column(6).to_pylist()
             root = list(range(stop))
 
             def top(i: int, root: list[int] = root) -> int:
@@ -194,10 +219,11 @@ def _loose(num: int, den: int):
 
             for a, z in zip(starts, ends, strict=True):
                 upto = a + np.searchsorted(n[a:z] * num, n[a:z] * den, "right")
+                sk = _bins(sks[a:z], min(map(len, sks[a:z])))
                 for i in range(a, z - 1):
                     j = i + 1 + np.flatnonzero(label[i + 1 : upto[i - a]] != label[i])
                     if len(j):
-                        for other in j[_may_link(sk[j], n[j], sk[i], n[i], num, den)]:
+                        for other in j[_may_link(sk[j - a], n[j], sk[i - a][None], n[i], num, den)]:
                             x, y = top(i), top(int(other))
                             root[max(x, y)] = min(x, y)
             tops = np.array([top(i) for i in range(stop)])
@@ -207,6 +233,30 @@ def _loose(num: int, den: int):
     return run
 
 
+def _marked(bits: np.ndarray):
+    """Of rows (id, sigs): a row (id, sig) for each signature whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            sig = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            at = sig.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            owner = np.repeat(b.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(sig[keep])], names=["id", "sig"])
+
+    return run
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bits of all signatures that begin with one of ``keys``, as bytes of a fixed number."""
+    bits = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    at = keys.select(F.shiftright("key", KEY_BITS - MARK_BITS).alias("at"))
+    size = 8 * 4096  # of the bitmap that the aggregate makes
+    for r in at.groupBy((F.col("at") / size).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % size).alias("bits")).toLocalIterator():
+        bits[r["block"] * 4096 :][:4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -293,7 +343,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     has an empty set, links with nothing and is its own component. Equal sets are folded first. In each signature's
     bucket every member meets the bucket's least member only (a star, linear in its size); buckets whose members these
     links do not join are then compared in pairs of blocks of ``BLOCK`` members, buckets of the same members once. A
-    sketch of ``BINS`` bytes rules most pairs out before sets move; every link is verified on the sets. No bucket is
+    sketch of ``BINS`` to ``MOST_BINS`` bytes rules most pairs out before sets move; every link is verified on the sets. No bucket is
     capped, no group meets in one task and no group's pairs are written out. Rows that repeat an id share its component;
     a null id keeps a null component; empty tables give no rows; other columns are ignored.
     """
@@ -302,10 +352,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = stored(docs.mapInArrow(trimmed(_signing(rows, words, num, den)), "id long, n long, h1 long, h2 long, sigs array<long>, sk binary"))
     folded = stored(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")))
     reps = signed.join(_small(folded.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    buckets = reps.select("id", F.explode("sigs").alias("sig"))
+    # most signatures are one set's alone: a count of their beginnings finds the others, so that few rows move with their ids
+    keys = reps.select(F.explode("sigs").alias("sig")).select(F.shiftrightunsigned("sig", 64 - KEY_BITS).alias("key"))
+    shared = stored(keys.groupBy("key").count().where("count > 1").select("key"))
+    held = stored(reps.select("id", "sigs").mapInArrow(trimmed(_marked(_bitmap(shared))), "id long, sig long"))
     # hubs are aggregated before the shuffle, and the join back is one that a hot signature can be split in
-    hubs = stored(buckets.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
-    cand = stored(buckets.join(_small(hubs, HUB_ROWS), "sig").select("id", "sig", "hub", "size"))
+    hubs = stored(held.groupBy("sig").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
+    cand = stored(held.join(hubs, "sig").select("id", "sig", "hub", "size"))
     # signatures are the largest table, and nothing reads them again
     marks = stored(reps.select("id", "n", "sk").dropDuplicates(["id"]))
     with_signatures, signed = signed, stored(signed.select("id", "n", "h1", "h2"))
@@ -361,7 +414,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_rep = folded.join(final, folded.rep == final.id, "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     # rows of one id are one node, so the id's own label comes before its set's
     out = stored(signed.select("id", "n", "h1", "h2").join(of_rep, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
-    for t in (signed, folded, marks, hubs, cand, stars, sets, early, late, links, named, open_, loose, parts, late_sets, more):
+    for t in (signed, folded, marks, shared, held, hubs, cand, stars, sets, early, late, links, named, open_, loose, parts, late_sets, more):
         forget(t)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

@@ -369,6 +369,24 @@ def test_linked_sets_share_a_signature(n, gone, new, seed, num, rows):
         assert jaccard_join._may_link(x, np.array([len(a)]), y, np.array([len(b)]), num, 100).all()
 
 
+def test_sketches_tell_large_sets_apart_and_never_rule_out_a_link():
+    rng = np.random.default_rng(11)
+    bins = lambda u: np.frombuffer(jaccard_join.sketch(u), np.uint8)[None]
+    may = lambda a, b: jaccard_join._may_link(bins(a), np.array([len(a)]), bins(b), np.array([len(b)]), 80, 100).all()
+    for n in (500, 2040, 4090, 12_000, 30_000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n, dtype=np.uint64))
+        rng.shuffle(pool)
+        assert not may(pool[:n], pool[n : 2 * n])
+        assert may(pool[:n], pool[n // 10 : n + n // 100])  # also where one of the two has more bins
+        assert may(pool[: n + n // 9], pool[:n])
+
+
+def test_components_where_no_beginning_of_a_signature_is_rare(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MARK_BITS", 15)  # every bit is set, so all signatures are joined
+    rows = [(i, " ".join(f"w{(i // 4) * 50 + k}" for k in range(50)) + f" x{i}" * (i % 4)) for i in range(60)]
+    assert check_components(spark, rows)
+
+
 # ---- 6 quality
 
 
