@@ -252,11 +252,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     for t in used:
         forget(t)
     shards = max(1, -(-model.count() // shard_rows))
-    # the character that a position's history ends in; for a backoff weight that is the gram's own last character
+    # the character that a position's history ends in; for a backoff weight that is the gram's own last character.
+    # Spark's ascii gives the code point of any character
     last = F.when(F.col("p").isNotNull(), F.substring("gram", -2, 1)).otherwise(F.substring("gram", -1, 1))
     scored = None
     for s in range(shards):
-        mine = model if shards == 1 else model.withColumn("last", last).where(F.col("size").isin(0, 1) & F.col("p").isNotNull() | (F.pmod(F.conv(F.hex(F.encode("last", "UTF-32BE")), 16, 10).cast("long"), F.lit(shards)) == s))
+        mine = model if shards == 1 else model.withColumn("last", last).where(F.col("size").isin(0, 1) & F.col("p").isNotNull() | (F.pmod(F.ascii("last"), F.lit(shards)) == s))
         rows = mine.select("lang", "size", "gram", "p", "g").mapInArrow(blobs, BLOBS).collect()  # 16 bytes an entry
         part = base.mapInArrow(trimmed(_scoring(Shard(rows, s, shards))), "id long, lang string, logp double, n long")
         scored = part if scored is None else scored.unionByName(part)
@@ -269,7 +270,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     limit = of_trusted.join(F.broadcast(at), "lang").groupBy("lang", "median").agg((F.percentile_approx(excess, MEASURED, 10000) * tail).alias("limit"))
     known = model.where("size = 0").select("lang")
     out = entropy.join(F.broadcast(limit.join(known, "lang")), "lang", "left")  # one row a language
-    bound = F.col("median") + F.col("limit") / F.sqrt(F.least(F.col("n"), F.lit(LENGTH)) / LENGTH)
+    bound = F.col("median") + F.col("limit") / F.sqrt(F.least(F.nullif("n", F.lit(0)), F.lit(LENGTH)) / LENGTH)
     out = out.select(F.col("id").alias(id_col), "lang", F.exp("bits").alias("perplexity"), F.exp(bound).alias("threshold"), F.coalesce(F.col("bits") <= bound, F.lit(True)).alias("kept"))
     return out
 
