@@ -68,7 +68,8 @@ def _split(label: str) -> list[str]:
 def placed(words: DataFrame) -> DataFrame:
     """Words without nulls, numbered in reading order inside their page (``n``), with their middle height (``mid``)."""
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
-    plain = words.select("doc_id", "page", F.trim(F.coalesce("text", F.lit(""))).alias("text"), *[zero(c) for c in "xywh"])
+    # dealt by page before all else, so that words dealt by document alone are not shuffled once more for each side of a join
+    plain = words.repartition("doc_id", "page").select("doc_id", "page", F.trim(F.coalesce("text", F.lit(""))).alias("text"), *[zero(c) for c in "xywh"])
     order = Window.partitionBy("doc_id", "page").orderBy("y", "x", "text", "w", "h")
     return plain.withColumn("n", F.row_number().over(order)).withColumn("mid", F.col("y") + F.col("h") / 2)
 
@@ -143,7 +144,8 @@ def near_labels(words: DataFrame, names: dict[str, list[str]] = LABELS_OF, last_
     """
     base = placed(words)
     marks = labels(base, names, last_page).select("doc_id", "page", "at", "field_name", "choice", *[F.col(c).alias("l" + c) for c in "xywh"])
-    both = marks.join(base, ["doc_id", "page"])
+    # merged, never broadcast: Spark's size estimates don't count what explodes add, so labels of millions of pages look small
+    both = marks.hint("merge").join(base, ["doc_id", "page"])
     x, y, mid = F.col("x"), F.col("y"), F.col("mid")
     right, bottom, level = F.col("lx") + F.col("lw"), F.col("ly") + F.col("lh"), F.col("ly") + F.col("lh") / 2
     beside = (x >= right + 0.005) & (x <= F.least(F.lit(0.98), right + 0.42)) & (F.abs(mid - level) <= F.greatest(F.lit(0.014), F.col("lh") * 0.75))
@@ -183,7 +185,7 @@ def marked_choice(words: DataFrame, choices: dict[str, list[str]]) -> DataFrame:
     marks = base.where(F.col("text").isin(MARKS)).select("doc_id", "page", F.col("x").alias("mx"), "mid")
     x, y, h = F.col("l.x"), F.col("l.y"), F.col("l.h")
     near = (x > F.col("mx")) & (x - F.col("mx") <= 0.08) & (F.abs(F.col("mid") - (y + h / 2)) <= F.greatest(F.lit(0.018), h * 1.2))
-    hit = first.join(marks, ["doc_id", "page"]).where(near)
+    hit = first.hint("merge").join(marks, ["doc_id", "page"]).where(near)  # as in near_labels
     best = hit.groupBy("doc_id", "field_name").agg(F.min_by(F.struct("label", "page"), F.struct("page", "choice")).alias("b"))
     return best.select("doc_id", "field_name", F.col("b.label").alias("value"), F.lit(0.86).alias("confidence"), F.col("b.page").alias("page"))
 
