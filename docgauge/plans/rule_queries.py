@@ -390,12 +390,29 @@ def rules_cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # all rules over bare texts: every field is absent, so that a status rests on the text or on what a missing field means
+N_SALES, N_LISTINGS = (rf"try_cast(regexp_extract(t, '(?i)There\s+are\s+(\d+)\s+comparable\s+{x}', 1) as integer)" for x in ("sales", r"properties\s+currently\s+offered"))
+BEST_USE = r"lower(regexp_extract(t, '(?i)highest and best use.{0,200}?\b(Yes|No)\b', 1))"
 EVERY = {i: f for family in FAMILIES.values() for i, f in family.items()} | CROSS
-EVERY |= {  # where the stand-in documents need less of a pattern than texts at large, or always have a contract
-    "SIG-4": found(r"[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{2,}"), "SCA-16": when(r"regexp_matches(t, '\bC[1-6]\b')", "PASS", otherwise="VERIFY"), "SCA-22": found("CFP|CBP|Patio|Porch|Deck"), "XF-6": "null::varchar",
-}
+EVERY |= {  # where the stand-in documents need less of a rule than texts at large, or always have a contract
+    "SIG-4": found(r"[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{2,}"), "SCA-14": when(r"regexp_matches(t, '\bQ[1-6]\b')", "PASS", otherwise="VERIFY"), "SCA-16": when(r"regexp_matches(t, '\bC[1-6]\b')", "PASS", otherwise="VERIFY"),
+    "SCA-22": found("CFP|CBP|Patio|Porch|Deck"), "XF-6": "null::varchar",
+    "I-5": found(r"utilities?\s+(and appliances\s+)?(were\s+)?(on|off)|all utilities.*were on", no="FAIL"), "I-8": found(r"\bAdditional\s+Features\b|\bStandard insulation\b|\benergy efficient\b|\bnone\b"),
+    "I-13": found("security bars?|window bars?|release latch", yes="VERIFY", no="PASS"), "SCA-20": found(r"Heating/Cooling|FWA/CAC|Central\s+Air"), "SCA-25": found("(new|proposed|under) construction", yes="VERIFY", no="PASS"),
+    "ST-1": when(r"trim(regexp_extract(t, '(?i)Dimensions\s+([0-9.'' xX]+)', 1)) = ''", "VERIFY"), "ST-6": when(f"{BEST_USE} = 'yes'", "PASS", f"{BEST_USE} = 'no'", "FAIL", otherwise="VERIFY"),
+    "SCA-1": when(f"{N_SALES} is null or {N_LISTINGS} is null", "VERIFY"), "SCA-2": when(f"{N_SALES} is null", "VERIFY", f"{N_SALES} < 3", "FAIL", f"{N_LISTINGS} is null", "VERIFY", f"{N_LISTINGS} < 2", "FAIL"), "COM-3": when(f"{N_SALES} < 3", "FAIL", otherwise="VERIFY"),
+    "R-1": found("reconciliation|indicated value by sales comparison|sales comparison approach", "weight|most reliable|best indicator|given.*consideration|supportive and reasonable conclusion|opinion of market value"),
+    "R-2": found(r"(final opinion of value|appraised value|opinion of value|Indicated Value by Sales Comparison Approach|APPRAISED VALUE OF SUBJECT PROPERTY)\s*[:$]?\s*\$?\d[\d,]+"),
+    "IA-2": found(r"form\s*216|operating income statement"), "MF-2": found(r"form\s*216|operating income statement"),
+    "ADD-1": when(f"not {has('addendum|comments?|sales comparison|reconciliation')}", "VERIFY", has("typical for the area|no adverse conditions were noted|see attached addendum"), "VERIFY"), "DOC-3": found(r"\bUAD\b|Uniform Appraisal Dataset"),
+    "SIG-1": found(r"(?s)signature of appraiser|appraiser signature|APPRAISER\s+.*Signature|Date of Signature|Date Signed|signed", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b"), "SIG-3": found(r"(?s)SUPERVISORY APPRAISER.*(Name|Signature).{0,80}\S", yes="VERIFY", no="PASS"),
+    "PH-1": found(r"Subject\s+Front|Front\s+Exterior", r"Subject\s+Rear|Rear\s+Exterior", r"Subject\s+Street|Street\s+Scene"),
+    "PH-2": found(r"Subject\s+Kitchen|\bKitchen\b", r"Subject\s+Living\s+Room|\bLiving\s+Room\b", r"Subject\s+Bedroom|\bBedroom\b", r"Subject\s+Bath(room)?|\bBathroom\b"),
+    "PH-6": found("obsolescence|external factor|deferred maintenance|damage", yes="VERIFY", no="PASS"), "M-1": found("location map|subject.*comparables|comparable.*map"), "M-2": found("aerial (map|view)|satellite"), "SK-1": found("floor plan|sketch|ANSI standards|measured per ANSI"),
+    "SK-3": found(r"""\d+(\.\d+)?\s*x\s*\d+(\.\d+)?|\d+'\s*-\s*\d+"|measured per ANSI|ANSI standards"""), "COM-6": when("trim(t) = ''", "VERIFY"),
+    "XF-FHA-3": rf"case when contains(t, 'FHA') and try_cast(regexp_extract(t, '(?i)remaining economic life\D{{0,40}}(\d{{1,3}})', 1) as integer) < 30 and not {has('because|due to|explain')} then 'FAIL' end",
+}
 BARE = f"""{_input_sql()}, none as (select * exclude (doc_id, t, loan_type, assignment_type, comps) from d where false),
- bare as (select documents.doc_id, text as t, '' as loan_type, '' as assignment_type, list_slice((select any_value(comps) from d), 1, 0) as comps, none.* from documents left join none on false)"""
+ bare as (select documents.doc_id, coalesce(text, '') as t, '' as loan_type, '' as assignment_type, list_slice((select any_value(comps) from d), 1, 0) as comps, none.* from documents left join none on false)"""
 
 
 @query(f"""{BARE} select rule_id, status, count(*) as n from (select unnest([{", ".join(f"{{'rule_id': '{i}', 'status': {s}}}" for i, s in EVERY.items())}], recursive := true) from bare) where status is not null group by 1, 2""")
