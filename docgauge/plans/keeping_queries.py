@@ -9,7 +9,7 @@ from docgauge.operators import boxes as B
 from docgauge.plans import models, training
 from docgauge.plans.catalog import query
 from docgauge.sources import tables
-from docgauge.sources.scratch import shared_folder
+from docgauge.sources.scratch import dropped, shared_folder, written
 from docgauge.sources.tables import spread, table
 from docgauge.streaming import learning
 
@@ -72,10 +72,13 @@ def learned_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under a stored commentary classifier: fitted on labelled quality, saved, found again, loaded."""
+    """All documents under a stored commentary classifier: fitted on the whole texts of all with a quality label but a held-out fifth, saved, found again, loaded."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id").where("quality is not null").orderBy(F.xxhash64("doc_id")).limit(2000).select(F.left("text", F.lit(2000)).alias("text"), F.when(F.col("quality") == 0, "CANNED").otherwise("SPECIFIC").alias("label"))
+    labelled = docs.join(labels, "doc_id").where("quality is not null").select("doc_id", "text", F.when(F.col("quality") == 0, "CANNED").otherwise("SPECIFIC").alias("label"))
+    # stored, as fitting reads the rows some eight times
+    rows = written(spread(labelled, "doc_id").select("text", "label"))
     model, _ = training.commentary_classifier(rows)
+    dropped(rows)
     path = f"{shared_folder(spark)}/commentary"
     if model is not None:
         models.save(spark, model, path)
